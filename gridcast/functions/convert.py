@@ -160,3 +160,20 @@ def nan_to_null(df, columns=None):
     names = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     wanted = set(columns) if columns is not None else set(names)
     return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names if n in wanted})
+
+
+def register_sql(spark) -> None:
+    """SQL names for the column functions, as temporary SQL functions (no Python at run time)."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION wind_direction(eastward DOUBLE, northward DOUBLE) RETURNS DOUBLE "
+        "RETURN pmod(270 - degrees(atan2(northward, eastward)), 360)"
+    )
+    entries = ", ".join(f"'{code}', {pct}D" for code, pct in SKY_COVER_PCT.items())
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION sky_cover_pct(code STRING) RETURNS DOUBLE "
+        f"RETURN try_element_at(map({entries}), upper(trim(code)))"
+    )
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION hour_grid(start_at TIMESTAMP, end_at TIMESTAMP) RETURNS TABLE (hour TIMESTAMP) "
+        "RETURN SELECT explode(sequence(start_at, end_at - INTERVAL 1 MICROSECOND, INTERVAL 1 HOUR)) AS hour"
+    )

@@ -83,7 +83,7 @@ def number_folds(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def assign_segments(
-    history: DataFrame, folds: DataFrame, keys: Sequence[str] = (), ds: str = DS, bucket_hours: int = HORIZON_HOURS
+    history: DataFrame, folds: DataFrame, keys: Sequence[str], ds: str = DS, bucket_hours: int = HORIZON_HOURS
 ) -> DataFrame:
     """History rows per fold set with ``_segment`` = number of cutoffs at or before them.
 
@@ -96,13 +96,7 @@ def assign_segments(
         return F.floor(F.unix_seconds(ts) / F.lit(size)).cast("long")
 
     edges = folds.groupBy(*keys, FOLDS).agg(F.min(CUTOFF).alias("_from"), F.max(CUTOFF).alias("_to"))
-    if keys:
-        scoped = history.join(edges, list(keys))
-    else:
-        # One row per fold set: attach them as an array literal-like column, not a product of tables.
-        packed = edges.agg(F.collect_list(F.struct(FOLDS, "_from", "_to")).alias("_e"))
-        scoped = history.withColumn("_one", F.lit(1)).join(packed.withColumn("_one", F.lit(1)), "_one").drop("_one")
-        scoped = scoped.withColumn("_e", F.explode("_e")).select(*history.columns, "_e.*")
+    scoped = history.join(edges, list(keys))
     placed = scoped.filter(F.col(ds) < F.col("_to")).withColumn("_bucket", bucket(F.col(ds)))
     numbered = number_folds(folds, keys)
     order = Window.partitionBy(*keys, FOLDS).orderBy(CUTOFF)
@@ -112,12 +106,10 @@ def assign_segments(
         .withColumn("_bucket", F.explode(F.sequence(bucket(F.col(CUTOFF)), bucket(F.col("_until")))))
         .select(*keys, FOLDS, "_bucket", F.col(CUTOFF).alias("_since"), "_until", ORDINAL)
     )
-    same = [placed[k].eqNullSafe(windows[k]) if k in keys else placed[k] == windows[k] for k in (*keys, FOLDS, "_bucket")]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    inside = (placed[ds] >= windows["_since"]) & (placed[ds] < windows["_until"])
-    joined = placed.join(windows, condition & inside, "left")
+    condition = (placed[ds] >= windows["_since"]) & (placed[ds] < windows["_until"])
+    for name in (*keys, FOLDS, "_bucket"):
+        condition = (placed[name] == windows[name]) & condition
+    joined = placed.join(windows, condition, "left")
     return joined.select(
         *[placed[c] for c in history.columns], placed[FOLDS], F.coalesce(windows[ORDINAL], F.lit(0)).alias(SEGMENT)
     )
