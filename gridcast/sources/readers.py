@@ -145,15 +145,15 @@ def payload_schema(variables: Sequence[str]) -> T.ArrayType:
     return T.ArrayType(T.StructType(location))
 
 
-def location_payload(payloads: DataFrame, stations: Sequence[dict], variables: Sequence[str], model: str, body: str = "body") -> DataFrame:
+def location_payload(payloads: DataFrame, stations: Sequence[dict], variables: Sequence[str], model: str, body: str = "body", carry: Sequence[str] = ()) -> DataFrame:
     """JSON payloads (one object per location, parallel hourly arrays) to one row per hour.
 
     Locations arrive in the order the stations were requested in; any other
-    location count is an error.
+    location count is an error. ``carry`` keeps payload columns.
     """
     text = F.trim(F.col(body))
     as_list = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    parsed = payloads.select(F.from_json(as_list, payload_schema(variables)).alias("locations"))
+    parsed = payloads.select(*carry, F.from_json(as_list, payload_schema(variables)).alias("locations"))
     counted = parsed.withColumn(
         "locations",
         F.when(F.size("locations") == len(stations), F.col("locations")).otherwise(
@@ -169,9 +169,10 @@ def location_payload(payloads: DataFrame, stations: Sequence[dict], variables: S
         )
         for s in stations
     ])
-    located = counted.select(F.posexplode("locations").alias("at", "l")).withColumn("s", F.get(asked, F.col("at")))
+    located = counted.select(*carry, F.posexplode("locations").alias("at", "l")).withColumn("s", F.get(asked, F.col("at")))
     arrays = F.arrays_zip(F.col("l.hourly.time").alias("time"), *[F.col(f"l.hourly.{v}").alias(v) for v in variables])
-    return located.select("s", "l", F.explode(arrays).alias("h")).select(
+    return located.select(*carry, "s", "l", F.explode(arrays).alias("h")).select(
+        *carry,
         C.instant("h.time").alias(TS),
         *[F.col(f"h.{v}").alias(v) for v in variables],
         "s.*",
