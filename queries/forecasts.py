@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions import convert as C
 from gridcast.functions import features as X
-from gridcast.functions.vocabulary import CUTOFF, DS, FOLDS, INIT, LEAD, OBSERVED, SOURCE, STATION, VALID, Y
+from gridcast.functions.vocabulary import CUTOFF, DS, FOLDS, INIT, INTERPOLATED, LEAD, OBSERVED, SOURCE, STATION, VALID, Y
 from gridcast.operators import covariates as V
 from gridcast.operators.contracts import violations
 from gridcast.operators.folds import position_folds, rolling_cutoffs, seasonal_cutoffs
@@ -30,7 +30,6 @@ from queries.bindings import (
     panel,
     table,
     target,
-    trainable,
     with_sql,
 )
 
@@ -163,10 +162,13 @@ def q_freshest_by_cutoff(spark, sf):
     return finish(rows.select(STATION, FOLDS, CUTOFF, VALID, INIT, LEAD, "gfs_temperature_c", "gfs_dewpoint_c"), 8)
 
 
-@query(with_sql(PANEL_SQL, TARGET_SQL, ATTACHED_SQL, select=f"SELECT station_id, ds, round(y, 8) AS y, init_time_utc, {_FRESH} FROM attached"))
+@query(with_sql(PANEL_SQL, TARGET_SQL, ATTACHED_SQL, select=f"SELECT station_id, ds, round(y, 8) AS y, init_time_utc, {_FRESH} FROM attached".replace("lead_hours, interpolated", "lead_hours::DOUBLE AS lead_hours, interpolated::VARCHAR AS interpolated")))
 def q_attach_left(spark, sf):
     """History with the freshest covariates there are; the rest stays null."""
-    return finish(V.attach_available(target(spark, sf), panel(spark, sf), None, (STATION,), TIE), y=8, **_DIGITS)
+    rows = V.attach_available(target(spark, sf), panel(spark, sf), None, (STATION,), TIE)
+    # Nullable flags and counts are compared as text and doubles.
+    rows = rows.withColumns({LEAD: F.col(LEAD).cast("double"), INTERPOLATED: F.col(INTERPOLATED).cast("string")})
+    return finish(rows, y=8, **_DIGITS)
 
 
 @query(with_sql(*BASE_SQL, FWINDOW_SQL, COVERED_SQL, select="SELECT * FROM covered"))
@@ -175,10 +177,12 @@ def q_covered_folds(spark, sf):
     return finish(V.covered_folds(panel(spark, sf), folds(spark, sf), DAILY.hours, (STATION,), DAILY.step_hours, TIE))
 
 
-@query(with_sql(*TRAINABLE_PARTS, select="SELECT * FROM trainable"))
+@query(with_sql(*TRAINABLE_PARTS, select="SELECT * FROM trainable").replace("u.first_usable + INTERVAL 365 DAY", "u.first_usable + INTERVAL 1825 DAY"))
 def q_trainable_folds(spark, sf):
-    """Covered folds whose usable history spans a year."""
-    return finish(trainable(spark, sf))
+    """Covered folds whose usable history spans five years."""
+    history = target(spark, sf)
+    rows = V.trainable_folds(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, 1825, (STATION,), DAILY.step_hours, TIE)
+    return finish(rows)
 
 
 @query(with_sql(*BASE_SQL, ATTACHED_SQL, select="""

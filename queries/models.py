@@ -1 +1,236 @@
+"""Queries that fit and predict: baselines, regressions, additive and boosted models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridcast.functions import features as X
+from gridcast.functions.vocabulary import CUTOFF, DS, FOLDS, INIT, MODEL, STATION, VALID, Y
+from gridcast.plans import boosted as B
+from gridcast.plans.baselines import climatology, persistence, raw_forecast
+from gridcast.plans.jobs import merged_forecasts
+from gridcast.plans.least_squares import coefficient_table, cross_products
+from gridcast.plans.linear import additive, additive_terms, additive_fit, calendar_regression, correction_fit, forecast_correction, simple_correction
+from gridcast.plans.linear import ALL_REGRESSORS
+from gridcast.operators.covariates import freshest_rows
+from gridcast.session import cut_lineage
+from queries.bindings import (
+    ATTACHED_SQL,
+    BASE_SQL,
+    DAILY,
+    FOLDS_SQL,
+    FWINDOW_SQL,
+    TARGET_SQL,
+    TIE,
+    at,
+    finish,
+    folds,
+    panel,
+    target,
+    trainable,
+    with_sql,
+)
+
 QUERIES, ORACLE = {}, {}
+KEYS = (STATION,)
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def future_sql(folds_table: str = "folds") -> str:
+    return f"future AS (SELECT station_id, folds, cutoff, unnest(generate_series(cutoff, cutoff + INTERVAL 13 DAY, INTERVAL 1 DAY)) AS ds FROM {folds_table})"
+
+
+CLIMATOLOGY_SQL = """climatology AS (
+  SELECT u.station_id, 'climatology' AS model, u.folds, u.cutoff, u.ds,
+         coalesce(sum(t.y) FILTER (WHERE (dayofyear(t.ds) - dayofyear(u.ds) + 373) % 366 <= 14) / count(t.y) FILTER (WHERE (dayofyear(t.ds) - dayofyear(u.ds) + 373) % 366 <= 14),
+                  avg(t.y)) AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper
+  FROM future u LEFT JOIN target t ON t.station_id = u.station_id AND t.ds < u.cutoff AND t.y IS NOT NULL GROUP BY u.station_id, u.folds, u.cutoff, u.ds)"""
+
+PERSISTENCE_SQL = """persistence AS (
+  SELECT u.station_id, 'persistence' AS model, u.folds, u.cutoff, u.ds, arg_max(t.y, t.ds) AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper
+  FROM future u LEFT JOIN target t ON t.station_id = u.station_id AND t.ds < u.cutoff AND t.ds >= u.cutoff - INTERVAL 72 HOUR AND t.y IS NOT NULL
+  GROUP BY u.station_id, u.folds, u.cutoff, u.ds)"""
+
+RAW_SQL = """raw AS (
+  SELECT station_id, 'raw_gfs' AS model, folds, cutoff, valid_time_utc AS ds, gfs_temperature_c AS yhat, CAST(NULL AS DOUBLE) AS yhat_lower, CAST(NULL AS DOUBLE) AS yhat_upper FROM fwindow)"""
+
+
+def simple_sql(folds_table: str = "folds") -> str:
+    return f"""fits AS (
+  SELECT f.station_id, f.folds, f.cutoff, count(*) AS n, regr_slope(a.y, a.gfs_temperature_c) AS slope, regr_intercept(a.y, a.gfs_temperature_c) AS intercept,
+         regr_syy(a.y, a.gfs_temperature_c) - regr_sxy(a.y, a.gfs_temperature_c) ** 2 / regr_sxx(a.y, a.gfs_temperature_c) AS rss
+  FROM {folds_table} f JOIN attached a ON a.station_id = f.station_id AND a.ds < f.cutoff AND a.y IS NOT NULL AND a.gfs_temperature_c IS NOT NULL GROUP BY ALL),
+simple AS (
+  SELECT w.station_id, 'prophet_gfs' AS model, w.folds, w.cutoff, w.valid_time_utc AS ds, intercept + slope * gfs_temperature_c AS yhat,
+         intercept + slope * gfs_temperature_c - 1.2815515655446004 * sqrt(rss / n) AS yhat_lower, intercept + slope * gfs_temperature_c + 1.2815515655446004 * sqrt(rss / n) AS yhat_upper
+  FROM fwindow w JOIN fits USING (station_id, folds, cutoff))"""
+
+
+OUT = "station_id, model, folds, cutoff, ds, round(yhat, 7) AS yhat, round(yhat_lower, 7) AS yhat_lower, round(yhat_upper, 7) AS yhat_upper"
+
+
+@query(with_sql(TARGET_SQL, FOLDS_SQL, future_sql(), CLIMATOLOGY_SQL, select=f"SELECT {OUT} FROM climatology"))
+def q_climatology(spark, sf):
+    """Mean over a window of days of the year, from data before each cutoff, all folds in one plan."""
+    history = target(spark, sf)
+    return finish(climatology(history, folds(spark, sf, history), DAILY.hours, KEYS, 24), 7)
+
+
+@query(with_sql(TARGET_SQL, FOLDS_SQL, future_sql(), PERSISTENCE_SQL, select=f"SELECT {OUT} FROM persistence"))
+def q_persistence(spark, sf):
+    """Last value at each hour of the day within the lookback, all folds in one plan."""
+    history = target(spark, sf)
+    return finish(persistence(history, folds(spark, sf, history), DAILY.hours, KEYS, 24), 7)
+
+
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, RAW_SQL, select=f"SELECT {OUT} FROM raw"))
+def q_raw_model(spark, sf):
+    """The freshest legitimate forecast as a model without bounds."""
+    return finish(raw_forecast(panel(spark, sf), folds(spark, sf), DAILY.hours, KEYS, TIE), 7)
+
+
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, ATTACHED_SQL, simple_sql(), select=f"SELECT {OUT} FROM simple WHERE yhat IS NOT NULL"))
+def q_ols_simple(spark, sf):
+    """One-regressor correction per cutoff with an 80 per cent interval."""
+    history = target(spark, sf)
+    return finish(simple_correction(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, KEYS, TIE), 7)
+
+
+_GRAM_TERMS = ("trend_years", "annual_sin_1", "annual_cos_1")
+
+
+@query(with_sql(TARGET_SQL, """
+x AS (SELECT station_id, 1.0::DOUBLE AS z0, date_diff('day', TIMESTAMP '1995-01-01', ds) / 365.25 AS z1, sin(2 * pi() * (dayofyear(ds) - 1) / 365.25) AS z2,
+             cos(2 * pi() * (dayofyear(ds) - 1) / 365.25) AS z3, y AS z4 FROM target WHERE y IS NOT NULL),
+long AS (""" + " UNION ALL ".join(
+    f"SELECT station_id, CAST({p} AS BIGINT) AS position, z{i} * z{j} AS v FROM x" for p, (i, j) in enumerate((i, j) for i in range(5) for j in range(i, 5))
+) + ")", select="SELECT station_id, position, round(sum(v), 5) AS product FROM long GROUP BY ALL"))
+def q_gram_matrix(spark, sf):
+    """Cross products of a calendar design, the additive statistics behind every linear fit."""
+    rows = target(spark, sf).filter(F.col(Y).isNotNull())
+    terms = {n: c for n, c in X.calendar_features(DS, at("1995-01-01"), 0, 1, 0).items() if n in _GRAM_TERMS}
+    products = cross_products(rows, KEYS, terms, F.col(Y))
+    return finish(products.select(STATION, F.posexplode("products").alias("position", "product")), 5)
+
+
+@query(with_sql(TARGET_SQL, FOLDS_SQL, future_sql(), """
+org AS (SELECT station_id, min(ds) AS origin FROM target WHERE y IS NOT NULL GROUP BY 1),
+x AS (SELECT t.station_id, t.ds, t.y, date_diff('day', origin, t.ds) / 365.25 AS t FROM target t JOIN org USING (station_id) WHERE y IS NOT NULL),
+fit AS (SELECT f.station_id, f.folds, f.cutoff, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, max(x.ds) AS last_ds, count(*) AS n,
+               regr_syy(y, t) - regr_sxy(y, t) ** 2 / regr_sxx(y, t) AS rss
+        FROM folds f JOIN x ON x.station_id = f.station_id AND x.ds < f.cutoff GROUP BY ALL),
+anomaly AS (SELECT fit.station_id, fit.folds, fit.cutoff, avg(x.y - intercept - slope * x.t) AS a
+            FROM fit JOIN x ON x.station_id = fit.station_id AND x.ds <= fit.last_ds AND x.ds > fit.last_ds - INTERVAL 72 HOUR GROUP BY ALL),
+p AS (SELECT u.station_id, 'linear' AS model, u.folds, u.cutoff, u.ds, intercept + slope * (date_diff('day', origin, u.ds) / 365.25) + a * exp(-date_diff('day', last_ds, u.ds) / 2.0::DOUBLE) AS yhat,
+             1.96 * sqrt(rss / (n - 2)) AS spread
+      FROM future u JOIN fit USING (station_id, folds, cutoff) JOIN anomaly USING (station_id, folds, cutoff) JOIN org USING (station_id))""",
+    select="SELECT station_id, model, folds, cutoff, ds, round(yhat, 7) AS yhat, round(yhat - spread, 7) AS yhat_lower, round(yhat + spread, 7) AS yhat_upper FROM p"))
+def q_anomaly_decay(spark, sf):
+    """Trend regression per fold plus its recent residual fading with lead time."""
+    history = target(spark, sf)
+    rows = calendar_regression(history, folds(spark, sf, history), DAILY.hours, KEYS, 24, {"daily": 0, "annual": 0, "interaction": 0})
+    return finish(rows, 7)
+
+
+@query()
+def q_calendar_regression(spark, sf):
+    """Full calendar regression (trend, daily and annual terms, recent anomaly) at every fold."""
+    history = target(spark, sf)
+    return finish(calendar_regression(history, folds(spark, sf, history), DAILY.hours, KEYS, 24), 6)
+
+
+@query()
+def q_forecast_correction(spark, sf):
+    """Forecast, lead and calendar regression at every fold, applied to the freshest forecast."""
+    history = target(spark, sf)
+    rows = forecast_correction(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, KEYS, tiebreak=TIE, on_short="drop")
+    return finish(rows, 6)
+
+
+@query()
+def q_correction_coefficients(spark, sf):
+    """Fitted terms of the forecast correction per fold."""
+    history = target(spark, sf)
+    fits = correction_fit(history, panel(spark, sf), folds(spark, sf, history), KEYS, on_short="drop")
+    return finish(coefficient_table(fits, KEYS, list(X.correction_features()), "linear_gfs"), 6)
+
+
+@query()
+def q_covariate_all(spark, sf):
+    """Correction on all six forecast measures."""
+    history = target(spark, sf)
+    rows = additive(history, folds(spark, sf, history), DAILY.hours, KEYS, panel(spark, sf), ALL_REGRESSORS, False, 24, TIE, "prophet_gfs_all", "drop")
+    return finish(rows, 6)
+
+
+@query()
+def q_structural(spark, sf):
+    """Additive trend and seasonality with an 80 per cent interval."""
+    history = target(spark, sf)
+    return finish(additive(history, folds(spark, sf, history), DAILY.hours, KEYS, step_hours=24, on_short="drop"), 6)
+
+
+@query()
+def q_structural_terms(spark, sf):
+    """Fitted terms of the additive model per fold."""
+    history = target(spark, sf)
+    fits = additive_fit(history, folds(spark, sf, history), KEYS, step_hours=24, on_short="drop")
+    return finish(coefficient_table(fits, KEYS, list(additive_terms(True, (), 24)), "prophet"), 6)
+
+
+@query()
+def q_forecast_merge(spark, sf):
+    """Calendar, corrected and raw forecasts side by side."""
+    history = target(spark, sf)
+    rows = merged_forecasts(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, KEYS, 24, TIE, on_short="drop")
+    return finish(rows, 6)
+
+
+# A short schedule keeps the tree queries to a handful of rounds.
+TREES = {"maxIter": 6, "maxDepth": 4}
+
+
+def _matrix(spark, sf):
+    """Pairs with every tree input present, the freshest run per hour."""
+    rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
+    matrix = B.training_matrix(rows, target(spark, sf), at("2000-01-01"), KEYS, DS, Y, TIE)
+    return freshest_rows(matrix, (STATION, VALID), TIE)
+
+
+@query()
+def q_topk_importance(spark, sf):
+    """Boosted-tree feature ranking: the top eight with a positive importance."""
+    rows = cut_lineage(_matrix(spark, sf))
+    _, importances = B.select_features(rows, B.TREE_FEATURES, B.LABEL, params=TREES)
+    table = spark.createDataFrame([(i, n, importances[n]) for i, n in enumerate(B.TREE_FEATURES)], "position int, feature string, importance double")
+    return finish(B.top_features(table, 8).select("feature", "importance"), 6)
+
+
+@query()
+def q_gbt_residual(spark, sf):
+    """Residual recipe: hold out the latest run, stop early, refit, correct the forecast of the next window."""
+    fitted, _ = B.residual_recipe(_matrix(spark, sf), TREES, patience=3, keys=KEYS)
+    rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
+    out = B.corrected_forecast(fitted, rows, at("2000-01-01"), 336, KEYS, TIE)
+    return finish(out.select(STATION, DS, INIT, "predicted_temperature_c", F.col(B.RAW).alias("raw_gfs_temperature_c")), 6)
+
+
+@query()
+def q_gbt_backtest(spark, sf):
+    """Boosted correction refitted at seasonal cutoffs."""
+    chosen = trainable(spark, sf).filter(F.col(FOLDS) == "seasonal")
+    history = target(spark, sf)
+    rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
+    if chosen.isEmpty():
+        chosen = folds(spark, sf, history).filter(F.col(FOLDS) == "seasonal")
+    out = B.boosted_backtest(history, rows, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE)
+    return finish(out.select(STATION, MODEL, FOLDS, CUTOFF, DS, "yhat"), 6)
