@@ -98,21 +98,20 @@ def assign_segments(
     edges = folds.groupBy(*keys, FOLDS).agg(F.min(CUTOFF).alias("_from"), F.max(CUTOFF).alias("_to"))
     scoped = history.join(edges, list(keys))
     placed = scoped.filter(F.col(ds) < F.col("_to")).withColumn("_bucket", bucket(F.col(ds)))
+    shared = (*keys, FOLDS, "_bucket")
     numbered = number_folds(folds, keys)
     order = Window.partitionBy(*keys, FOLDS).orderBy(CUTOFF)
     windows = (
         numbered.withColumn("_until", F.lead(CUTOFF).over(order))
         .filter(F.col("_until").isNotNull())
         .withColumn("_bucket", F.explode(F.sequence(bucket(F.col(CUTOFF)), bucket(F.col("_until")))))
-        .select(*keys, FOLDS, "_bucket", F.col(CUTOFF).alias("_since"), "_until", ORDINAL)
+        .select(*[F.col(c).alias(f"_w_{c}") for c in shared], F.col(CUTOFF).alias("_since"), "_until", ORDINAL)
     )
-    condition = (placed[ds] >= windows["_since"]) & (placed[ds] < windows["_until"])
-    for name in (*keys, FOLDS, "_bucket"):
-        condition = (placed[name] == windows[name]) & condition
+    condition = (F.col(ds) >= F.col("_since")) & (F.col(ds) < F.col("_until"))
+    for name in shared:
+        condition = (F.col(name) == F.col(f"_w_{name}")) & condition
     joined = placed.join(windows, condition, "left")
-    return joined.select(
-        *[placed[c] for c in history.columns], placed[FOLDS], F.coalesce(windows[ORDINAL], F.lit(0)).alias(SEGMENT)
-    )
+    return joined.select(*history.columns, FOLDS, F.coalesce(ORDINAL, F.lit(0)).alias(SEGMENT))
 
 
 def fold_totals(

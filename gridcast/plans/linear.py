@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions import features as X
 from gridcast.functions.convert import plus_hours
@@ -60,10 +60,8 @@ def calendar_fit(
     return solve_folds(products, folds, keys, list(terms), 1, on_short)
 
 
-def recent_anomaly(
-    history: DataFrame, folds: DataFrame, fits: DataFrame, keys: Sequence[str], terms: Mapping[str, Column], days: float = 3.0
-) -> DataFrame:
-    """Mean residual over the last ``days`` before each fold's last observation."""
+def recent_rows(history: DataFrame, folds: DataFrame, keys: Sequence[str] = (STATION,), days: float = 3.0) -> DataFrame:
+    """Observations of the last ``days`` up to each fold's last observation, tagged with their fold."""
     observed = history.filter(F.col(Y).isNotNull()).select(*keys, DS, Y)
     stats = assign_segments(observed, folds, keys).groupBy(*keys, FOLDS, SEGMENT).agg(F.max(DS).alias("last_observed"))
     last = fold_totals(stats, folds, keys, maxima=("last_observed",)).select(*keys, FOLDS, CUTOFF, "last_observed")
@@ -73,9 +71,7 @@ def recent_anomaly(
     windows = last.filter(F.col("last_observed").isNotNull()).withColumns(
         {"_since": plus_hours(F.col("last_observed"), -hours) + tick, "_until": F.col("last_observed") + tick}
     )
-    recent = _with_origin(in_window(observed, windows, DS, "_since", "_until", keys, hours), history, keys)
-    scored = predict(recent, fits, keys, terms, "_fit")
-    return scored.groupBy(*keys, FOLDS, CUTOFF, "last_observed").agg(F.avg(F.col(Y) - F.col("_fit")).alias("anomaly"))
+    return in_window(observed, windows, DS, "_since", "_until", keys, hours).drop("_since", "_until")
 
 
 def calendar_regression(
@@ -91,16 +87,26 @@ def calendar_regression(
     name: str = "linear",
     on_short: str = "error",
 ) -> DataFrame:
-    """Calendar regression, plus the recent residual fading with lead time."""
+    """Calendar regression, plus the recent residual fading with lead time.
+
+    Future rows and recent observations are predicted together, so the fits
+    are computed once; the anomaly is then averaged over one fold's rows (its
+    horizon and its few recent days).
+    """
     terms = X.calendar_features(DS, F.col("_origin"), **(harmonics or {}))
     fits = calendar_fit(history, folds, keys, harmonics, on_short)
-    wanted = _with_origin(future_frame(folds.select(*keys, FOLDS, CUTOFF), hours, step_hours), history, keys)
-    rows = predict(wanted, fits, keys, terms, "_fit")
+    wanted = future_frame(folds.select(*keys, FOLDS, CUTOFF), hours, step_hours)
+    if use_anomaly:
+        wanted = wanted.unionByName(recent_rows(history, folds, keys, anomaly_days), allowMissingColumns=True)
+    rows = predict(_with_origin(wanted, history, keys), fits, keys, terms, "_fit")
     yhat = F.col("_fit")
     if use_anomaly:
-        rows = rows.join(recent_anomaly(history, folds, fits, keys, terms, anomaly_days), [*keys, FOLDS, CUTOFF], "left")
-        lead_days = (F.unix_micros(DS) - F.unix_micros("last_observed")) / F.lit(86400e6)
-        yhat = yhat + F.coalesce(X.anomaly_decay(F.col("anomaly"), lead_days, decay_days), F.lit(0.0))
+        fold = Window.partitionBy(*keys, FOLDS, CUTOFF)
+        rows = rows.withColumns(
+            {"_anomaly": F.avg(F.col(Y) - F.col("_fit")).over(fold), "_seen": F.max("last_observed").over(fold)}
+        ).filter(F.col("last_observed").isNull())
+        lead_days = (F.unix_micros(DS) - F.unix_micros("_seen")) / F.lit(86400e6)
+        yhat = yhat + F.coalesce(X.anomaly_decay(F.col("_anomaly"), lead_days, decay_days), F.lit(0.0))
     spread = F.lit(Z95) * residual_sd(len(terms) + 1)
     return shape(rows.withColumn("_yhat", yhat), name, F.col("_yhat"), keys, F.col("_yhat") - spread, F.col("_yhat") + spread)
 

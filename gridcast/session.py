@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -31,6 +32,11 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="gridcast-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder beneath the cluster's shared checkpoint folder.
 
@@ -42,7 +48,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
-        root = tempfile.mkdtemp(prefix="gridcast-")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from gridcast.functions.vocabulary import DS, INIT, INTERPOLATED, LEAD, SOURCE, STATION, TS, VALID, Y
 from gridcast.operators.align import grid
 from gridcast.plans.registry import Setup, fold_sets
-from gridcast.session import pin_utc
+from gridcast.session import cut_lineage, pin_utc
 
 OBS_START, OBS_END = "2024-01-01", "2024-01-31"
 DAY_START, DAY_END = "1995-01-01", "2001-08-02"
@@ -92,14 +92,24 @@ def target(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(skeleton, allowMissingColumns=True).groupBy(STATION, DS).agg(F.avg(Y).alias(Y))
 
 
-def folds(spark: SparkSession, sf: str, history: DataFrame | None = None) -> DataFrame:
-    """Rolling and seasonal cutoffs of B3."""
-    return fold_sets(target(spark, sf) if history is None else history, at(DAY_END), DAILY)
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """B3 written once: models read it several times and must not rebuild it each time."""
+    return cut_lineage(target(spark, sf))
 
 
-def trainable(spark: SparkSession, sf: str) -> DataFrame:
+def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """B2 written once, for queries that read it more than once."""
+    return cut_lineage(panel(spark, sf))
+
+
+def folds(past: DataFrame) -> DataFrame:
+    """Rolling and seasonal cutoffs of B3, a small table that is written once."""
+    return cut_lineage(fold_sets(past, at(DAY_END), DAILY))
+
+
+def trainable(past: DataFrame, runs: DataFrame) -> DataFrame:
     """The folds a covariate model can be trained for."""
-    return fold_sets(target(spark, sf), at(DAY_END), DAILY, panel=panel(spark, sf))
+    return cut_lineage(fold_sets(past, at(DAY_END), DAILY, panel=runs))
 
 
 # --- the same bindings as SQL -----------------------------------------------------

@@ -27,7 +27,9 @@ from queries.bindings import (
     finish,
     folds,
     freshest_sql,
+    history,
     panel,
+    staged_panel,
     table,
     target,
     with_sql,
@@ -158,7 +160,7 @@ FROM folds f JOIN panel p ON p.station_id = f.station_id AND p.valid_time_utc >=
 QUALIFY row_number() OVER (PARTITION BY f.station_id, f.folds, f.cutoff, p.valid_time_utc ORDER BY p.ord DESC) = 1"""))
 def q_freshest_by_cutoff(spark, sf):
     """Whole row of the latest legitimate run per cutoff and valid hour, for every fold at once."""
-    rows = V.forecast_window(panel(spark, sf), folds(spark, sf), DAILY.hours, (STATION,), TIE, rowwise=True)
+    rows = V.forecast_window(panel(spark, sf), folds(history(spark, sf)), DAILY.hours, (STATION,), TIE, rowwise=True)
     return finish(rows.select(STATION, FOLDS, CUTOFF, VALID, INIT, LEAD, "gfs_temperature_c", "gfs_dewpoint_c"), 8)
 
 
@@ -174,14 +176,14 @@ def q_attach_left(spark, sf):
 @query(with_sql(*BASE_SQL, FWINDOW_SQL, COVERED_SQL, select="SELECT * FROM covered"))
 def q_covered_folds(spark, sf):
     """Folds with a complete, null-free legitimate forecast window."""
-    return finish(V.covered_folds(panel(spark, sf), folds(spark, sf), DAILY.hours, (STATION,), DAILY.step_hours, TIE))
+    return finish(V.covered_folds(panel(spark, sf), folds(history(spark, sf)), DAILY.hours, (STATION,), DAILY.step_hours, TIE))
 
 
 @query(with_sql(*TRAINABLE_PARTS, select="SELECT * FROM trainable").replace("u.first_usable + INTERVAL 365 DAY", "u.first_usable + INTERVAL 1825 DAY"))
 def q_trainable_folds(spark, sf):
     """Covered folds whose usable history spans five years."""
-    history = target(spark, sf)
-    rows = V.trainable_folds(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, 1825, (STATION,), DAILY.step_hours, TIE)
+    past = history(spark, sf)
+    rows = V.trainable_folds(past, staged_panel(spark, sf), folds(past), DAILY.hours, 1825, (STATION,), DAILY.step_hours, TIE)
     return finish(rows)
 
 
@@ -190,7 +192,8 @@ SELECT f.station_id, f.folds, f.cutoff, min(a.ds) AS first_usable, max(a.ds) AS
 FROM folds f JOIN attached a ON a.station_id = f.station_id AND a.ds < f.cutoff AND a.y IS NOT NULL AND a.gfs_temperature_c IS NOT NULL GROUP BY ALL"""))
 def q_usable_history(spark, sf):
     """First, last and number of usable training hours before every cutoff."""
-    return finish(V.usable_span(target(spark, sf), panel(spark, sf), folds(spark, sf), (STATION,), TIE))
+    past = history(spark, sf)
+    return finish(V.usable_span(past, panel(spark, sf), folds(past), (STATION,), TIE))
 
 
 @query(with_sql(TARGET_SQL, FOLDS_SQL, select="SELECT * FROM folds WHERE folds = 'rolling'"))

@@ -25,9 +25,10 @@ from queries.bindings import (
     at,
     finish,
     folds,
+    history,
     panel,
+    staged_panel,
     target,
-    trainable,
     with_sql,
 )
 
@@ -81,28 +82,28 @@ OUT = "station_id, model, folds, cutoff, ds, round(yhat, 7) AS yhat, round(yhat_
 @query(with_sql(TARGET_SQL, FOLDS_SQL, future_sql(), CLIMATOLOGY_SQL, select=f"SELECT {OUT} FROM climatology"))
 def q_climatology(spark, sf):
     """Mean over a window of days of the year, from data before each cutoff, all folds in one plan."""
-    history = target(spark, sf)
-    return finish(climatology(history, folds(spark, sf, history), DAILY.hours, KEYS, 24), 7)
+    past = history(spark, sf)
+    return finish(climatology(past, folds(past), DAILY.hours, KEYS, 24), 7)
 
 
 @query(with_sql(TARGET_SQL, FOLDS_SQL, future_sql(), PERSISTENCE_SQL, select=f"SELECT {OUT} FROM persistence"))
 def q_persistence(spark, sf):
     """Last value at each hour of the day within the lookback, all folds in one plan."""
-    history = target(spark, sf)
-    return finish(persistence(history, folds(spark, sf, history), DAILY.hours, KEYS, 24), 7)
+    past = history(spark, sf)
+    return finish(persistence(past, folds(past), DAILY.hours, KEYS, 24), 7)
 
 
 @query(with_sql(*BASE_SQL, FWINDOW_SQL, RAW_SQL, select=f"SELECT {OUT} FROM raw"))
 def q_raw_model(spark, sf):
     """The freshest legitimate forecast as a model without bounds."""
-    return finish(raw_forecast(panel(spark, sf), folds(spark, sf), DAILY.hours, KEYS, TIE), 7)
+    return finish(raw_forecast(panel(spark, sf), folds(history(spark, sf)), DAILY.hours, KEYS, TIE), 7)
 
 
 @query(with_sql(*BASE_SQL, FWINDOW_SQL, ATTACHED_SQL, simple_sql(), select=f"SELECT {OUT} FROM simple WHERE yhat IS NOT NULL"))
 def q_ols_simple(spark, sf):
     """One-regressor correction per cutoff with an 80 per cent interval."""
-    history = target(spark, sf)
-    return finish(simple_correction(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, KEYS, TIE), 7)
+    past = history(spark, sf)
+    return finish(simple_correction(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, TIE), 7)
 
 
 _GRAM_TERMS = ("trend_years", "annual_sin_1", "annual_cos_1")
@@ -136,62 +137,62 @@ p AS (SELECT u.station_id, 'linear' AS model, u.folds, u.cutoff, u.ds, intercept
     select="SELECT station_id, model, folds, cutoff, ds, round(yhat, 7) AS yhat, round(yhat - spread, 7) AS yhat_lower, round(yhat + spread, 7) AS yhat_upper FROM p"))
 def q_anomaly_decay(spark, sf):
     """Trend regression per fold plus its recent residual fading with lead time."""
-    history = target(spark, sf)
-    rows = calendar_regression(history, folds(spark, sf, history), DAILY.hours, KEYS, 24, {"daily": 0, "annual": 0, "interaction": 0})
+    past = history(spark, sf)
+    rows = calendar_regression(past, folds(past), DAILY.hours, KEYS, 24, {"daily": 0, "annual": 0, "interaction": 0})
     return finish(rows, 7)
 
 
 @query()
 def q_calendar_regression(spark, sf):
     """Full calendar regression (trend, daily and annual terms, recent anomaly) at every fold."""
-    history = target(spark, sf)
-    return finish(calendar_regression(history, folds(spark, sf, history), DAILY.hours, KEYS, 24), 6)
+    past = history(spark, sf)
+    return finish(calendar_regression(past, folds(past), DAILY.hours, KEYS, 24), 6)
 
 
 @query()
 def q_forecast_correction(spark, sf):
     """Forecast, lead and calendar regression at every fold, applied to the freshest forecast."""
-    history = target(spark, sf)
-    rows = forecast_correction(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, KEYS, tiebreak=TIE, on_short="drop")
+    past = history(spark, sf)
+    rows = forecast_correction(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, tiebreak=TIE, on_short="drop")
     return finish(rows, 6)
 
 
 @query()
 def q_correction_coefficients(spark, sf):
     """Fitted terms of the forecast correction per fold."""
-    history = target(spark, sf)
-    fits = correction_fit(history, panel(spark, sf), folds(spark, sf, history), KEYS, on_short="drop")
+    past = history(spark, sf)
+    fits = correction_fit(past, panel(spark, sf), folds(past), KEYS, on_short="drop")
     return finish(coefficient_table(fits, KEYS, list(X.correction_features()), "linear_gfs"), 6)
 
 
 @query()
 def q_covariate_all(spark, sf):
     """Correction on all six forecast measures."""
-    history = target(spark, sf)
-    rows = additive(history, folds(spark, sf, history), DAILY.hours, KEYS, panel(spark, sf), ALL_REGRESSORS, False, 24, TIE, "prophet_gfs_all", "drop")
+    past = history(spark, sf)
+    rows = additive(past, folds(past), DAILY.hours, KEYS, staged_panel(spark, sf), ALL_REGRESSORS, False, 24, TIE, "prophet_gfs_all", "drop")
     return finish(rows, 6)
 
 
 @query()
 def q_structural(spark, sf):
     """Additive trend and seasonality with an 80 per cent interval."""
-    history = target(spark, sf)
-    return finish(additive(history, folds(spark, sf, history), DAILY.hours, KEYS, step_hours=24, on_short="drop"), 6)
+    past = history(spark, sf)
+    return finish(additive(past, folds(past), DAILY.hours, KEYS, step_hours=24, on_short="drop"), 6)
 
 
 @query()
 def q_structural_terms(spark, sf):
     """Fitted terms of the additive model per fold."""
-    history = target(spark, sf)
-    fits = additive_fit(history, folds(spark, sf, history), KEYS, step_hours=24, on_short="drop")
+    past = history(spark, sf)
+    fits = additive_fit(past, folds(past), KEYS, step_hours=24, on_short="drop")
     return finish(coefficient_table(fits, KEYS, list(additive_terms(True, (), 24)), "prophet"), 6)
 
 
 @query()
 def q_forecast_merge(spark, sf):
     """Calendar, corrected and raw forecasts side by side."""
-    history = target(spark, sf)
-    rows = merged_forecasts(history, panel(spark, sf), folds(spark, sf, history), DAILY.hours, KEYS, 24, TIE, on_short="drop")
+    past = history(spark, sf)
+    rows = merged_forecasts(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, 24, TIE, on_short="drop")
     return finish(rows, 6)
 
 
@@ -226,11 +227,9 @@ def q_gbt_residual(spark, sf):
 
 @query()
 def q_gbt_backtest(spark, sf):
-    """Boosted correction refitted at seasonal cutoffs."""
-    chosen = trainable(spark, sf).filter(F.col(FOLDS) == "seasonal")
-    history = target(spark, sf)
-    rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
-    if chosen.isEmpty():
-        chosen = folds(spark, sf, history).filter(F.col(FOLDS) == "seasonal")
-    out = B.boosted_backtest(history, rows, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE)
+    """Boosted correction refitted at the seasonal cutoffs."""
+    past = history(spark, sf)
+    runs = cut_lineage(panel(spark, sf).na.drop(subset=["dewpoint_c"]))
+    chosen = folds(past).filter(F.col(FOLDS) == "seasonal")
+    out = B.boosted_backtest(past, runs, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE)
     return finish(out.select(STATION, MODEL, FOLDS, CUTOFF, DS, "yhat"), 6)
