@@ -116,7 +116,7 @@ def summarize(metrics: DataFrame, by: Sequence[str] = (MODEL, FOLDS)) -> DataFra
 
 
 def per_fold(summary: DataFrame) -> DataFrame:
-    return summary.filter(F.col(CUTOFF) != TOTAL)
+    return summary.filter(F.col(CUTOFF).cast("string") != TOTAL)
 
 
 def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float]) -> DataFrame:
@@ -170,7 +170,7 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, quantiles: S
 
 def box_summary(scored: DataFrame, by: Sequence[str] = BY_FOLD) -> DataFrame:
     """Signed-error box per fold: quartiles, whiskers within 1.5 IQR, bias."""
-    errors = scored.filter(F.col(Y).isNotNull()).select(*by, (F.col("yhat") - F.col(Y)).alias("error_c"))
+    errors = scored.select(*by, (F.col("yhat") - F.col(Y)).alias("error_c")).filter(F.col("error_c").isNotNull())
     quartiles = exact_quantiles(errors, by, "error_c", (0.25, 0.5, 0.75))
     boxes = quartiles.select(*by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     joined = errors.join(boxes, list(by))

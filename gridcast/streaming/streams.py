@@ -88,13 +88,14 @@ def freshest_stream(sdf: DataFrame, by: Sequence[str] = (STATION, VALID), valid:
     return timed.groupBy(*by).agg(F.max(INIT).alias(INIT), *[last_known(c, order).alias(c) for c in rest])
 
 
-def pairs_stream(forecasts: DataFrame, observations: DataFrame, keys: Sequence[str] = (STATION,), cutoff: Column | None = None, delay: str = "16 days") -> DataFrame:
+def pairs_stream(forecasts: DataFrame, observations: DataFrame, keys: Sequence[str] = (STATION,), cutoff: Column | None = None, delay: str = "16 days", watermarked: bool = False) -> DataFrame:
     """Forecast and observation pairs as data arrive.
 
     With a static observation table this is a stream-static join; with a
     stream both sides carry watermarks on the valid hour, which bounds state.
+    ``watermarked`` says the forecasts carry theirs already.
     """
-    left = event_time(forecasts, VALID, delay) if forecasts.isStreaming else forecasts
+    left = event_time(forecasts, VALID, delay) if forecasts.isStreaming and not watermarked else forecasts
     if cutoff is not None:
         left = left.filter((F.col(INIT) < cutoff) & (F.col(VALID) < cutoff))
     right = observations.filter(F.col(OBSERVED).isNotNull())
