@@ -65,6 +65,13 @@ def freshest_rows(panel: DataFrame, by: Sequence[str], tiebreak: Sequence[str] =
     return panel.groupBy(*by).agg(best.alias("_row")).select(*by, "_row.*")
 
 
+def _legitimate(rows: DataFrame, folds: DataFrame, hours: int, keys: Sequence[str]) -> DataFrame:
+    """Panel rows inside each fold's window that were issued before its cutoff."""
+    windows = folds.select(*keys, FOLDS, CUTOFF).withColumn("_until", plus_hours(F.col(CUTOFF), hours))
+    met = in_window(rows, windows, VALID, CUTOFF, "_until", keys)
+    return met.filter(F.col(INIT) < F.col(CUTOFF)).drop("_until")
+
+
 def forecast_window(
     panel: DataFrame,
     folds: DataFrame,
@@ -78,12 +85,9 @@ def forecast_window(
     One plan for all folds: panel rows meet the windows covering their valid
     hour through a bucketed equi-join, rows issued at or after the cutoff go.
     """
-    tie = [c for c in tiebreak]
-    source = prefixed(panel, (*keys, *tie))
-    windows = folds.select(*keys, FOLDS, CUTOFF).withColumn("_until", plus_hours(F.col(CUTOFF), hours))
-    met = in_window(source, windows, VALID, CUTOFF, "_until", keys).filter(F.col(INIT) < F.col(CUTOFF)).drop("_until")
+    met = _legitimate(prefixed(panel, (*keys, *tiebreak)), folds, hours, keys)
     by = (*keys, FOLDS, CUTOFF, VALID)
-    return freshest_rows(met, by, tie) if rowwise else freshest(met, by, tie)
+    return freshest_rows(met, by, tiebreak) if rowwise else freshest(met, by, tiebreak)
 
 
 def forecast_at(panel: DataFrame, cutoff: Column, hours: int = HORIZON_HOURS, keys: Sequence[str] = (STATION,), tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -151,15 +155,21 @@ def covered_folds(
     hours: int = HORIZON_HOURS,
     keys: Sequence[str] = (STATION,),
     step_hours: int = 1,
-    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Folds whose whole window has a legitimate forecast with no missing value."""
-    window = forecast_window(panel, folds, hours, keys, tiebreak)
-    holes = F.lit(False)
-    for name in window.columns:
-        holes = holes | F.col(name).isNull()
-    tally = window.groupBy(*keys, FOLDS, CUTOFF).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(holes).alias("_holes"))
-    return tally.filter((F.col("_rows") == hours // step_hours) & (F.col("_holes") == 0)).select(*keys, FOLDS, CUTOFF)
+    source = prefixed(panel, keys)
+    measured = [c for c in source.columns if c not in (*keys, INIT, VALID)]
+    met = _legitimate(source, folds, hours, keys)
+    # A column of the freshest forecast is null only if no run has it, so presence is enough.
+    present = met.groupBy(*keys, FOLDS, CUTOFF, VALID).agg(
+        *[F.max(F.col(c).isNotNull()).alias(c) for c in measured]
+    )
+    complete = F.lit(True)
+    for name in measured:
+        complete = complete & F.col(name)
+    tally = present.groupBy(*keys, FOLDS, CUTOFF).agg(F.count_if(complete).alias("_full"), F.count(F.lit(1)).alias("_rows"))
+    need = hours // step_hours
+    return tally.filter((F.col("_rows") == need) & (F.col("_full") == need)).select(*keys, FOLDS, CUTOFF)
 
 
 def covariate_history(
@@ -170,11 +180,11 @@ def covariate_history(
     return attach_available(rows, panel, cutoff, keys, tiebreak).na.drop(subset=[PREFIX + "temperature_c", Y])
 
 
-def usable_span(
-    history: DataFrame, panel: DataFrame, folds: DataFrame, keys: Sequence[str] = (STATION,), tiebreak: Sequence[str] = ()
-) -> DataFrame:
+def usable_span(history: DataFrame, panel: DataFrame, folds: DataFrame, keys: Sequence[str] = (STATION,)) -> DataFrame:
     """First and last usable training hour, and their count, before every cutoff."""
-    usable = covariate_history(history, panel, None, keys, tiebreak).select(*keys, DS)
+    # Whether an hour has a forecast needs no freshest value: one non-null run is enough.
+    forecast = panel.filter(F.col("temperature_c").isNotNull()).select(*keys, F.col(VALID).alias(DS)).distinct()
+    usable = history.filter(F.col(Y).isNotNull()).select(*keys, DS).join(forecast, [*keys, DS], "left_semi")
     placed = assign_segments(usable, folds, keys)
     stats = placed.groupBy(*keys, FOLDS, SEGMENT).agg(
         F.min(DS).alias("first_usable"), F.max(DS).alias("last_usable"), F.count(F.lit(1)).alias("usable_hours")
@@ -190,11 +200,10 @@ def trainable_folds(
     min_days: int = MIN_TRAINING_DAYS,
     keys: Sequence[str] = (STATION,),
     step_hours: int = 1,
-    tiebreak: Sequence[str] = (),
 ) -> DataFrame:
     """Covered folds whose usable history also spans an annual cycle."""
-    covered = covered_folds(panel, folds, hours, keys, step_hours, tiebreak)
-    span = usable_span(history, panel, folds, keys, tiebreak)
+    covered = covered_folds(panel, folds, hours, keys, step_hours)
+    span = usable_span(history, panel, folds, keys)
     joined = covered.join(span, [*keys, FOLDS, CUTOFF])
     return joined.filter(F.col("last_usable") >= plus_hours(F.col("first_usable"), 24 * min_days)).select(*keys, FOLDS, CUTOFF)
 

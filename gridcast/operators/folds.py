@@ -20,6 +20,7 @@ from gridcast.operators.scan import positions
 
 ORDINAL = "_fold"
 SEGMENT = "_segment"
+EDGES = ("_until", "_from", "_to")
 
 
 def split(frame: DataFrame, cutoff: Column, ds: str = DS) -> tuple[DataFrame, DataFrame]:
@@ -77,9 +78,23 @@ def future_frame(folds: DataFrame, hours: int = HORIZON_HOURS, step_hours: int =
 
 
 def number_folds(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Ordinal of each fold in its series and set, from 1; a series has few folds."""
+    """Each fold's ordinal in its series and set (from 1), the next cutoff, and the first and last cutoff.
+
+    A series has few folds. A table that carries these columns already (a
+    prepared and written one) is used as it is.
+    """
+    if ORDINAL in folds.columns:
+        return folds.select(*keys, FOLDS, CUTOFF, ORDINAL, *EDGES)
     order = Window.partitionBy(*keys, FOLDS).orderBy(CUTOFF)
-    return folds.select(*keys, FOLDS, CUTOFF).distinct().withColumn(ORDINAL, F.row_number().over(order))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return folds.select(*keys, FOLDS, CUTOFF).distinct().withColumns(
+        {
+            ORDINAL: F.row_number().over(order),
+            EDGES[0]: F.lead(CUTOFF).over(order),
+            EDGES[1]: F.first(CUTOFF).over(whole),
+            EDGES[2]: F.last(CUTOFF).over(whole),
+        }
+    )
 
 
 def assign_segments(
@@ -91,23 +106,24 @@ def assign_segments(
     train no fold and are left out.
     """
     size = bucket_hours * 3600
+    until, first, last = EDGES
 
     def bucket(ts: Column) -> Column:
         return F.floor(F.unix_seconds(ts) / F.lit(size)).cast("long")
 
-    edges = folds.groupBy(*keys, FOLDS).agg(F.min(CUTOFF).alias("_from"), F.max(CUTOFF).alias("_to"))
-    scoped = history.join(edges, list(keys))
-    placed = scoped.filter(F.col(ds) < F.col("_to")).withColumn("_bucket", bucket(F.col(ds)))
-    shared = (*keys, FOLDS, "_bucket")
     numbered = number_folds(folds, keys)
-    order = Window.partitionBy(*keys, FOLDS).orderBy(CUTOFF)
+    # One row per series and fold set carries its last cutoff.
+    sets = numbered.filter(F.col(ORDINAL) == 1).select(*keys, FOLDS, last)
+    placed = (
+        history.join(sets, list(keys)).filter(F.col(ds) < F.col(last)).drop(last).withColumn("_bucket", bucket(F.col(ds)))
+    )
+    shared = (*keys, FOLDS, "_bucket")
     windows = (
-        numbered.withColumn("_until", F.lead(CUTOFF).over(order))
-        .filter(F.col("_until").isNotNull())
-        .withColumn("_bucket", F.explode(F.sequence(bucket(F.col(CUTOFF)), bucket(F.col("_until")))))
-        .select(*[F.col(c).alias(f"_w_{c}") for c in shared], F.col(CUTOFF).alias("_since"), "_until", ORDINAL)
+        numbered.filter(F.col(until).isNotNull())
+        .withColumn("_bucket", F.explode(F.sequence(bucket(F.col(CUTOFF)), bucket(F.col(until)))))
+        .select(*[F.col(c).alias(f"_w_{c}") for c in shared], F.col(CUTOFF).alias("_since"), until, ORDINAL)
     )
-    condition = (F.col(ds) >= F.col("_since")) & (F.col(ds) < F.col("_until"))
+    condition = (F.col(ds) >= F.col("_since")) & (F.col(ds) < F.col(until))
     for name in shared:
         condition = (F.col(name) == F.col(f"_w_{name}")) & condition
     joined = placed.join(windows, condition, "left")
@@ -124,24 +140,17 @@ def fold_totals(
 ) -> DataFrame:
     """Running totals of per-segment statistics: one row per fold with its training statistics."""
     every = [*sums, *minima, *maxima]
-    slots = number_folds(folds, keys).select(
-        *keys, FOLDS, CUTOFF, ORDINAL, (F.col(ORDINAL) - 1).alias(SEGMENT)
-    )
+    slots = number_folds(folds, keys).select(*keys, FOLDS, CUTOFF, ORDINAL, (F.col(ORDINAL) - 1).alias(SEGMENT))
     rows = stats.select(*keys, FOLDS, SEGMENT, *every).unionByName(slots, allowMissingColumns=True)
-    merged = rows.groupBy(*keys, FOLDS, SEGMENT).agg(
-        F.max(CUTOFF).alias(CUTOFF),
-        F.max(ORDINAL).alias(ORDINAL),
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.min(c).alias(c) for c in minima],
-        *[F.max(c).alias(c) for c in maxima],
-    )
-    so_far = Window.partitionBy(*keys, FOLDS).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    # Within a segment its statistics come before the fold that may use them.
+    order = Window.partitionBy(*keys, FOLDS).orderBy(SEGMENT, F.col(CUTOFF).isNotNull())
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     running: Mapping[str, Column] = (
         {c: F.sum(c).over(so_far) for c in sums}
         | {c: F.min(c).over(so_far) for c in minima}
         | {c: F.max(c).over(so_far) for c in maxima}
     )
-    return merged.withColumns(dict(running)).filter(F.col(CUTOFF).isNotNull()).drop(SEGMENT)
+    return rows.withColumns(dict(running)).filter(F.col(CUTOFF).isNotNull()).drop(SEGMENT)
 
 
 def before_cutoff(

@@ -136,6 +136,8 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, quantiles: S
         F.min(value).alias("_min"),
         F.max(value).alias("_max"),
     )
+    # A small group is its own bracket: its neighbouring ranks are too few for the slack.
+    few = F.col("_n") <= accuracy
     wanted = sketch.select(
         *by,
         "_n",
@@ -144,8 +146,8 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, quantiles: S
                 F.struct(
                     F.lit(i).alias("i"),
                     F.lit(q).alias("q"),
-                    (F.col("_min") if q <= slack else F.get("_f", F.lit(2 * i))).alias("lo"),
-                    (F.col("_max") if q >= 1 - slack else F.get("_f", F.lit(2 * i + 1))).alias("hi"),
+                    F.when(few | F.lit(q <= slack), F.col("_min")).otherwise(F.get("_f", F.lit(2 * i))).alias("lo"),
+                    F.when(few | F.lit(q >= 1 - slack), F.col("_max")).otherwise(F.get("_f", F.lit(2 * i + 1))).alias("hi"),
                 )
                 for i, q in enumerate(quantiles)
             ])

@@ -92,20 +92,16 @@ def climatology(
         keys,
         ("_all", "_n"),
     ).select(*keys, FOLDS, CUTOFF, (F.col("_all") / F.col("_n")).alias("_fallback"))
-    wanted = future_frame(number_folds(folds, keys), hours, step_hours).withColumns(
+    wanted = future_frame(number_folds(folds, keys).select(*keys, FOLDS, CUTOFF, ORDINAL), hours, step_hours).withColumns(
         {"_day": F.dayofyear(DS) - 1, "_hour": F.hour(DS)}
     )
-    met = (
-        wanted.join(smoothed, [*keys, FOLDS, "_day", "_hour"])
-        .filter(F.col(SEGMENT) < F.col(ORDINAL))
-        .groupBy(*keys, FOLDS, CUTOFF, DS)
-        .agg((F.sum("_total") / F.sum("_count")).alias("_mean"))
-    )
-    rows = (
-        wanted.select(*keys, FOLDS, CUTOFF, DS)
-        .join(met, [*keys, FOLDS, CUTOFF, DS], "left")
-        .join(means, [*keys, FOLDS, CUTOFF], "left")
-    )
+    cell = (*keys, FOLDS, "_day", "_hour")
+    named = smoothed.select(*[F.col(c).alias(f"_c_{c}") for c in cell], SEGMENT, "_total", "_count")
+    earlier = F.col(SEGMENT) < F.col(ORDINAL)
+    for name in cell:
+        earlier = (F.col(name) == F.col(f"_c_{name}")) & earlier
+    met = wanted.join(named, earlier, "left").groupBy(*keys, FOLDS, CUTOFF, DS).agg((F.sum("_total") / F.sum("_count")).alias("_mean"))
+    rows = met.join(means, [*keys, FOLDS, CUTOFF], "left")
     return shape(rows, "climatology", F.coalesce("_mean", "_fallback"), keys)
 
 

@@ -28,6 +28,7 @@ from gridcast.operators import align as A
 from gridcast.operators import compare as K
 from gridcast.operators import metrics as M
 from gridcast.operators.covariates import freshest_rows, require_forecast
+from gridcast.operators.folds import number_folds
 from gridcast.operators.panel import flag_forecasts
 from gridcast.operators.screen import FORECAST_SCREEN, Screen, strip_flags
 from gridcast.plans.baselines import raw_forecast
@@ -138,7 +139,7 @@ def backtest(spark: SparkSession, target_path: str, out_dir: str, cutoff, models
     writers.refuse_existing(spark, paths, overwrite)
     history = cut_lineage(_keyed(readers.parquet_table(spark, target_path, "clean_observations")))
     panel = readers.parquet_table(spark, panel_path, "clean_forecast_runs") if panel_path else None
-    folds = cut_lineage(fold_sets(history, F.lit(cutoff), setup, step_days, panel))
+    folds = cut_lineage(number_folds(fold_sets(history, F.lit(cutoff), setup, step_days, panel), setup.keys))
     if folds.isEmpty():
         raise ValueError("No backtest fold fits inside the history; check the target grid.")
     staged = M.with_truth(run_models(models, history, folds, panel, setup), history, setup.keys)

@@ -116,7 +116,7 @@ def fold_sets(history: DataFrame, cutoff, setup: Setup, step_days: int = ROLLING
     folds = rolling.unionByName(seasonal_cutoffs(history, cutoff, setup.keys, setup.hours, step_hours=setup.step_hours))
     if panel is None:
         return folds
-    return trainable_folds(history, panel, folds, setup.hours, keys=setup.keys, step_hours=setup.step_hours, tiebreak=setup.tiebreak)
+    return trainable_folds(history, panel, folds, setup.hours, keys=setup.keys, step_hours=setup.step_hours)
 
 
 def run_models(names: Sequence[str], history: DataFrame, folds: DataFrame, panel: DataFrame | None, setup: Setup) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gridcast.functions.vocabulary import DS, INIT, INTERPOLATED, LEAD, SOURCE, STATION, TS, VALID, Y
 from gridcast.operators.align import grid
+from gridcast.operators.folds import number_folds
 from gridcast.plans.registry import Setup, fold_sets
 from gridcast.session import cut_lineage, pin_utc
 
@@ -104,12 +105,12 @@ def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def folds(past: DataFrame) -> DataFrame:
     """Rolling and seasonal cutoffs of B3, a small table that is written once."""
-    return cut_lineage(fold_sets(past, at(DAY_END), DAILY))
+    return cut_lineage(number_folds(fold_sets(past, at(DAY_END), DAILY), (STATION,)))
 
 
 def trainable(past: DataFrame, runs: DataFrame) -> DataFrame:
     """The folds a covariate model can be trained for."""
-    return cut_lineage(fold_sets(past, at(DAY_END), DAILY, panel=runs))
+    return cut_lineage(number_folds(fold_sets(past, at(DAY_END), DAILY, panel=runs), (STATION,)))
 
 
 # --- the same bindings as SQL -----------------------------------------------------

@@ -176,14 +176,14 @@ def q_attach_left(spark, sf):
 @query(with_sql(*BASE_SQL, FWINDOW_SQL, COVERED_SQL, select="SELECT * FROM covered"))
 def q_covered_folds(spark, sf):
     """Folds with a complete, null-free legitimate forecast window."""
-    return finish(V.covered_folds(panel(spark, sf), folds(history(spark, sf)), DAILY.hours, (STATION,), DAILY.step_hours, TIE))
+    return finish(V.covered_folds(panel(spark, sf), folds(history(spark, sf)), DAILY.hours, (STATION,), DAILY.step_hours))
 
 
 @query(with_sql(*TRAINABLE_PARTS, select="SELECT * FROM trainable").replace("u.first_usable + INTERVAL 365 DAY", "u.first_usable + INTERVAL 1825 DAY"))
 def q_trainable_folds(spark, sf):
     """Covered folds whose usable history spans five years."""
     past = history(spark, sf)
-    rows = V.trainable_folds(past, staged_panel(spark, sf), folds(past), DAILY.hours, 1825, (STATION,), DAILY.step_hours, TIE)
+    rows = V.trainable_folds(past, staged_panel(spark, sf), folds(past), DAILY.hours, 1825, (STATION,), DAILY.step_hours)
     return finish(rows)
 
 
@@ -193,7 +193,7 @@ FROM folds f JOIN attached a ON a.station_id = f.station_id AND a.ds < f.cutoff
 def q_usable_history(spark, sf):
     """First, last and number of usable training hours before every cutoff."""
     past = history(spark, sf)
-    return finish(V.usable_span(past, panel(spark, sf), folds(past), (STATION,), TIE))
+    return finish(V.usable_span(past, panel(spark, sf), folds(past), (STATION,)))
 
 
 @query(with_sql(TARGET_SQL, FOLDS_SQL, select="SELECT * FROM folds WHERE folds = 'rolling'"))

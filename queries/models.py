@@ -230,6 +230,6 @@ def q_gbt_backtest(spark, sf):
     """Boosted correction refitted at the seasonal cutoffs."""
     past = history(spark, sf)
     runs = cut_lineage(panel(spark, sf).na.drop(subset=["dewpoint_c"]))
-    chosen = folds(past).filter(F.col(FOLDS) == "seasonal")
+    chosen = folds(past).filter(F.col(FOLDS) == "seasonal").select(STATION, FOLDS, CUTOFF)
     out = B.boosted_backtest(past, runs, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE)
     return finish(out.select(STATION, MODEL, FOLDS, CUTOFF, DS, "yhat"), 6)
