@@ -42,7 +42,7 @@ DEFAULT_REGRESSORS = (PREFIX + "temperature_c",)
 def _with_origin(rows: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The trend counts from a series' first observation, the same for all its folds."""
     origin = history.filter(F.col(Y).isNotNull()).groupBy(*keys).agg(F.min(DS).alias("_origin"))
-    return rows.join(origin, list(keys))
+    return rows.join(origin, list(keys), "left")
 
 
 def calendar_fit(

@@ -20,6 +20,7 @@ from gridcast.operators.covariates import trainable_folds
 from gridcast.operators.folds import (
     SEGMENT,
     assign_segments,
+    before_cutoff,
     fold_totals,
     future_frame,
     rolling_cutoffs,
@@ -88,12 +89,12 @@ def per_fold_model(name: str, fit_predict: Callable[[pd.DataFrame, pd.DataFrame]
     """
 
     def run(history: DataFrame, folds: DataFrame, panel: DataFrame | None, setup: Setup) -> DataFrame:
-        from gridcast.operators.folds import before_cutoff
-
         keys = [*setup.keys, FOLDS, CUTOFF]
         asked = folds.select(*keys)
         past = before_cutoff(history.select(*setup.keys, DS, Y), asked, window_hours, setup.keys)
         ahead = future_frame(asked, setup.hours, setup.step_hours)
+        # Both sides descend from the folds; fresh column ids keep the cogroup unambiguous.
+        ahead = ahead.toDF(*ahead.columns)
         types = {f.name: f.dataType.simpleString() for f in ahead.schema.fields}
         schema = ", ".join([f"`{c}` {types[c]}" for c in (*keys, DS)] + ["yhat double", "yhat_lower double", "yhat_upper double"])
 

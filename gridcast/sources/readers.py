@@ -25,33 +25,31 @@ def _all_strings(spark: SparkSession, path: str, comment: str | None = None, glo
     return reader.csv(path)
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths matching a glob, by name; a directory listing, no data is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(status.getPath().toString() for status in found or [])
+
+
 def latest_csv(spark: SparkSession, folder: str, spec: SourceSpec, pattern: str = "weather_*.csv") -> DataFrame:
-    """Rows of the newest file by name in ``folder/<source>``, with their arrival order.
+    """Rows of the newest file (or written folder) by name in ``folder/<source>``, with their arrival order.
 
     Arrival order (file position) decides ties between equal timestamps, as a
     stable sort would.
     """
-    path = f"{folder.rstrip('/')}/{spec.name}"
-    try:
-        # File names only: one metadata column is read, no data columns.
-        names = _all_strings(spark, path, spec.comment, pattern).select(F.col("_metadata.file_name").alias("f"))
-        newest = names.agg(F.max("f")).first()[0]
-    except AnalysisException:
-        newest = None
-    if newest is None:
+    candidates = listed(spark, f"{folder.rstrip('/')}/{spec.name}/{pattern}")
+    if not candidates:
         raise FileNotFoundError(f"No raw CSV for {spec.name} beneath {folder}.")
-    rows = _all_strings(spark, f"{path}/{newest}", spec.comment)
+    rows = _all_strings(spark, candidates[-1], spec.comment)
     return rows.withColumn(ARRIVAL, F.monotonically_increasing_id()).withColumn(TS, C.instant(TS))
 
 
 def forecast_runs(spark: SparkSession, folder: str, pattern: str = "gfs_*.csv", partial: str = ".partial.csv") -> DataFrame:
     """Every finished run file; unfinished checkpoints are left out."""
-    try:
-        rows = _all_strings(spark, folder, glob=pattern)
-    except AnalysisException:
-        rows = None
-    if rows is None or not rows.columns:
+    if not any(not p.endswith(partial) for p in listed(spark, f"{folder.rstrip('/')}/{pattern}")):
         raise FileNotFoundError(f"No forecast runs beneath {folder}.")
+    rows = _all_strings(spark, folder, glob=pattern)
     finished = rows.filter(~F.col("_metadata.file_name").endswith(partial))
     return finished.withColumns({INIT: C.instant(INIT), VALID: C.instant(VALID)})
 
