@@ -78,7 +78,7 @@ def to_hourly(runs: DataFrame, columns: Sequence[str] | None = None, run: Sequen
         runs.select(*run, VALID, *names)
         .withColumns(anchors | {"_next": F.lead(VALID).over(up)})
         .withColumns(targets)
-        .withColumn("_at", F.explode(F.sequence(F.col(VALID), until, hour)))
+        .withColumn("_at", F.explode_outer(F.sequence(F.col(VALID), until, hour)))
     )
     blended = []
     for c in names:

@@ -17,7 +17,8 @@ ARRIVAL = "_order"
 
 def _all_strings(spark: SparkSession, path: str, comment: str | None = None, glob: str | None = None) -> DataFrame:
     """CSV with a header, every column text: typing is explicit and bad text becomes null later."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", False)
+    # A file whose header differs fails loudly instead of being read by position.
+    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
     if comment:
         reader = reader.option("comment", comment)
     if glob:
@@ -42,7 +43,11 @@ def latest_csv(spark: SparkSession, folder: str, spec: SourceSpec, pattern: str
     if not candidates:
         raise FileNotFoundError(f"No raw CSV for {spec.name} beneath {folder}.")
     rows = _all_strings(spark, candidates[-1], spec.comment)
-    return rows.withColumn(ARRIVAL, F.monotonically_increasing_id()).withColumn(TS, C.instant(TS))
+    # Splits may be scheduled in any order, so file and offset come before the row number.
+    order = F.struct(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")
+    )
+    return rows.select("*", order.alias(ARRIVAL)).withColumn(TS, C.instant(TS))
 
 
 def forecast_runs(spark: SparkSession, folder: str, pattern: str = "gfs_*.csv", partial: str = ".partial.csv") -> DataFrame:
@@ -167,7 +172,8 @@ def location_payload(payloads: DataFrame, stations: Sequence[dict], variables: S
         )
         for s in stations
     ])
-    located = counted.select(*carry, F.posexplode("locations").alias("at", "l")).withColumn("s", F.get(asked, F.col("at")))
+    # The outer form: an inner explode would add a size filter that parses the text again.
+    located = counted.select(*carry, F.posexplode_outer("locations").alias("at", "l")).withColumn("s", F.get(asked, F.col("at")))
     arrays = F.arrays_zip(F.col("l.hourly.time").alias("time"), *[F.col(f"l.hourly.{v}").alias(v) for v in variables])
     return located.select(*carry, "s", "l", F.explode(arrays).alias("h")).select(
         *carry,

@@ -100,7 +100,12 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
     """B2 written once, for queries that read it more than once."""
-    return cut_lineage(panel(spark, sf))
+    rows = panel(spark, sf)
+    cores = spark.sparkContext.defaultParallelism
+    if table(spark, sf, "lineitem").rdd.getNumPartitions() < cores:
+        # A table of a single small file would keep every later stage on one core.
+        rows = rows.repartition(cores, STATION, VALID)
+    return cut_lineage(rows)
 
 
 def folds(past: DataFrame) -> DataFrame:
