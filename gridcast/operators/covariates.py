@@ -189,7 +189,8 @@ def usable_span(history: DataFrame, panel: DataFrame, folds: DataFrame, keys: Se
     stats = placed.groupBy(*keys, FOLDS, SEGMENT).agg(
         F.min(DS).alias("first_usable"), F.max(DS).alias("last_usable"), F.count(F.lit(1)).alias("usable_hours")
     )
-    return fold_totals(stats, folds, keys, ("usable_hours",), ("first_usable",), ("last_usable",)).drop("_fold")
+    totals = fold_totals(stats, folds, keys, ("usable_hours",), ("first_usable",), ("last_usable",))
+    return totals.filter(F.col("usable_hours") > 0).select(*keys, FOLDS, CUTOFF, "first_usable", "last_usable", "usable_hours")
 
 
 def trainable_folds(

@@ -311,7 +311,8 @@ def simple_correction_fit(
         "n_rows",
         "slope",
         ((F.col("_y") - F.col("slope") * F.col("_x")) / n).alias("intercept"),
-        F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0)).alias("rss"),
+        # Two points fit exactly; the difference of sums would leave rounding noise.
+        F.when(n > 2, F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))).otherwise(0.0).alias("rss"),
     )
 
 

@@ -68,7 +68,7 @@ RAW_SQL = """raw AS (
 def simple_sql(folds_table: str = "folds") -> str:
     return f"""fits AS (
   SELECT f.station_id, f.folds, f.cutoff, count(*) AS n, regr_slope(a.y, a.gfs_temperature_c) AS slope, regr_intercept(a.y, a.gfs_temperature_c) AS intercept,
-         regr_syy(a.y, a.gfs_temperature_c) - regr_sxy(a.y, a.gfs_temperature_c) ** 2 / regr_sxx(a.y, a.gfs_temperature_c) AS rss
+         CASE WHEN count(*) > 2 THEN greatest(regr_syy(a.y, a.gfs_temperature_c) - regr_sxy(a.y, a.gfs_temperature_c) ** 2 / regr_sxx(a.y, a.gfs_temperature_c), 0) ELSE 0 END AS rss
   FROM {folds_table} f JOIN attached a ON a.station_id = f.station_id AND a.ds < f.cutoff AND a.y IS NOT NULL AND a.gfs_temperature_c IS NOT NULL GROUP BY ALL),
 simple AS (
   SELECT w.station_id, 'prophet_gfs' AS model, w.folds, w.cutoff, w.valid_time_utc AS ds, intercept + slope * gfs_temperature_c AS yhat,

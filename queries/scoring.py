@@ -110,7 +110,7 @@ def q_lead_day_curve(spark, sf):
     rows, _, _ = scored(spark, sf)
     curve = cut_lineage(M.lead_day_curve(M.by_lead_day(rows)))
     ceiling = M.curve_ceiling(curve).first()["ceiling_c"]
-    return finish(curve.withColumn("ceiling_c", F.lit(ceiling)), 7)
+    return finish(curve.withColumn("ceiling_c", F.lit(ceiling).cast("double")), 7)
 
 
 _TOTAL = """totals AS (
