@@ -23,12 +23,14 @@ from gridcast.operators.folds import (
     before_cutoff,
     fold_totals,
     future_frame,
+    number_folds,
     rolling_cutoffs,
     seasonal_cutoffs,
 )
 from gridcast.plans.baselines import climatology, persistence, raw_forecast, shape
 from gridcast.plans.boosted import boosted_backtest
 from gridcast.plans.linear import ALL_REGRESSORS, DEFAULT_REGRESSORS, additive, calendar_regression, forecast_correction, simple_correction
+from gridcast.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -117,7 +119,9 @@ def fold_sets(history: DataFrame, cutoff, setup: Setup, step_days: int = ROLLING
     folds = rolling.unionByName(seasonal_cutoffs(history, cutoff, setup.keys, setup.hours, step_hours=setup.step_hours))
     if panel is None:
         return folds
-    return trainable_folds(history, panel, folds, setup.hours, keys=setup.keys, step_hours=setup.step_hours)
+    # The few fold rows are read by several branches; written once, they cost no further pass over the history.
+    numbered = cut_lineage(number_folds(folds, setup.keys))
+    return trainable_folds(history, panel, numbered, setup.hours, keys=setup.keys, step_hours=setup.step_hours)
 
 
 def run_models(names: Sequence[str], history: DataFrame, folds: DataFrame, panel: DataFrame | None, setup: Setup) -> DataFrame:

@@ -30,12 +30,18 @@ def query(sql: str | None = None):
 
 
 def scored(spark, sf):
-    """Four models on the trainable folds with the truth attached, written once; also history and folds."""
+    """Four models on the trainable folds with the truth attached; also history and folds."""
     past = history(spark, sf)
     runs = staged_panel(spark, sf)
     folds = trainable(past, runs)
     rows = M.with_truth(run_models(NAMES, past, folds, runs, DAILY), past, (STATION,))
-    return cut_lineage(rows), past, folds
+    return rows, past, folds
+
+
+def fold_rows(spark, sf):
+    """Metric rows per model and fold, a small table that comparisons read several times."""
+    rows, _, _ = scored(spark, sf)
+    return cut_lineage(M.fold_metrics(rows))
 
 
 SCORED = (
@@ -123,8 +129,7 @@ _TOTAL = """totals AS (
 SELECT model, folds, strftime(cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, {ROUNDED} FROM metrics UNION ALL SELECT model, folds, cutoff, {ROUNDED} FROM totals"""))
 def q_summary_total(spark, sf):
     """Fold rows plus hour-weighted total rows."""
-    rows, _, _ = scored(spark, sf)
-    return finish(M.summarize(M.fold_metrics(rows)), 7)
+    return finish(M.summarize(fold_rows(spark, sf)), 7)
 
 
 @query(with_sql(*TRAINABLE_PARTS, select="""
@@ -157,8 +162,7 @@ _STATS = """SELECT folds, challenger, reference, count(*) AS n_folds, round(avg(
 @query(with_sql(*SCORED, METRICS_SQL, DIFF_SQL, select=_STATS + ", count(*) >= 8 AS resolving FROM diffs GROUP BY ALL"))
 def q_paired_stats(spark, sf):
     """Every model against the raw forecast on shared folds."""
-    rows, _, _ = scored(spark, sf)
-    stats = K.paired_stats(K.differences(M.fold_metrics(rows), reference="raw_gfs"))
+    stats = K.paired_stats(K.differences(fold_rows(spark, sf), reference="raw_gfs"))
     return finish(stats.withColumn("resolving", F.col("n_folds") >= K.MIN_RESOLVING_FOLDS), 7)
 
 
@@ -168,10 +172,9 @@ def q_paired_stats(spark, sf):
                 select=_STATS + " FROM chosen GROUP BY ALL"))
 def q_paired_list(spark, sf):
     """A chosen list of pairs and fold sets."""
-    rows, _, _ = scored(spark, sf)
     pairs = [("prophet_gfs", "raw_gfs", "rolling"), ("prophet_gfs", "climatology", "rolling"), ("climatology", "persistence", "seasonal")]
     table = spark.createDataFrame(pairs, f"challenger string, reference string, {FOLDS} string")
-    return finish(K.paired_stats(K.differences(M.fold_metrics(rows), pairs=table)), 7)
+    return finish(K.paired_stats(K.differences(fold_rows(spark, sf), pairs=table)), 7)
 
 
 def _index_sql(r: str, j: str, n: str) -> str:
@@ -198,9 +201,7 @@ SELECT folds, challenger, reference, count(*) AS n_folds, round(avg(difference),
        lo > 0 OR hi < 0 AS significant, count(*) >= 8 AS resolving FROM diffs JOIN ci USING (folds, challenger, reference) GROUP BY folds, challenger, reference, lo, hi"""))
 def q_bootstrap(spark, sf):
     """Paired comparison with the full bootstrap interval against the raw forecast."""
-    rows, _, _ = scored(spark, sf)
-    metrics = cut_lineage(M.fold_metrics(rows))
-    return finish(K.compare(metrics, reference="raw_gfs"), 7)
+    return finish(K.compare(fold_rows(spark, sf), reference="raw_gfs"), 7)
 
 
 @query(with_sql(*SCORED, """errors AS (SELECT model, folds, cutoff, yhat - y AS e FROM scored WHERE yhat - y IS NOT NULL),
@@ -211,7 +212,7 @@ SELECT model, folds, cutoff, round(q1, 7) AS q1, round(median, 7) AS median, rou
 def q_box_summary(spark, sf):
     """Signed-error quartiles, whiskers and bias per model and fold."""
     rows, _, _ = scored(spark, sf)
-    return finish(M.box_summary(rows), 7)
+    return finish(M.box_summary(cut_lineage(rows)), 7)
 
 
 @query(with_sql(*SCORED, METRICS_SQL, select=f"""
