@@ -26,7 +26,7 @@ from gridcast.operators.contracts import FORBIDDEN_FEATURES, check_feature_names
 from gridcast.operators.covariates import forecast_at, freshest_rows, latest_run_block, training_pairs
 from gridcast.operators.folds import future_frame
 from gridcast.plans.baselines import shape
-from gridcast.session import cut_lineage
+from gridcast.session import cut_lineage, shared_dir
 
 LABEL = "residual_c"
 RAW = PREFIX + "temperature_c"
@@ -116,6 +116,10 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def _fit(rows: DataFrame, features: Sequence[str], label: str, params: Mapping[str, Any]) -> GBTRegressionModel:
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Hundreds of rounds make a long lineage; the learner checkpoints it when it has a folder.
+        context.setCheckpointDir(shared_dir(rows.sparkSession, "trees"))
     learner = GBTRegressor(featuresCol="_features", labelCol=label, **{**DEFAULT_PARAMS, **params})
     return learner.fit(_assembler(features).transform(rows).select("_features", label))
 
@@ -167,13 +171,17 @@ def fit_boosted(
     features: Sequence[str] = TREE_FEATURES,
     label: str = LABEL,
     validation: DataFrame | None = None,
-    ts: str = VALID,
+    ts: str | None = VALID,
     max_features: int | None = MAX_FEATURES,
     min_importance: float = 0.0,
     params: Mapping[str, Any] | None = None,
     patience: int | None = PATIENCE,
 ) -> Boosted:
-    """Select on the training rows, fit, and stop early on a strictly later block when one is given."""
+    """Select on the training rows, fit, and stop early on a held-out block when one is given.
+
+    ``ts`` names the time by which that block must be unique and strictly
+    later; without it the caller vouches for the order.
+    """
     settings = dict(params or {})
     kept, candidates = select_features(train, features, label, max_features, min_importance, settings)
     model = _fit(train, kept, label, settings)
@@ -181,7 +189,8 @@ def fit_boosted(
     if validation is not None:
         check_features(validation, kept, label)
         check_order([c for c in validation.columns if c in kept], [c for c in train.columns if c in kept])
-        check_holdout(train, validation, ts)
+        if ts is not None:
+            check_holdout(train, validation, ts)
         if patience is not None:
             scored = _assembler(kept).transform(validation).select("_features", F.col(label).alias(model.getLabelCol()))
             best = best_round(model.evaluateEachIteration(scored, "absolute"), patience)
@@ -216,10 +225,7 @@ def residual_recipe(
     settings = dict(params or {})
     # With several series an hour recurs once per series; order is checked on the hours themselves.
     single = not keys or staged.select(*keys).distinct().limit(2).count() == 1
-    if single:
-        trial = fit_boosted(train, TREE_FEATURES, LABEL, validation, VALID, max_features, 0.0, settings, patience)
-    else:
-        trial = _fit_many_series(train, validation, max_features, settings, patience)
+    trial = fit_boosted(train, TREE_FEATURES, LABEL, validation, VALID if single else None, max_features, 0.0, settings, patience)
     corrected = trial.predict(validation).withColumn("corrected_c", F.col(RAW) + F.col("correction_c"))
     final_settings = settings if trial.best_iteration is None else {**settings, "maxIter": trial.best_iteration + 1}
     final = fit_boosted(staged, TREE_FEATURES, LABEL, None, VALID, max_features, 0.0, final_settings, None)
@@ -244,17 +250,6 @@ def residual_recipe(
     return final, report
 
 
-def _fit_many_series(train: DataFrame, validation: DataFrame, max_features: int, settings: Mapping[str, Any], patience: int | None) -> Boosted:
-    kept, candidates = select_features(train, TREE_FEATURES, LABEL, max_features, 0.0, settings)
-    model = _fit(train, kept, LABEL, settings)
-    best = None
-    if patience is not None:
-        scored = _assembler(kept).transform(validation).select("_features", LABEL)
-        best = best_round(model.evaluateEachIteration(scored, "absolute"), patience)
-        model = _fit(train, kept, LABEL, {**settings, "maxIter": best + 1})
-    return Boosted(kept, model, candidates, best, max_features, 0.0, patience)
-
-
 def corrected_forecast(fitted: Boosted, panel: DataFrame, cutoff, hours: int = HORIZON_HOURS, keys: Sequence[str] = (STATION,), tiebreak: Sequence[str] = ()) -> DataFrame:
     """Raw forecast plus the learned correction over one window."""
     rows = fitted.predict(forecast_matrix(panel, cutoff, hours, keys, tiebreak))
