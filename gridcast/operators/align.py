@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridcast.functions.convert import hour_floor, to_local
 from gridcast.functions.vocabulary import MEASURES, SOURCE, STATION, TARGET_COLUMNS, TS, TS_LOCAL, VALUE_SOURCE
+from gridcast.session import spread
 
 
 def last_known(value: Column | str, order: Column) -> Column:
@@ -77,7 +78,7 @@ def align(
     inside = readings.filter((F.col(ts) >= start) & (F.col(ts) < end)).select(
         *keys, hour_floor(ts).alias("_hour"), order.alias("_order"), *names
     )
-    skeleton = grid(known, start, end, "_hour")
+    skeleton = grid(spread(known, *keys), start, end, "_hour")
     both = inside.unionByName(skeleton, allowMissingColumns=True)
     return both.groupBy(*keys, "_hour").agg(
         *[last_known(c, F.col("_order")).alias(c) for c in names]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions.vocabulary import CUTOFF, FOLDS, MODEL
 from gridcast.operators.metrics import per_fold
+from gridcast.session import spread
 
 RESAMPLES = 20_000
 SEED = 20260917
@@ -84,8 +85,7 @@ def resample(diffs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, by:
     sizes = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     # One row per resample is spread over the cluster before the draws fan out.
     fanned = sizes.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    spread = fanned.repartition(*[F.col(c) for c in by], F.col("resample"))
-    slots = spread.withColumn("_j", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    slots = spread(fanned, *by, "resample").withColumn("_j", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     drawn = slots.withColumn("_i", draw_index(F.col("resample"), F.col("_j"), F.col("_n"), seed)).drop("_j", "_n")
     return drawn.join(indexed, [*by, "_i"]).groupBy(*by, "resample").agg(F.avg("difference").alias("mean"))
 

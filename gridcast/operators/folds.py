@@ -17,6 +17,7 @@ from gridcast.functions.convert import plus_hours
 from gridcast.functions.vocabulary import CUTOFF, DS, FOLDS, HORIZON_HOURS, MIN_TRAINING_DAYS, ROLLING_STEP_DAYS
 from gridcast.operators.intervals import in_window
 from gridcast.operators.scan import positions
+from gridcast.session import spread
 
 ORDINAL = "_fold"
 SEGMENT = "_segment"
@@ -74,7 +75,8 @@ def seasonal_cutoffs(
 def future_frame(folds: DataFrame, hours: int = HORIZON_HOURS, step_hours: int = 1) -> DataFrame:
     """The rows to predict: ``hours`` from each cutoff on, one per step."""
     last = plus_hours(F.col(CUTOFF), hours - step_hours)
-    return folds.withColumn(DS, F.explode(F.sequence(F.col(CUTOFF), last, F.expr(f"INTERVAL {step_hours} HOURS"))))
+    scattered = spread(folds, *[c for c in folds.columns if not c.startswith("_")])
+    return scattered.withColumn(DS, F.explode_outer(F.sequence(F.col(CUTOFF), last, F.expr(f"INTERVAL {step_hours} HOURS"))))
 
 
 def number_folds(folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

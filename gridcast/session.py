@@ -52,6 +52,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df, *columns: str):
+    """Hash rows over the whole cluster before a generator multiplies them.
+
+    A few small rows would otherwise be coalesced into one task that then
+    emits all the generated rows. An explicit partition count is kept as it is.
+    """
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *columns)
+
+
 def cut_lineage(df):
     """Write ``df`` to the shared folder and read it back with a short lineage.
 

@@ -13,7 +13,7 @@ from gridcast.functions.vocabulary import DS, INIT, INTERPOLATED, LEAD, SOURCE,
 from gridcast.operators.align import grid
 from gridcast.operators.folds import number_folds
 from gridcast.plans.registry import Setup, fold_sets
-from gridcast.session import cut_lineage, pin_utc
+from gridcast.session import cut_lineage, pin_utc, spread
 
 OBS_START, OBS_END = "2024-01-01", "2024-01-31"
 DAY_START, DAY_END = "1995-01-01", "2001-08-02"
@@ -89,7 +89,7 @@ def target(spark: SparkSession, sf: str) -> DataFrame:
         F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias(DS),
         F.log("o_totalprice").alias(Y),
     )
-    skeleton = grid(rows.select(STATION).distinct(), at(DAY_START), at(DAY_END), DS, "1 day")
+    skeleton = grid(spread(rows.select(STATION).distinct(), STATION), at(DAY_START), at(DAY_END), DS, "1 day")
     return rows.unionByName(skeleton, allowMissingColumns=True).groupBy(STATION, DS).agg(F.avg(Y).alias(Y))
 
 
