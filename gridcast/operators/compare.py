@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridcast.functions.vocabulary import CUTOFF, FOLDS, MODEL
 from gridcast.operators.metrics import per_fold
@@ -15,6 +15,7 @@ from gridcast.session import spread
 RESAMPLES = 20_000
 SEED = 20260917
 MIN_RESOLVING_FOLDS = 8
+BROADCAST_ROWS = 100_000
 PAIR = ("challenger", "reference")
 
 # Multiplier and increment of the 31-bit mixing steps.
@@ -22,19 +23,20 @@ _MASK = 2147483647
 _STEPS = ((1103515245, 12345), (22695477, 1), (1664525, 1013904223))
 
 
-def draw_index(resample: Column, slot: Column, size: Column, seed: int) -> Column:
-    """Uniform index below ``size`` for one bootstrap draw, a pure function of its arguments.
+def with_draws(df: DataFrame, resample: str, slot: str, size: str, seed: int, out: str) -> DataFrame:
+    """Add a uniform index below ``size`` per bootstrap draw, a pure function of its row.
 
     Counter-based: no generator state, so any task computes any draw and a
     retried task repeats it exactly. Integer arithmetic stays below 2**62.
+    Each mixing step is its own projection: nested into one expression, every
+    step would evaluate the one before it twice.
     """
-    x = (resample * F.lit(40503) + F.lit(seed % _MASK)).bitwiseAND(F.lit(_MASK))
-    x = (x * F.lit(1103515245) + slot * F.lit(2654435) + F.lit(12345)).bitwiseAND(F.lit(_MASK))
+    mask, x = F.lit(_MASK), F.col(out)
+    mixed = df.withColumn(out, (F.col(resample) * F.lit(40503) + F.lit(seed % _MASK)).bitwiseAND(mask))
+    mixed = mixed.withColumn(out, (x * F.lit(1103515245) + F.col(slot) * F.lit(2654435) + F.lit(12345)).bitwiseAND(mask))
     for a, c in _STEPS:
-        x = x.bitwiseXOR(F.shiftright(x, 15))
-        x = (x * F.lit(a) + F.lit(c)).bitwiseAND(F.lit(_MASK))
-    x = x.bitwiseXOR(F.shiftright(x, 13))
-    return F.shiftright(x * size, 31)
+        mixed = mixed.withColumn(out, (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(a) + F.lit(c)).bitwiseAND(mask))
+    return mixed.withColumn(out, F.shiftright(x.bitwiseXOR(F.shiftright(x, 13)) * F.col(size), 31))
 
 
 def differences(summary: DataFrame, metric: str = "mae_c", reference: str | None = None, pairs: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -78,16 +80,20 @@ def resample(diffs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, by:
     """Mean difference of every bootstrap resample: (by, resample, mean).
 
     Draws are generated from one row per pair, resolved to fold differences by
-    an equi-join on the drawn index, and averaged; nothing is collected.
+    an equi-join on the drawn index, and averaged; nothing is collected. The
+    differences are broadcast when counted as few, shuffled otherwise.
     """
     order = Window.partitionBy(*by).orderBy(CUTOFF)
     indexed = diffs.withColumn("_i", (F.row_number().over(order) - 1).cast("long")).select(*by, "_i", "difference")
     sizes = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     # One row per resample is spread over the cluster before the draws fan out.
     fanned = sizes.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    slots = spread(fanned, *by, "resample").withColumn("_j", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    drawn = slots.withColumn("_i", draw_index(F.col("resample"), F.col("_j"), F.col("_n"), seed)).drop("_j", "_n")
-    return drawn.join(indexed, [*by, "_i"]).groupBy(*by, "resample").agg(F.avg("difference").alias("mean"))
+    slots = spread(fanned, *by, "resample").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    drawn = with_draws(slots, "resample", "_j", "_n", seed, "_i").drop("_j", "_n")
+    # Generated draws look as small as the pairs they came from and must not be the broadcast side.
+    few = diffs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    resolved = F.broadcast(indexed) if few else indexed.hint("shuffle_hash")
+    return drawn.join(resolved, [*by, "_i"]).groupBy(*by, "resample").agg(F.avg("difference").alias("mean"))
 
 
 def intervals(draws: DataFrame, by: Sequence[str] = (FOLDS, *PAIR), confidence: float = 95.0) -> DataFrame:

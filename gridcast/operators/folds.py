@@ -190,14 +190,15 @@ def position_folds(
         F.col("origin").alias("train_rows"),
         F.lit(horizon).cast("long").alias("validation_rows"),
     )
-    # Bucket positions by horizon: a fold's block touches at most two buckets.
+    # Bucket positions by horizon: a fold's block touches at most two buckets. Folds are generated
+    # from one row per series, whose size says nothing about theirs: no broadcast.
     bucketed = folds.withColumn(
         "_bucket",
         F.explode(F.sequence(F.floor(F.col("origin") / horizon), F.floor((F.col("origin") + horizon - 1) / horizon))),
     )
     points = placed.withColumn("_bucket", F.floor(F.col("position") / horizon))
     validation = (
-        points.join(bucketed, [*keys, "_bucket"])
+        points.join(bucketed.hint("merge"), [*keys, "_bucket"])
         .filter((F.col("position") >= F.col("origin")) & (F.col("position") < F.col("origin") + horizon))
         .withColumn("lead_position", F.col("position") - F.col("origin"))
         .drop("_bucket")

@@ -137,7 +137,8 @@ def solve_folds(
 
 def predict(rows: DataFrame, fits: DataFrame, keys: Sequence[str], features: Mapping[str, Column], out: str = "yhat") -> DataFrame:
     """Dot product of each row's features with its fold's coefficients."""
-    joined = rows.join(fits, [*keys, FOLDS, CUTOFF])
+    # Generated rows look as small as the folds they came from; the hint keeps Spark from broadcasting them.
+    joined = rows.join(fits.hint("shuffle_hash"), [*keys, FOLDS, CUTOFF])
     total = F.col("intercept")
     for i, value in enumerate(features.values()):
         total = total + F.get("coefficients", F.lit(i)) * value

@@ -88,3 +88,18 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_coverage_reduces_before_its_shuffle(spark):
     plan = plan_of(entry.queries()["q_covered_folds"](spark, SF))
     assert "partial_max" in plan and "SortAggregate" not in plan
+
+
+def broadcast_build_sides(plan: str) -> list[str]:
+    return [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+
+
+def test_generated_rows_are_never_broadcast(spark):
+    from gridcast.operators import compare as K
+
+    rows = [("rolling", "a", "b", f"{i:03d}", float(i)) for i in range(40)]
+    diffs = spark.createDataFrame(rows, "folds string, challenger string, reference string, cutoff string, difference double")
+    joins = broadcast_build_sides(plan_of(K.resample(diffs, 100)))
+    assert joins and all("BuildRight" in j for j in joins)
+    plan = plan_of(entry.queries()["q_calendar_regression"](spark, SF))
+    assert "ShuffledHashJoin" in plan

@@ -120,14 +120,13 @@ def test_interval_agrees_with_numpy(spark):
 
 def test_draws_are_uniform(spark):
     n = 19
-    draws = spark.range(20000).select(K.draw_index(F.col("id"), F.lit(7).cast("long"), F.lit(n).cast("long"), K.SEED).alias("i"))
-    counts = np.zeros(n)
-    for r in draws.groupBy("i").count().collect():
-        counts[r["i"]] = r["count"]
+    slots = spark.range(20000).select(F.col("id").alias("r"), F.lit(n).cast("long").alias("n"), F.explode(F.array(*[F.lit(j).cast("long") for j in (3, 4)])).alias("j"))
+    draws = K.with_draws(slots, "r", "j", "n", K.SEED, "i").toPandas()
+    counts = np.bincount(draws[draws.j == 3].i, minlength=n)
     chi = ((counts - 20000 / n) ** 2 / (20000 / n)).sum()
-    assert counts.min() > 0 and chi < 50
-    pair = spark.range(20000).select(*[K.draw_index(F.col("id"), F.lit(j).cast("long"), F.lit(n).cast("long"), K.SEED).alias(f"i{j}") for j in (3, 4)])
-    assert abs(pair.stat.corr("i3", "i4")) < 0.03
+    assert len(counts) == n and counts.min() > 0 and chi < 50
+    wide = draws.pivot(index="r", columns="j", values="i")
+    assert abs(np.corrcoef(wide[3], wide[4])[0, 1]) < 0.03
 
 
 def test_clear_differences_are_significant_and_noise_is_not(spark):
