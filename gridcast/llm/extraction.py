@@ -290,12 +290,11 @@ def train(pages: DataFrame) -> Model:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars): the main text of every page. The model is broadcast: potentials of a bounded sample."""
+    """(page_id, url, text, n_chars): the main text of every page. The model, potentials of a bounded sample, goes with the tasks."""
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    shared = pages.sparkSession.sparkContext.broadcast(train(read))
+    model = train(read)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             texts = [model.text(h) for h in batch.column("html").to_pylist()]
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]

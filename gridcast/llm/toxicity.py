@@ -191,12 +191,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def differences(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with the model's ``_difference``; the model is broadcast (bounded by ``KEPT``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``columns`` of ``docs`` with the model's ``_difference``; the model (bounded by ``KEPT``) goes with the tasks."""
     read = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("_scored"))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.difference
+        of = model.difference
         for batch in batches:
             found = [of(t) for t in batch.column("_scored").to_pylist()]
             arrays = [*(batch.column(c) for c in columns), pa.array(found, pa.float64())]
