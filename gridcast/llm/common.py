@@ -16,6 +16,8 @@ WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
+FILTER_BITS = 1 << 25
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,22 @@ def row_hash() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("text").isNull())
 
 
+def thinned(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose hash ``column`` is in ``wanted``, and some more: one bit a hash, in a table of fixed size.
+
+    The table is broadcast; it has at most ``FILTER_BITS`` bits (8 MB in rows of
+    64), whatever the data. It only spares rows that a join would drop a shuffle.
+    """
+    slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    bits = (
+        wanted.select(slot.alias("slot"))
+        .groupBy(F.floor(F.col("slot") / 64).alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits"))
+    )
+    held = df.withColumn("_slot", slot).join(F.broadcast(bits), F.floor(F.col("_slot") / 64) == F.col("_word"))
+    return held.where("shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1 = 1").drop("_slot", "_word", "_bits")
+
+
 def streamed_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables made of whole groups, from batches sorted by ``keys``.
 
@@ -98,9 +116,8 @@ def _stars(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = (
-        both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-    )
+    # Rows that repeat here are harmless; they go at the end of the round.
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     linked = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
@@ -115,10 +132,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b")
     current, before = stage(pairs.distinct()), None
+    if current.isEmpty():
+        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         counted = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         seen = (counted[0], counted[1])
-        if not seen[0] or seen == before:
+        if seen == before:
             break
         before = seen
         current = stage(_stars(current))
