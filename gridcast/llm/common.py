@@ -38,6 +38,13 @@ def byte_texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a task derives from long texts stays small."""
+    for batch in batches:
+        for i in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(i, rows)
+
+
 def row_hash() -> Column:
     """Names a row by its doc_id and text, so that rows repeating a doc_id can be told apart."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("text").isNull())
