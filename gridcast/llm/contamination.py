@@ -9,10 +9,10 @@ agree on most of their 3m written words. Bit-sampling LSH compares a few
 sampled steps at a time, in ``BANDS`` bands for each of ``WALKS`` independent walks;
 windows that agree with an item on one band are verified by exact edit distance.
 
-Windows are item-sized and begin at every word. Before they are embedded, one
-condition that every true match meets leaves most of them out: each edit
-destroys at most two of the item's m-1 word pairs, so the window and the
-slack behind it hold at least ``m - 1 - 2 * floor(0.2 m)`` pairs of the benchmark.
+Windows are item-sized and begin at every word. Before they are embedded, a
+condition that every true match meets leaves most of them out: an edit destroys
+at most q of the item's m-q+1 runs of q words, so the window and the slack
+behind it hold at least ``m - q + 1 - q * floor(0.2 m)`` known runs, for pairs and for triples.
 
 The benchmark is taken in blocks of bounded size, one pass over the documents
 each; a block's words and items are broadcast. Items under five words have no
@@ -33,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import byte_texts, row_hash, stage, words_of
+from gridcast.llm.common import byte_texts, parts, row_hash, stage, words_of
 from gridcast.llm.edits import bounded
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
 WALKS, BANDS, SAMPLED = 4, 12, 4
 BLOCK_ITEMS, BLOCK_WORDS = 5_000, 500_000
-PAIR_BITS = 22
+TABLE_BITS = 20
+#: Lengths of the word runs that a match must keep enough of.
+RUNS = (2, 3)
+#: Written words of walks that are held at a time.
+WRITTEN = 4_000_000
 #: Words of documents that are searched at a time.
 CHUNK_WORDS = 1 << 20
 RESULT = "doc_id long, row long, item_id long, similarity double, start_word long, n_words long"
@@ -50,10 +54,18 @@ def edits_allowed(m: int) -> int:
     return int((1 - SIMILARITY) * m + 1e-9)
 
 
-def pair_slots(ids: np.ndarray) -> np.ndarray:
-    """Slot of each neighbouring pair of ids in the table of known pairs; collisions only let more windows through."""
-    mixed = (ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def slots(ids: np.ndarray, size: int) -> np.ndarray:
+    """Slot of every run of ``size`` words in the table of known runs; collisions only let more windows through."""
+    mixed = np.zeros(max(len(ids) - size + 1, 0), dtype=np.uint64)
+    for i in range(size):
+        mixed = (mixed ^ ids[i : len(ids) - size + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return ((mixed * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def runs_needed(m: int, size: int) -> int:
+    """Runs of ``size`` words that a match of an m-word item keeps at least: an edit destroys at most ``size`` of them."""
+    return m - size + 1 - size * edits_allowed(m)
 
 
 class Items:
@@ -63,13 +75,16 @@ class Items:
         self.vocabulary: dict[bytes, int] = {}
         self.ids: list[int | None] = []
         self.words: list[np.ndarray] = []
+        self.drawn: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for item_id, found in rows:
             self.ids.append(item_id)
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], dtype=np.int64))
         self.pad = len(self.vocabulary) + 1
-        self.known = np.zeros(1 << PAIR_BITS, dtype=bool)
-        for w in self.words:
-            self.known[pair_slots(w)] = True
+        # One bit of a slot for each item size; more than 64 sizes share bits.
+        self.known = {size: np.zeros(1 << TABLE_BITS, dtype=np.uint64) for size in RUNS}
+        for size, known in self.known.items():
+            for w in self.words:
+                known[slots(w, size)] |= self.bit(len(w))
         self.by_size: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             self.by_size.setdefault(len(w), []).append(i)
@@ -91,14 +106,22 @@ class Items:
                     bands.append((key[order], np.array(members)[order]))
                 self.keys[(m, walk)] = bands
 
+    def draws(self, m: int, walk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Random moves by step and class of word, sampled steps, and the salts that class words anew at every step."""
+        if (m, walk) not in self.drawn:
+            rng = np.random.default_rng([m, walk])
+            moves = rng.integers(0, 2, size=(3 * m, 64), dtype=np.int8)
+            self.drawn[(m, walk)] = (moves, rng.integers(0, 3 * m, size=(BANDS, SAMPLED)), rng.integers(1, 2**62, size=3 * m, dtype=np.int64) | 1)
+        return self.drawn[(m, walk)]
+
+    @staticmethod
+    def bit(m: int) -> np.uint64:
+        return np.uint64(1 << m % 64)
+
     def sampled(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, m: int, walk: int) -> list[np.ndarray]:
         """Band keys of windows ``[start, end)`` of ``ids``: the CGK walk of 3m steps, then its sampled steps."""
         steps = 3 * m
-        rng = np.random.default_rng([m, walk])
-        moves = rng.integers(0, 2, size=(steps, 64), dtype=np.int64)
-        chosen = rng.integers(0, steps, size=(BANDS, SAMPLED))
-        # A word's class for a step is a hash of both, so no table grows with the vocabulary.
-        salts = rng.integers(1, 2**62, size=steps, dtype=np.int64) | 1
+        moves, chosen, salts = self.draws(m, walk)
         written = np.empty((steps, len(starts)), dtype=np.int64)
         at = starts.copy()
         for j in range(steps):
@@ -120,20 +143,42 @@ class Items:
         n = len(ids)
         if n < LEAST_WORDS:
             return found
-        hits = np.zeros(n, dtype=np.int64)
-        hits[1:] = np.cumsum(self.known[pair_slots(ids)] & (ids[:-1] > 0) & (ids[1:] > 0))
-        needed = lambda m: m - 1 - 2 * edits_allowed(m)
-        reach = lambda p, m: np.minimum(p + m + edits_allowed(m), ends[p]) - 1
+        marks = {}
+        for size, known in self.known.items():
+            marks[size] = np.zeros(n, dtype=np.uint64)
+            marks[size][: n - size + 1] = known[slots(ids, size)]
+            for i in range(size):
+                marks[size][: n - size + 1][ids[i : n - size + 1 + i] == 0] = 0
+
+        def held(p: np.ndarray, reach: np.ndarray, at: np.ndarray, size: int, bits: np.uint64, wanted: int) -> np.ndarray:
+            """The places ``p`` whose ``reach`` words hold enough runs of one size; ``at`` lists the words that count."""
+            if wanted <= 0 or not len(p):
+                return p
+            sums = np.concatenate([[0], np.cumsum((marks[size][at] & bits) > 0)])
+            first = np.searchsorted(at, p)
+            return p[sums[first + np.maximum(reach - size + 1, 0)] - sums[first] >= wanted]
+
         everywhere = np.arange(n)
+        rare = RUNS[-1]
         for sizes in self.classes:
             span = sizes[-1] + edits_allowed(sizes[-1])
-            least = min(needed(m) for m in sizes)
-            last = np.minimum(everywhere + span - 1, n - 1)
-            some = np.flatnonzero(hits[last] - hits >= least)
+            bits = np.bitwise_or.reduce([self.bit(m) for m in sizes])
+            some = held(everywhere, np.minimum(span, n - everywhere), everywhere, rare, bits, min(runs_needed(m, rare) for m in sizes))
+            if not len(some):
+                continue
+            # From here on only the words behind the places that are left are looked at.
+            covered = np.zeros(n + 1, dtype=np.int32)
+            np.add.at(covered, some, 1)
+            np.add.at(covered, np.minimum(some + span, n), -1)
+            at = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
             for m in sizes:
-                p = some[hits[np.maximum(reach(some, m), some)] - hits[some] >= needed(m)]
-                if len(p):
-                    self.verify(ids, ends, p, m, found)
+                p = some
+                for size in RUNS[::-1]:
+                    reach = np.minimum(p + m + edits_allowed(m), ends[p]) - p
+                    p = held(p, reach, at, size, self.bit(m), runs_needed(m, size))
+                step = max(WRITTEN // (3 * m), 1)
+                for i in range(0, len(p), step):
+                    self.verify(ids, ends, p[i : i + step], m, found)
         return found
 
     def verify(self, ids, ends, p, m, found) -> None:
@@ -176,7 +221,7 @@ def matches_in_block(docs: DataFrame, rows: list[tuple[int | None, list[bytes]]]
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shared.value)
         get = items.vocabulary.get
-        for batch in batches:
+        for batch in parts(batches):
             doc_ids, row_ids = batch.column("doc_id"), batch.column("row")
             out: list[tuple] = []
             flat: list[int] = []
