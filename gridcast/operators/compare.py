@@ -15,7 +15,6 @@ from gridcast.session import spread
 RESAMPLES = 20_000
 SEED = 20260917
 MIN_RESOLVING_FOLDS = 8
-BROADCAST_ROWS = 100_000
 PAIR = ("challenger", "reference")
 
 # Multiplier and increment of the 31-bit mixing steps.
@@ -58,6 +57,14 @@ def differences(summary: DataFrame, metric: str = "mae_c", reference: str | None
     return met.select(*keys, FOLDS, *PAIR, CUTOFF, (F.col("_a") - F.col("_b")).alias("difference"))
 
 
+def require_one_row(summary: DataFrame, keys: Sequence[str] = ()) -> None:
+    """Differences pair rows by their key; a key held by several rows would pair every one with every other."""
+    names = [*keys, FOLDS, CUTOFF, MODEL]
+    repeated = per_fold(summary).groupBy(*names).count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"The summary has several rows for one of {names}; name the columns that tell them apart as keys.")
+
+
 def require_pairs(summary: DataFrame, pairs: Sequence[tuple[str, str, str]], metric: str = "mae_c") -> None:
     """Unknown models or pairs without a shared fold are errors."""
     known = {(r[FOLDS], r[MODEL]) for r in per_fold(summary).filter(F.col(metric).isNotNull()).select(FOLDS, MODEL).distinct().collect()}
@@ -80,8 +87,7 @@ def resample(diffs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, by:
     """Mean difference of every bootstrap resample: (by, resample, mean).
 
     Draws are generated from one row per pair, resolved to fold differences by
-    an equi-join on the drawn index, and averaged; nothing is collected. The
-    differences are broadcast when counted as few, shuffled otherwise.
+    an equi-join on the drawn index, and averaged; nothing is collected.
     """
     order = Window.partitionBy(*by).orderBy(CUTOFF)
     indexed = diffs.withColumn("_i", (F.row_number().over(order) - 1).cast("long")).select(*by, "_i", "difference")
@@ -90,10 +96,8 @@ def resample(diffs: DataFrame, resamples: int = RESAMPLES, seed: int = SEED, by:
     fanned = sizes.withColumn("resample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
     slots = spread(fanned, *by, "resample").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     drawn = with_draws(slots, "resample", "_j", "_n", seed, "_i").drop("_j", "_n")
-    # Generated draws look as small as the pairs they came from and must not be the broadcast side.
-    few = diffs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    resolved = F.broadcast(indexed) if few else indexed.hint("shuffle_hash")
-    return drawn.join(resolved, [*by, "_i"]).groupBy(*by, "resample").agg(F.avg("difference").alias("mean"))
+    # Generated draws look as small as the pairs they came from; the hint keeps them from being the built side.
+    return drawn.join(indexed.hint("shuffle_hash"), [*by, "_i"]).groupBy(*by, "resample").agg(F.avg("difference").alias("mean"))
 
 
 def intervals(draws: DataFrame, by: Sequence[str] = (FOLDS, *PAIR), confidence: float = 95.0) -> DataFrame:

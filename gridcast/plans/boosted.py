@@ -70,9 +70,10 @@ class Boosted:
     max_features: int | None = MAX_FEATURES
     min_importance: float = 0.0
     patience: int | None = PATIENCE
+    forbidden: frozenset[str] = FORBIDDEN_FEATURES
 
     def predict(self, rows: DataFrame, out: str = "correction_c") -> DataFrame:
-        check_feature_names(rows, self.features)
+        check_feature_names(rows, self.features, self.forbidden)
         vectors = _assembler(self.features).transform(rows)
         return self.model.setPredictionCol(out).transform(vectors).drop("_features")
 
@@ -82,15 +83,10 @@ class Boosted:
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         record = {
-            "artifact_version": ARTIFACT_VERSION,
-            "selected_features": self.features,
-            "selector_importances": self.candidates,
-            "selector_max_features": self.max_features,
-            "selector_min_importance": self.min_importance,
-            "forbidden_features": sorted(FORBIDDEN_FEATURES),
-            "forecaster_features": self.features,
-            "early_stopping_rounds": self.patience,
-            "best_iteration": self.best_iteration,
+            "version": ARTIFACT_VERSION,
+            "contract": {"columns": self.features, "never": sorted(self.forbidden)},
+            "selection": {"importance": self.candidates, "most": self.max_features, "least": self.min_importance},
+            "rounds": {"best": self.best_iteration, "patience": self.patience},
         }
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
@@ -98,16 +94,18 @@ class Boosted:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Boosted":
         record = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-        if record.get("artifact_version") != ARTIFACT_VERSION:
-            raise ValueError("Unsupported model artifact version.")
+        if record.get("version") != ARTIFACT_VERSION:
+            raise ValueError(f"{path} was not saved by this version.")
+        contract, selection, rounds = record["contract"], record["selection"], record["rounds"]
         return cls(
-            features=record["forecaster_features"],
+            features=contract["columns"],
             model=GBTRegressionModel.load(f"{path}/model"),
-            candidates=record["selector_importances"],
-            best_iteration=record["best_iteration"],
-            max_features=record["selector_max_features"],
-            min_importance=record["selector_min_importance"],
-            patience=record["early_stopping_rounds"],
+            candidates=selection["importance"],
+            best_iteration=rounds["best"],
+            max_features=selection["most"],
+            min_importance=selection["least"],
+            patience=rounds["patience"],
+            forbidden=frozenset(contract["never"]),
         )
 
 

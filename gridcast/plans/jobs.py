@@ -165,20 +165,28 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({c: F.col(c).cast(t) for c, t in typed.items() if c in raw.columns})
 
 
+def series_of(summary: DataFrame) -> tuple[str, ...]:
+    """The columns that name a series in a stored summary."""
+    return tuple(c for c in (STATION,) if c in summary.columns)
+
+
 def compare_models(spark: SparkSession, summary_paths: Sequence[str], out_path: str, reference: str, overwrite: bool = False, metric: str = "mae_c", seeded: bool = False) -> str:
     """Paired comparison of stored summaries (several are appended) against one reference."""
     parts = [read_summary(spark, p) for p in summary_paths]
     summary = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    keys = tuple(c for c in (STATION,) if c in summary.columns)
+    keys = series_of(summary)
+    K.require_one_row(summary, keys)
     return writers.write_csv(K.compare(summary, metric, reference, seeded=seeded, keys=keys), out_path, overwrite)
 
 
 def compare_pairs(spark: SparkSession, summary_path: str, pairs: Sequence[tuple[str, str, str]], out_path: str, overwrite: bool = False, seeded: bool = False) -> str:
-    """Chosen (challenger, reference, folds) pairs."""
+    """Chosen (challenger, reference, folds) pairs, each series by itself."""
     summary = read_summary(spark, summary_path)
+    keys = series_of(summary)
     K.require_pairs(summary, pairs)
+    K.require_one_row(summary, keys)
     table = spark.createDataFrame(list(pairs), f"challenger string, reference string, {FOLDS} string")
-    return writers.write_csv(K.compare(summary, pairs=table, seeded=seeded), out_path, overwrite)
+    return writers.write_csv(K.compare(summary, pairs=table, seeded=seeded, keys=keys), out_path, overwrite)
 
 
 def forecast_rows(rows: DataFrame, zone: str) -> DataFrame:

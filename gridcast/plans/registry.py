@@ -83,17 +83,22 @@ def register(name: str, model: Model) -> None:
     MODELS[name] = model
 
 
-def per_fold_model(name: str, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], window_hours: int) -> Model:
+def per_fold_model(name: str, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], window_hours: int | None = None) -> Model:
     """Wrap an opaque pandas model: ``(history, future) -> future with yhat`` per series and fold.
 
-    Each call sees at most ``window_hours`` of history, so a group is bounded
-    by the hourly grid however long the series is.
+    Each call sees all history before its cutoff, as one group. ``window_hours``
+    is for models that want less: then a group is bounded by the hourly grid
+    however long the series is.
     """
 
     def run(history: DataFrame, folds: DataFrame, panel: DataFrame | None, setup: Setup) -> DataFrame:
         keys = [*setup.keys, FOLDS, CUTOFF]
         asked = folds.select(*keys)
-        past = before_cutoff(history.select(*setup.keys, DS, Y), asked, window_hours, setup.keys)
+        seen = history.select(*setup.keys, DS, Y)
+        if window_hours is None:
+            past = seen.join(asked, list(setup.keys)).where(F.col(DS) < F.col(CUTOFF))
+        else:
+            past = before_cutoff(seen, asked, window_hours, setup.keys)
         ahead = future_frame(asked, setup.hours, setup.step_hours)
         # Both sides descend from the folds; fresh column ids keep the cogroup unambiguous.
         ahead = ahead.toDF(*ahead.columns)

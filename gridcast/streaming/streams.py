@@ -8,8 +8,9 @@ newest version of each key. Checkpoints and logs live in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridcast.functions.vocabulary import INIT, LEAD, OBSERVED, SOURCE, STATION, TS, VALID
@@ -62,14 +63,28 @@ def drain(df: DataFrame, keys: Sequence[str], out: str | None = None, checkpoint
     return latest(spark, path, keys)
 
 
-def ingest_runs(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, glob: str = "gfs_*.csv", delay: str = "30 days", fmt: str = "csv") -> StreamingQuery:
-    """Incremental run ingestion: finished files are read once, a restart resumes, repeated leads are dropped."""
+def ingest_runs(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, glob: str = "gfs_*.csv", fmt: str = "csv") -> StreamingQuery:
+    """Incremental run ingestion: finished files are read once, a restart resumes, every lead of a run is stored once.
+
+    A batch stores what no other batch has stored, in a folder of its own that a
+    replay overwrites. Runs may arrive in any order and however late.
+    """
     options = {"header": "true"} if fmt == "csv" else {}
     rows = file_stream(spark, folder, schema, fmt, glob, **options)
     rows = rows.filter(~F.col("_metadata.file_name").endswith(".partial.csv"))
-    timed = event_time(rows, INIT, delay).withColumn(VALID, F.col(VALID).cast("timestamp"))
-    unique = timed.dropDuplicatesWithinWatermark([SOURCE, STATION, INIT, LEAD])
-    return unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    timed = rows.withColumns({c: F.col(c).cast("timestamp") for c in (INIT, VALID)})
+    keys = [SOURCE, STATION, INIT, LEAD]
+    # An empty first folder lets every batch read what is stored already.
+    spark.createDataFrame([], timed.schema).write.mode("overwrite").parquet(f"{out}/{BATCH}=-1")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        known = own.read.schema(T.StructType([*timed.schema.fields, T.StructField(BATCH, T.LongType())])).parquet(out).where(F.col(BATCH) != batch_id)
+        known = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        batch.dropDuplicates(keys).join(known, same, "left_anti").write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+
+    return timed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
 
 
 def collapse_stream(sdf: DataFrame, measures: Sequence[str], keys: Sequence[str] = (SOURCE, STATION), ts: str = TS, delay: str = "2 hours", tiebreak: Sequence[str] = ()) -> DataFrame:

@@ -228,6 +228,17 @@ def test_streaming_ingestion_resumes_and_deduplicates(spark):
     assert spark.read.parquet(out).count() == 10
 
 
+def test_ingestion_keeps_runs_that_arrive_late(spark):
+    df = spark.createDataFrame(run_rows(3, 5), RUNS)
+    folder, out, mark = (shared_dir(spark, n) for n in ("in", "out", "mark"))
+    first = df.agg(F.min("init_time_utc")).first()[0]
+    late = df.filter(F.col("init_time_utc") == first).withColumn("init_time_utc", F.col("init_time_utc") - F.expr("INTERVAL 400 DAYS"))
+    for landed in (df, late, late):
+        landed.write.mode("append").parquet(folder)
+        S.ingest_runs(spark, folder, df.schema, out, mark, "*.parquet", fmt="parquet").awaitTermination()
+    assert spark.read.parquet(out).count() == 20
+
+
 def test_streaming_pairs_both_ways(spark):
     df = spark.createDataFrame(run_rows(2, 10), RUNS).select("station_id", "init_time_utc", "valid_time_utc", F.col("temperature_c").alias("gfs_temperature_c"))
     seen = spark.createDataFrame([("A", ts("2026-01-01T00:00:00") + timedelta(hours=h), float(h)) for h in range(0, 20, 2)], "station_id string, valid_time_utc timestamp, observed_temperature_c double")

@@ -146,3 +146,11 @@ def test_pair_list_and_unknown_models(spark):
         K.require_pairs(df, [("zzz", "a", "rolling")])
     with pytest.raises(ValueError):
         K.require_pairs(df, [("a", "b", "seasonal")])
+
+
+def test_a_repeated_key_is_refused(spark):
+    rows = [("a", "s", "2024-01-01", "m", 1.0), ("b", "s", "2024-01-01", "m", 2.0)]
+    summary = spark.createDataFrame(rows, "station_id string, folds string, cutoff string, model string, mae_c double")
+    K.require_one_row(summary, ("station_id",))
+    with pytest.raises(ValueError):
+        K.require_one_row(summary)
