@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import byte_texts, row_hash, stage
+from gridcast.llm.common import byte_texts, row_hash, stage, unused
 
 LEAST, MOST, CUT_BITS = 24, 2048, 5
 SPAN = 150
@@ -140,16 +140,17 @@ def repeated_spans(docs: DataFrame, least: int = SPAN) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, least: int = SPAN) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, all other columns as they were."""
-    spans = repeated_spans(docs, least).groupBy(F.col("row").alias("_row")).agg(
-        F.array_sort(F.collect_set(F.struct("start_byte", "n_bytes"))).alias("_spans")
+    row, cuts = unused(docs, "_row"), unused(docs, "_spans")
+    spans = repeated_spans(docs, least).groupBy(F.col("row").alias(row)).agg(
+        F.array_sort(F.collect_set(F.struct("start_byte", "n_bytes"))).alias(cuts)
     )
     columns = docs.columns
-    joined = docs.withColumn("_row", row_hash()).join(spans, "_row", "left").select(*[F.col(f"`{c}`") for c in columns], "_spans")
+    joined = docs.withColumn(row, row_hash()).join(spans, row, "left").select(*[F.col(f"`{c}`") for c in columns], cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, found in zip(byte_texts(batch, "text"), batch.column("_spans").to_pylist()):
+            for text, found in zip(byte_texts(batch, "text"), batch.column(cuts).to_pylist()):
                 if found:
                     kept, at = [], 0
                     for span in found:

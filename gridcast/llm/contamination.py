@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import byte_texts, parts, row_hash, stage, words_of
+from gridcast.llm.common import byte_texts, parts, row_hash, stage, unused, words_of
 from gridcast.llm.edits import bounded
 
 SIMILARITY = 0.8
@@ -275,5 +275,6 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns kept."""
-    leaked = stage(matches(docs, benchmark)).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", row_hash()).join(leaked, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = unused(docs, "_row")
+    leaked = stage(matches(docs, benchmark)).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_hash()).join(leaked, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.common import byte_texts, components, row_hash, stage
+from gridcast.llm.common import byte_texts, components, row_hash, stage, unused
 
 BITS = 4
 PARTS = (13, 13, 13, 13, 12)
@@ -173,8 +173,9 @@ def keep_first(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     leading = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     # A group is a component, or a fingerprint where no row of the component has a doc_id.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("print"))]
-    kept = leading.groupBy(*group).agg(F.min("row").alias("_row")).select("_row").distinct()
-    named = docs.withColumn("_row", row_hash()).join(kept, "_row")
+    row, place = unused(docs, "_row"), unused(docs, "_place")
+    kept = leading.groupBy(*group).agg(F.min("row").alias(row)).select(row).distinct()
+    named = docs.withColumn(row, row_hash()).join(kept, row)
     # Repeated rows are equal in doc_id and text; the join has brought them together.
-    place = Window.partitionBy("_row").orderBy(F.lit(0))
-    return named.withColumn("_n", F.row_number().over(place)).where("_n = 1").select(*[named[c] for c in docs.columns])
+    numbered = named.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(F.lit(0))))
+    return numbered.where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

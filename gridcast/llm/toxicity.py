@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import stage
+from gridcast.llm.common import stage, unused
 
 SAMPLE_ROWS = 10_000
 KEPT = 100_000
@@ -191,17 +191,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def differences(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with the model's ``_difference``; the model (bounded by ``KEPT``) goes with the tasks."""
-    read = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias("_scored"))
+    """``columns`` of ``docs`` with the model's difference as the last one; the model (bounded by ``KEPT``) goes with the tasks."""
+    scored, found_as = unused(docs, "_scored"), unused(docs, "_difference")
+    read = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("string").alias(scored))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.difference
         for batch in batches:
-            found = [of(t) for t in batch.column("_scored").to_pylist()]
+            found = [of(t) for t in batch.column(scored).to_pylist()]
             arrays = [*(batch.column(c) for c in columns), pa.array(found, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "_difference"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, found_as])
 
-    return read.mapInArrow(per_batch, T.StructType([*read.schema.fields[:-1], T.StructField("_difference", T.DoubleType())]))
+    return read.mapInArrow(per_batch, T.StructType([*read.schema.fields[:-1], T.StructField(found_as, T.DoubleType())]))
 
 
 def sampled(labelled: DataFrame, where: Column) -> DataFrame:
@@ -263,13 +264,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float, floa
 
 
 def scored(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of every row of ``docs`` with its ``_score`` (0 to 1, higher: toxic)."""
+    """``columns`` of every row of ``docs`` with its score (0 to 1, higher: toxic) as the last one."""
+    name = unused(docs, "_score")
     model, slope, offset = train(docs, labels)
     named = [F.col(f"`{c}`") for c in columns]
     if model is None:
-        return docs.select(*named, F.lit(1 / (1 + math.exp(-offset))).alias("_score"))
-    curve = 1 / (1 + F.exp(-(F.col("_difference") * slope + offset)))
-    return differences(docs, model, *columns).select(*named, curve.alias("_score"))
+        return docs.select(*named, F.lit(1 / (1 + math.exp(-offset))).alias(name))
+    found = differences(docs, model, *columns)
+    curve = 1 / (1 + F.exp(-(F.col(found.columns[-1]) * slope + offset)))
+    return found.select(*named, curve.alias(name))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,4 +288,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns kept."""
-    return scored(docs, labels, *docs.columns).where("_score < 0.5").drop("_score")
+    found = scored(docs, labels, *docs.columns)
+    return found.where(F.col(found.columns[-1]) < 0.5).drop(found.columns[-1])
