@@ -120,25 +120,29 @@ def pairs_stream(forecasts: DataFrame, observations: DataFrame, keys: Sequence[s
 
 
 def flatline_stream(sdf: DataFrame, measure: str, minimum_run: int = 24, keys: Sequence[str] = (SOURCE, STATION), ts: str = TS, delay: str = "2 hours") -> DataFrame:
-    """Alarms on hourly readings: windows of ``minimum_run`` hours that are full and hold one value.
+    """Windows of ``minimum_run`` hours that have a reading in every hour; ``stuck`` says whether all are equal.
 
     An hour lies in a run of at least ``minimum_run`` equal readings exactly
-    when it lies in such a window, so sliding windows replace custom state: a
+    when it lies in a stuck window, so sliding windows replace custom state: a
     busy station spreads over its windows, and state expires with the watermark.
+    Hours are counted, not readings, so a repeated reading is harmless. A later
+    reading that differs sends its windows again with ``stuck`` false, which
+    takes the alarm back from the log.
     """
     timed = event_time(sdf, ts, delay).filter(F.col(measure).isNotNull())
     window = F.window(ts, f"{minimum_run} hours", "1 hour")
-    tested = timed.groupBy(*keys, window.alias("_w")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(measure).alias("_low"), F.max(measure).alias("_high")
+    tested = timed.withColumn("_hour", F.date_trunc("hour", ts)).groupBy(*keys, window.alias("_w")).agg(
+        F.size(F.collect_set("_hour")).alias("_hours"), F.min(measure).alias("_low"), F.max(measure).alias("_high")
     )
-    full = tested.filter((F.col("_n") == minimum_run) & (F.col("_low") == F.col("_high")))
-    return full.select(*keys, F.col("_w.start").alias("run_start"), F.col("_w.end").alias("run_end"), F.col("_low").alias("value"))
+    full = tested.filter(F.col("_hours") == minimum_run)
+    equal = F.col("_low") == F.col("_high")
+    return full.select(*keys, F.col("_w.start").alias("run_start"), F.col("_w.end").alias("run_end"), F.col("_low").alias("value"), equal.alias("stuck"))
 
 
 def stuck_hours(alarms: DataFrame, keys: Sequence[str] = (SOURCE, STATION), ts: str = TS) -> DataFrame:
-    """Distinct hours covered by alarm windows."""
+    """Distinct hours covered by windows that are still stuck; ``alarms`` holds the newest row of every window."""
     hours = F.sequence(F.col("run_start"), F.col("run_end") - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))
-    return alarms.select(*keys, F.explode(hours).alias(ts)).distinct()
+    return alarms.filter("stuck").select(*keys, F.explode(hours).alias(ts)).distinct()
 
 
 def error_stream(pairs: DataFrame, window: str = "1 day", keys: Sequence[str] = (), ts: str = VALID) -> DataFrame:

@@ -81,11 +81,12 @@ def q_stream_pairs(spark, sf):
 
 @query(with_sql(OBS_SQL, ALIGNED_SQL, STUCK_SQL, select="SELECT source, station_id, timestamp_utc FROM sized WHERE stuck"))
 def q_stream_flatline(spark, sf):
-    """Hours inside a day-long run of equal hourly readings, from streaming windows."""
+    """Hours inside a day-long run of equal hourly readings, from streaming windows; every third reading lands twice."""
     cells = A.collapse(readings(spark, sf), ["temperature_c"], tiebreak=["event_id"])
     stepped = cells.withColumn("temperature_c", F.floor(F.col("temperature_c") / 150).cast("double"))
     folder = shared_dir(spark, "hourly")
     stepped.write.parquet(folder)
+    stepped.where(F.hour(TS) % 3 == 0).write.mode("append").parquet(folder)
     stream = S.file_stream(spark, folder, stepped.schema)
     alarms = S.drain(S.flatline_stream(stream, "temperature_c", 24, delay="40 days"), (SOURCE, STATION, "run_start"))
     return finish(S.stuck_hours(alarms))

@@ -255,6 +255,25 @@ def test_streaming_pairs_both_ways(spark):
     assert monitor.agg(F.sum("pairs")).first()[0] == len(expected)
 
 
+def test_streaming_flatline_counts_hours_and_takes_back(spark):
+    keys = ("source", "station_id", "run_start")
+    seven = hourly("2026-01-01T00:00:00", [5.0] * 5 + [None, 5.0])
+    schema = spark.createDataFrame(seven, OBS).schema
+    folder, out, mark = landed(spark, spark.createDataFrame(seven + seven[:1], OBS)), shared_dir(spark, "log"), shared_dir(spark, "mark")
+
+    def stuck():
+        stream = S.file_stream(spark, folder, schema)
+        return rows_of(S.stuck_hours(S.drain(S.flatline_stream(stream, "temperature_c", 6, delay="30 days"), keys, out, mark)), "timestamp_utc")
+
+    # Five hours, one of them read twice, are no run of six.
+    assert stuck() == []
+    spark.createDataFrame(hourly("2026-01-01T05:00:00", [5.0]), OBS).write.mode("append").parquet(folder)
+    assert len(stuck()) == 7
+    # A differing reading of the first hour breaks the first of two windows.
+    spark.createDataFrame(hourly("2026-01-01T00:00:00", [6.0]), OBS).write.mode("append").parquet(folder)
+    assert len(stuck()) == 6
+
+
 def test_streaming_flatline_equals_batch(spark):
     rng = np.random.default_rng(9)
     values = [None if x < 0.05 else float(x > 0.75) for x in rng.random(300)]
