@@ -67,16 +67,30 @@ def check_order(features: Sequence[str], trained: Sequence[str]) -> None:
         raise ValueError("Columns must match the training columns and their order.")
 
 
-def check_holdout(train: DataFrame, validation: DataFrame, ts: str) -> None:
-    """Training and validation times unique, disjoint, and validation strictly later."""
-    for name, part in (("Training", train), ("Validation", validation)):
-        if not part.groupBy(ts).count().filter("count > 1").isEmpty():
+def check_holdout(train: DataFrame, validation: DataFrame, ts: str, keys: Sequence[str] = ()) -> None:
+    """Per series, training and validation times unique, disjoint, and validation strictly later.
+
+    Both sides are counted by (series, time) in one job; only one row reaches the driver.
+    """
+    held = F.col("_held")
+    both = train.select(*keys, F.col(ts).alias("_t"), F.lit(False).alias("_held")).unionByName(
+        validation.select(*keys, F.col(ts).alias("_t"), F.lit(True).alias("_held"))
+    )
+    times = both.groupBy(*keys, "_t").agg(F.count_if(~held).alias("_train"), F.count_if(held).alias("_later"))
+    in_train, in_later = F.col("_train") > 0, F.col("_later") > 0
+    series = times.groupBy(*keys).agg(
+        F.max("_train").alias("train_repeats"),
+        F.max("_later").alias("later_repeats"),
+        F.count_if(in_train & in_later).alias("shared"),
+        (F.max(F.when(in_train, F.col("_t"))) >= F.min(F.when(in_later, F.col("_t")))).alias("early"),
+    )
+    found = series.agg(F.max("train_repeats"), F.max("later_repeats"), F.max("shared"), F.bool_or("early")).first()
+    for name, repeats in (("Training", found[0]), ("Validation", found[1])):
+        if repeats is not None and repeats > 1:
             raise ValueError(f"{name} times must be unique.")
-    if not validation.join(train.select(ts), ts, "left_semi").isEmpty():
+    if found[2]:
         raise ValueError("Training and validation times cannot overlap.")
-    last = train.agg(F.max(ts)).first()[0]
-    first = validation.agg(F.min(ts)).first()[0]
-    if last is not None and first is not None and not last < first:
+    if found[3]:
         raise ValueError("Validation rows must come after all training rows.")
 
 

@@ -174,11 +174,12 @@ def fit_boosted(
     min_importance: float = 0.0,
     params: Mapping[str, Any] | None = None,
     patience: int | None = PATIENCE,
+    keys: Sequence[str] = (),
 ) -> Boosted:
     """Select on the training rows, fit, and stop early on a held-out block when one is given.
 
     ``ts`` names the time by which that block must be unique and strictly
-    later; without it the caller vouches for the order.
+    later in each series of ``keys``; without it the caller vouches for the order.
     """
     settings = dict(params or {})
     kept, candidates = select_features(train, features, label, max_features, min_importance, settings)
@@ -188,7 +189,7 @@ def fit_boosted(
         check_features(validation, kept, label)
         check_order([c for c in validation.columns if c in kept], [c for c in train.columns if c in kept])
         if ts is not None:
-            check_holdout(train, validation, ts)
+            check_holdout(train, validation, ts, keys)
         if patience is not None:
             scored = _assembler(kept).transform(validation).select("_features", F.col(label).alias(model.getLabelCol()))
             best = best_round(model.evaluateEachIteration(scored, "absolute"), patience)
@@ -203,27 +204,46 @@ def holdout_metrics(rows: DataFrame, predicted: str, actual: str = OBSERVED) ->
     return r.asDict()
 
 
+def before_block(train: DataFrame, validation: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The training rows that lie before the first held-out hour of their series."""
+    if not keys:
+        return train.filter(F.col(VALID) < F.lit(validation.agg(F.min(VALID)).first()[0]))
+    first = validation.groupBy(*keys).agg(F.min(VALID).alias("_first"))
+    return train.join(first, list(keys), "left").filter(F.col("_first").isNull() | (F.col(VALID) < F.col("_first"))).drop("_first")
+
+
 def residual_recipe(
     matrix: DataFrame,
     params: Mapping[str, Any] | None = None,
     max_features: int = MAX_FEATURES,
     patience: int | None = PATIENCE,
     keys: Sequence[str] = (STATION,),
+    overlap: str = "raise",
 ) -> tuple[Boosted, dict[str, Any]]:
-    """Hold out the latest run, select and stop early on it, then refit on every row.
+    """Hold out each series' latest run, select and stop early on it, then refit on every row.
+
+    An older run that reaches into the held-out hours is an error; with
+    ``overlap="trial"`` its rows there miss the trial fit only, and the report counts them.
 
     The matrix is written to the shared folder once: selection, fit and refit
     read that table instead of repeating the joins.
     """
     staged = cut_lineage(matrix)
-    marked = latest_run_block(staged)
+    marked = latest_run_block(staged, keys)
     train, validation = marked.filter(~F.col("is_validation")), marked.filter("is_validation")
     if train.isEmpty() or validation.isEmpty():
         raise ValueError("At least two historical runs are required.")
+    if overlap not in ("raise", "trial"):
+        raise ValueError("overlap is 'raise' or 'trial'.")
+    left_out = 0
+    if overlap == "trial":
+        earlier = before_block(train, validation, keys)
+        if earlier.isEmpty():
+            raise ValueError("No training row lies before the held-out hours.")
+        left_out = train.count() - earlier.count()
+        train = earlier
     settings = dict(params or {})
-    # With several series an hour recurs once per series; order is checked on the hours themselves.
-    single = not keys or staged.select(*keys).distinct().limit(2).count() == 1
-    trial = fit_boosted(train, TREE_FEATURES, LABEL, validation, VALID if single else None, max_features, 0.0, settings, patience)
+    trial = fit_boosted(train, TREE_FEATURES, LABEL, validation, VALID, max_features, 0.0, settings, patience, keys)
     corrected = trial.predict(validation).withColumn("corrected_c", F.col(RAW) + F.col("correction_c"))
     final_settings = settings if trial.best_iteration is None else {**settings, "maxIter": trial.best_iteration + 1}
     final = fit_boosted(staged, TREE_FEATURES, LABEL, None, VALID, max_features, 0.0, final_settings, None)
@@ -239,6 +259,7 @@ def residual_recipe(
         "historical_runs": counts["runs"],
         "validation_run": str(counts["run"]),
         "validation_rows": counts["held"],
+        "trial_rows_left_out": left_out,
         "target_definition": f"{OBSERVED} - {RAW}",
         "boosted_validation": holdout_metrics(corrected, "corrected_c"),
         "raw_validation": holdout_metrics(corrected, RAW),
@@ -267,6 +288,7 @@ def boosted_backtest(
     step_hours: int = 1,
     tiebreak: Sequence[str] = (),
     name: str = "xgboost",
+    overlap: str = "raise",
 ) -> DataFrame:
     """One distributed fit per cutoff, several cutoffs in flight; predictions for every series at that cutoff.
 
@@ -282,7 +304,7 @@ def boosted_backtest(
         at = F.lit(cutoff)
         legal = matrix.filter((F.col(INIT) < at) & (F.col(VALID) < at))
         deduped = freshest_rows(legal, (*keys, VALID), tiebreak)
-        fitted, _ = residual_recipe(deduped, params, max_features, patience, keys)
+        fitted, _ = residual_recipe(deduped, params, max_features, patience, keys, overlap)
         rows = corrected_forecast(fitted, panel, at, hours, keys, tiebreak)
         wanted = future_frame(folds.filter(F.col(CUTOFF) == at).select(*keys, FOLDS, CUTOFF), hours, step_hours)
         joined = wanted.join(rows.select(*keys, DS, "predicted_temperature_c"), [*keys, DS])

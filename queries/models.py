@@ -219,7 +219,7 @@ def q_topk_importance(spark, sf):
 @query()
 def q_gbt_residual(spark, sf):
     """Residual recipe: hold out the latest run, stop early, refit, correct the forecast of the next window."""
-    fitted, _ = B.residual_recipe(_matrix(spark, sf), TREES, patience=3, keys=KEYS)
+    fitted, _ = B.residual_recipe(_matrix(spark, sf), TREES, patience=3, keys=KEYS, overlap="trial")
     rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
     out = B.corrected_forecast(fitted, rows, at("2000-01-01"), 336, KEYS, TIE)
     return finish(out.select(STATION, DS, INIT, "predicted_temperature_c", F.col(B.RAW).alias("raw_gfs_temperature_c")), 6)
@@ -231,5 +231,5 @@ def q_gbt_backtest(spark, sf):
     past = history(spark, sf)
     runs = cut_lineage(panel(spark, sf).na.drop(subset=["dewpoint_c"]))
     chosen = folds(past).filter(F.col(FOLDS) == "seasonal").select(STATION, FOLDS, CUTOFF)
-    out = B.boosted_backtest(past, runs, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE)
+    out = B.boosted_backtest(past, runs, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE, overlap="trial")
     return finish(out.select(STATION, MODEL, FOLDS, CUTOFF, DS, "yhat"), 6)

@@ -292,6 +292,18 @@ def test_holdout_must_be_later(spark):
             check_holdout(*bad, "t")
 
 
+def test_holdout_is_checked_per_series(spark):
+    def times(*rows):
+        return spark.createDataFrame([(k, ts("2026-01-01T00:00:00") + timedelta(hours=h)) for k, h in rows], "k string, t timestamp")
+
+    # The second series starts where the first one's validation ends.
+    check_holdout(times(("a", 1), ("a", 2), ("b", 5)), times(("a", 3), ("b", 6)), "t", ("k",))
+    for bad in (times(("a", 3), ("b", 5)), times(("a", 3), ("b", 4)), times(("a", 3), ("a", 3))):
+        with pytest.raises(ValueError):
+            check_holdout(times(("a", 1), ("a", 2), ("b", 5)), bad, "t", ("k",))
+    check_holdout(times(), times(("a", 1)), "t", ("k",))
+
+
 def test_latest_run_block(spark, panel):
     rows = V.latest_run_block(panel)
     assert rows.filter("is_validation").select("init_time_utc").distinct().collect()[0][0] == ts("2026-01-05T12:00:00")

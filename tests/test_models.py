@@ -383,6 +383,17 @@ def test_residual_recipe_corrects_and_round_trips(spark, biased, tmp_path):
         B.residual_recipe(matrix.filter(F.col("init_time_utc") == F.lit(ts("2024-01-10T12:00:00"))), FAST)
 
 
+def test_residual_recipe_reports_runs_that_reach_into_the_holdout(spark, biased):
+    matrix = B.training_matrix(biased, tree_target(spark), F.lit(ts("2024-03-14T00:00:00")), ("station_id",), DS, "y")
+    newest = matrix.agg(F.max("valid_time_utc")).first()[0]
+    late = matrix.filter(F.col("valid_time_utc") == F.lit(newest)).limit(1)
+    late = late.withColumns({"init_time_utc": F.lit(ts("2024-01-10T12:00:00")), "valid_time_utc": F.lit(newest + timedelta(hours=1))})
+    with pytest.raises(ValueError, match="after all training"):
+        B.residual_recipe(matrix.unionByName(late), FAST, patience=3)
+    _, report = B.residual_recipe(matrix.unionByName(late), FAST, patience=3, overlap="trial")
+    assert report["trial_rows_left_out"] == 1 and report["training_rows"] == matrix.count() + 1
+
+
 def test_boosted_backtest_uses_only_the_past(spark, biased):
     folds = folds_of(spark, "2024-03-02T00:00:00")
     got = B.boosted_backtest(tree_target(spark), biased, folds, 24, params=FAST, patience=3, parallelism=2)
