@@ -185,8 +185,8 @@ def _index_sql(r: str, j: str, n: str) -> str:
 
 
 BOOT_SQL = f"""indexed AS (SELECT *, row_number() OVER (PARTITION BY folds, challenger, reference ORDER BY cutoff) - 1 AS i, count(*) OVER (PARTITION BY folds, challenger, reference) AS n FROM diffs),
-sizes AS (SELECT DISTINCT folds, challenger, reference, n FROM indexed),
-s0 AS (SELECT folds, challenger, reference, n, r, j, {_index_sql('r', 'j', 'n')} AS x FROM sizes, generate_series(0, {K.RESAMPLES - 1}) g(r), generate_series(0, 1000) h(j) WHERE j < n),
+sizes AS (SELECT folds, challenger, reference, n, unnest(range(n)) AS j FROM (SELECT DISTINCT folds, challenger, reference, n FROM indexed)),
+s0 AS (SELECT folds, challenger, reference, n, r, j, {_index_sql('r', 'j', 'n')} AS x FROM sizes, generate_series(0, {K.RESAMPLES - 1}) g(r)),
 s1 AS (SELECT * EXCLUDE (x), ((xor(x, x >> 15) * 1103515245 + 12345) & 2147483647) AS x FROM s0),
 s2 AS (SELECT * EXCLUDE (x), ((xor(x, x >> 15) * 22695477 + 1) & 2147483647) AS x FROM s1),
 s3 AS (SELECT * EXCLUDE (x), ((xor(x, x >> 15) * 1664525 + 1013904223) & 2147483647) AS x FROM s2),
