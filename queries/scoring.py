@@ -10,7 +10,7 @@ from gridcast.operators import metrics as M
 from gridcast.operators.folds import rolling_cutoffs
 from gridcast.plans.baselines import persistence
 from gridcast.plans.registry import run_models, score, training_hours
-from gridcast.session import cut_lineage
+from gridcast.session import cut_lineage, shared_dir
 from queries.bindings import DAILY, FOLDS_SQL, TARGET_SQL, TRAINABLE_PARTS, finish, history, staged_panel, trainable, with_sql
 from queries.models import CLIMATOLOGY_SQL, PERSISTENCE_SQL, RAW_SQL, future_sql, simple_sql
 
@@ -229,8 +229,9 @@ def q_score(spark, sf):
 SELECT station_id, cutoff, ds, round(yhat, 7) AS yhat, round(y, 7) AS y, date_diff('day', cutoff, ds) + 1 AS lead_day, round(yhat - y, 7) AS error_c
 FROM scored WHERE model = 'prophet_gfs' AND folds = 'rolling'"""))
 def q_stored_predictions(spark, sf):
-    """One model's stored predictions on one fold set, with lead day and signed error."""
+    """One model's stored predictions on one fold set, with lead day and signed error; reads that partition only."""
     rows, _, _ = scored(spark, sf)
-    kept = rows.filter((F.col(MODEL) == "prophet_gfs") & (F.col(FOLDS) == "rolling"))
-    shaped = kept.withColumns({"lead_day": M.lead_day(), "error_c": F.col("yhat") - F.col(Y)})
+    folder = shared_dir(spark, "predictions")
+    rows.write.partitionBy(MODEL, FOLDS).parquet(folder)
+    shaped = M.stored_predictions(spark.read.parquet(folder), "prophet_gfs", "rolling")
     return finish(shaped.select(STATION, CUTOFF, DS, "yhat", Y, "lead_day", "error_c"), 7)
