@@ -90,8 +90,9 @@ def test_coverage_reduces_before_its_shuffle(spark):
     assert "partial_max" in plan and "SortAggregate" not in plan
 
 
-def broadcast_build_sides(plan: str) -> list[str]:
-    return [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+def hash_joins(plan: str) -> list[str]:
+    """Joins that build a table from one side, broadcast or shuffled."""
+    return [line for line in plan.split("\n") if "BroadcastHashJoin" in line or "ShuffledHashJoin" in line]
 
 
 def test_generated_rows_are_never_broadcast(spark):
@@ -99,7 +100,7 @@ def test_generated_rows_are_never_broadcast(spark):
 
     rows = [("rolling", "a", "b", f"{i:03d}", float(i)) for i in range(40)]
     diffs = spark.createDataFrame(rows, "folds string, challenger string, reference string, cutoff string, difference double")
-    joins = broadcast_build_sides(plan_of(K.resample(diffs, 100)))
+    joins = hash_joins(plan_of(K.resample(diffs, 100)))
     assert joins and all("BuildRight" in j for j in joins)
     plan = plan_of(entry.queries()["q_calendar_regression"](spark, SF))
     assert "ShuffledHashJoin" in plan
