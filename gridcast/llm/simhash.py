@@ -169,7 +169,11 @@ def keep_first(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     repeat this doc_id the one with the smallest row hash stays. Rows without a
     doc_id stay only if no row of their component has one, and then one for each fingerprint.
     """
-    found = labelled(docs, words, bits)
+    return keep_leaders(docs, labelled(docs, words, bits))
+
+
+def keep_leaders(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that lead their component in ``found``, as ``labelled`` gives it."""
     leading = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     # A group is a component, or a fingerprint where no row of the component has a doc_id.
     group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("print"))]

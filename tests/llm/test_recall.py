@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from gridcast.llm import lines
 from gridcast.llm.edits import bounded
 
@@ -47,3 +48,29 @@ def test_op6_finds_every_similar_pair(spark):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(every)], "doc_id long, text string")
     found = {r["doc_id"]: r["kept_doc_id"] for r in lines.dropped_lines(docs).collect()}
     assert found == {i: top(i) for i in range(len(every)) if top(i) != i}
+
+
+def test_pipeline_drops_every_near_copy_at_a_similarity_of_four_fifths(spark):
+    rng = random.Random(5)
+    texts = []
+    for size in (3, 5, 8, 30, 60, 120, 300, 300, 300):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        texts += [base, *(edited(rng, base, k) for k in (0, 1, max(size // 60, 1), size // 45, size // 30))]
+    crowd = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts += [edited(rng, crowd, rng.randrange(4)) for _ in range(50)] + [[], []]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else set() for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) - 1e-9:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
+    assert sorted(kept) == [i for i in range(len(sets)) if top(i) == i]
