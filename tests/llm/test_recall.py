@@ -74,3 +74,10 @@ def test_pipeline_drops_every_near_copy_at_a_similarity_of_four_fifths(spark):
     docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
     kept = [r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()]
     assert sorted(kept) == [i for i in range(len(sets)) if top(i) == i]
+
+
+def test_pipeline_drops_exact_repeats_of_short_lines(spark):
+    texts = ["Read more\n\n漢字漢字漢字漢字\none two three four", "read  MORE!\n\nread less", "漢字漢字漢字漢字\none two three for\none two three four", "---\n---"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert left == {0: texts[0], 1: "\nread less", 2: "one two three for", 3: texts[3]}
