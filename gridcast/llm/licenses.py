@@ -45,7 +45,7 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
-TAG_IN_TEXT = re.compile(rb"(?i)spdx[\x00-\x2f\x3a-\x60\x7b-\x7f]+license[\x00-\x2f\x3a-\x60\x7b-\x7f]+identifier[\x00-\x09\x0b-\x20:=\"']*([^\n]*)")
+TAG_IN_TEXT = re.compile(rb"(?i)spdx[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+license[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+identifier[\x00-\x09\x0b-\x20:=\"']*")
 TOKEN = re.compile(rb"[()]|[A-Za-z0-9.+\-]+")
 #: Restrictive families by the start of the name; every other name counts as permissive.
 RESTRICTIVE = ("gpl", "lgpl", "agpl", "cc-by-nc", "cc-by-nd", "cc-by-sa", "all-rights-reserved", "sspl", "busl", "proprietary")
@@ -147,10 +147,13 @@ def scan_text(text: bytes | None, phrases: ahocorasick.Automaton) -> tuple:
     base_labels = {label for _, label in base}
     permissive: bool | None = None
     if tags:
-        for match in TAG_IN_TEXT.finditer(text):
-            order = postfix(match.group(1))
+        found = list(TAG_IN_TEXT.finditer(text))
+        # An expression ends at the next tag or at the end of its line.
+        for match, until in zip(found, [*(m.start() for m in found[1:]), len(text)]):
+            expression = text[match.end() : until].split(b"\n", 1)[0]
+            order = postfix(expression)
             if order is None:
-                labels.update(t.decode().lower() for t in TOKEN.findall(match.group(1))[:1] if t not in b"()")
+                labels.update(t.decode().lower() for t in TOKEN.findall(expression)[:1] if t not in b"()")
             else:
                 names, free = evaluate(order)
                 labels |= names

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from gridcast.llm import lines
+from gridcast.llm import licenses, lines
 from gridcast.llm.edits import bounded
 
 
@@ -81,3 +81,10 @@ def test_pipeline_drops_exact_repeats_of_short_lines(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
     assert left == {0: texts[0], 1: "\nread less", 2: "one two three for", 3: texts[3]}
+
+
+def test_op10_reads_every_tag_of_a_line():
+    tag = b"SPDX-License-Identifier: "
+    phrases = licenses.automaton([*licenses.BASE, *licenses.NOTICES, licenses.TAG])
+    _, _, _, _, _, labels, tags, permissive, _ = licenses.scan_text(tag + b"MIT */ a(); /* " + tag + b"GPL-2.0 OR BSD */ // " + tag + b"AGPL-3.0\nno", phrases)
+    assert (labels, tags, permissive) == ("agpl-3.0,bsd,gpl-2.0,mit", 3, False)
