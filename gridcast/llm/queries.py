@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, neighbours, simhash, toxicity
+from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, neighbours, simhash, spelling, toxicity, wordbpe
 from gridcast.llm.common import table
 
 
@@ -60,6 +60,14 @@ def op10_license_scans(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
 
+def op11_word_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return wordbpe.encode_decode(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -77,6 +85,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_embedding_near_dedup,
         op10_license_scans,
+        op11_word_bpe,
+        op12_spelling_variants,
         pipeline,
     )
 }
