@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, neighbours, simhash, spelling, toxicity, wordbpe
+from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, negatives, neighbours, simhash, spelling, toxicity, wordbpe
 from gridcast.llm.common import table
 
 
@@ -68,6 +68,32 @@ def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    given = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x * 256))
+    vectors = given.where(finite).select("vec_id", moved.alias("label"), whole.alias("vector"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+#: Every anchor against every row, for small tables; the query goes by segment summaries.
+HARD_NEGATIVES_SQL = """WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER best <= 5"""
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -87,7 +113,8 @@ QUERIES = {
         op10_license_scans,
         op11_word_bpe,
         op12_spelling_variants,
+        op13_hard_negatives,
         pipeline,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_hard_negatives": HARD_NEGATIVES_SQL}
