@@ -1,36 +1,34 @@
-"""Boosted-tree correction of the forecast, on the distributed tree learner.
+"""Boosted-tree correction of the forecast.
 
 The label is the forecast's residual; predictions are added back to the raw
-forecast. Selection, early stopping on a forward block and the refit follow
-the published recipe; the learner is ``GBTRegressor``, whose leaves carry no
-L2 penalty and whose trees sample rows but not columns, so scores differ
-slightly from other boosting libraries.
+forecast. A recipe holds out each series' latest run, ranks the features by a first fit,
+stops a second fit early on that run, and repeats both on every row. The trial
+and the repeat grow side by side: a booster cut at its best round is the
+booster grown that far, so nothing is fitted again. A backtest grows the
+recipes of all its cutoffs in the same passes. Null features are learned from.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridcast.functions.features import TREE_FEATURES, tree_features
 from gridcast.functions.vocabulary import CUTOFF, DS, FOLDS, HORIZON_HOURS, INIT, LEAD, OBSERVED, PREFIX, STATION, VALID
 from gridcast.operators.contracts import FORBIDDEN_FEATURES, check_feature_names, check_features, check_holdout, check_order
-from gridcast.operators.covariates import forecast_at, freshest_rows, latest_run_block, training_pairs
+from gridcast.operators.covariates import forecast_at, forecast_window, freshest_rows, latest_run_block, training_pairs
 from gridcast.operators.folds import future_frame
 from gridcast.plans.baselines import shape
-from gridcast.session import cut_lineage, shared_dir
+from gridcast.plans.trees import TREES, Forest, Growth, best_rounds, binned, fit_edges, grow
+from gridcast.session import cut_lineage, spread
 
 LABEL = "residual_c"
 RAW = PREFIX + "temperature_c"
-ARTIFACT_VERSION = 1
+ARTIFACT_VERSION = 2
 
 # Published learner settings and their names here.
 DEFAULT_PARAMS: dict[str, Any] = {
@@ -39,6 +37,8 @@ DEFAULT_PARAMS: dict[str, Any] = {
     "maxDepth": 4,
     "minInstancesPerNode": 5,
     "subsamplingRate": 0.8,
+    "columnRate": 0.8,
+    "leafPenalty": 1.0,
     "seed": 42,
 }
 PATIENCE = 50
@@ -59,12 +59,24 @@ def forecast_matrix(panel: DataFrame, cutoff, hours: int = HORIZON_HOURS, keys:
     return rows.select(*keys, INIT, VALID, F.col(LEAD), *[c.alias(n) for n, c in tree_features(rows).items()])
 
 
+def growth_of(params: Mapping[str, Any] | None) -> Growth:
+    return Growth.of({**DEFAULT_PARAMS, **(params or {})})
+
+
+def row_number_of(rows: DataFrame) -> Column:
+    """A number that names a row, by which rounds draw their rows."""
+    names = [c for c in (INIT, VALID) if c in rows.columns] or rows.columns
+    others = [c for c in rows.columns if c not in (*names, *TREE_FEATURES, LABEL, OBSERVED, LEAD)]
+    return F.pmod(F.xxhash64(*names, *others), F.lit((1 << 31) - 1))
+
+
 @dataclass
 class Boosted:
-    """A fitted model with the feature contract it must be used with."""
+    """A fitted booster with the feature contract it must be used with."""
 
     features: list[str]
-    model: GBTRegressionModel
+    forest: Forest
+    model: int = 0
     candidates: dict[str, float] = field(default_factory=dict)
     best_iteration: int | None = None
     max_features: int | None = MAX_FEATURES
@@ -72,23 +84,36 @@ class Boosted:
     patience: int | None = PATIENCE
     forbidden: frozenset[str] = FORBIDDEN_FEATURES
 
+    def kept(self) -> DataFrame | None:
+        """How far the trees count: up to the best round, where one was sought."""
+        if self.best_iteration is None:
+            return None
+        return self.forest.bases.select("model", F.lit(self.best_iteration).alias("last"))
+
     def predict(self, rows: DataFrame, out: str = "correction_c") -> DataFrame:
         check_feature_names(rows, self.features, self.forbidden)
-        vectors = _assembler(self.features).transform(rows)
-        return self.model.setPredictionCol(out).transform(vectors).drop("_features")
+        unused = [F.lit(None).cast("double").alias(f) for f in self.forest.features if f not in rows.columns]
+        filled = rows.select("*", *unused) if unused else rows
+        return self.forest.predict(filled, out, F.lit(self.model), self.kept()).select(*rows.columns, out)
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        return importance_table(spark, self.features, self.model)
+        """Importances of the features in use, ranked; earlier features first on ties."""
+        return importance_table(self.forest, self.features, self.model, self.kept())
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        forest, growth = self.forest, self.forest.growth
+        spark = forest.trees.sparkSession
+        mine = F.col("model") == self.model
+        last = self.best_iteration if self.best_iteration is not None else growth.rounds
+        forest.trees.where(mine & (F.col("round") <= last)).write.mode("overwrite").parquet(f"{path}/trees")
+        forest.bases.where(mine).write.mode("overwrite").parquet(f"{path}/bases")
         record = {
             "version": ARTIFACT_VERSION,
             "contract": {"columns": self.features, "never": sorted(self.forbidden)},
+            "learned": {"columns": forest.features, "edges": forest.edges, "growth": vars(growth), "model": self.model},
             "selection": {"importance": self.candidates, "most": self.max_features, "least": self.min_importance},
             "rounds": {"best": self.best_iteration, "patience": self.patience},
         }
-        spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
     @classmethod
@@ -96,10 +121,13 @@ class Boosted:
         record = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         if record.get("version") != ARTIFACT_VERSION:
             raise ValueError(f"{path} was not saved by this version.")
-        contract, selection, rounds = record["contract"], record["selection"], record["rounds"]
+        contract, learned, selection, rounds = record["contract"], record["learned"], record["selection"], record["rounds"]
+        trees, bases = spark.read.schema(TREES).parquet(f"{path}/trees"), spark.read.parquet(f"{path}/bases")
+        losses = spark.createDataFrame([], "model int, round int, loss double")
         return cls(
             features=contract["columns"],
-            model=GBTRegressionModel.load(f"{path}/model"),
+            forest=Forest(learned["columns"], learned["edges"], trees, bases, losses, Growth(**learned["growth"])),
+            model=learned["model"],
             candidates=selection["importance"],
             best_iteration=rounds["best"],
             max_features=selection["most"],
@@ -109,46 +137,60 @@ class Boosted:
         )
 
 
-def _assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
-
-
-def _fit(rows: DataFrame, features: Sequence[str], label: str, params: Mapping[str, Any]) -> GBTRegressionModel:
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        # Hundreds of rounds make a long lineage; the learner checkpoints it when it has a folder.
-        context.setCheckpointDir(shared_dir(rows.sparkSession, "trees"))
-    learner = GBTRegressor(featuresCol="_features", labelCol=label, **{**DEFAULT_PARAMS, **params})
-    return learner.fit(_assembler(features).transform(rows).select("_features", label))
+def importance_table(forest: Forest, features: Sequence[str], model: int = 0, last: DataFrame | None = None) -> DataFrame:
+    """(position, feature, importance) of one model, ranked; features without a split have none."""
+    spark = forest.trees.sparkSession
+    names = spark.createDataFrame([(i, n, forest.features.index(n)) for i, n in enumerate(features)], "position int, feature string, f int")
+    shares = forest.importances(last).where(F.col("model") == model).select("f", "importance")
+    table = names.join(shares, "f", "left").select("position", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    return table.orderBy(F.col("importance").desc(), "position")
 
 
-def importance_table(spark: SparkSession, features: Sequence[str], model: GBTRegressionModel) -> DataFrame:
-    """Importances ranked from largest to smallest, earlier features first on ties."""
-    values = model.featureImportances.toArray()
-    rows = [(i, n, float(values[i])) for i, n in enumerate(features)]
-    table = spark.createDataFrame(rows, "position int, feature string, importance double")
-    return table.orderBy(F.col("importance").desc(), "position")
+def check_choice(max_features: int | None, min_importance: float) -> None:
+    if max_features is not None and max_features < 1:
+        raise ValueError(f"Cannot keep {max_features} features; give one or more, or None for all.")
+    if min_importance < 0:
+        raise ValueError(f"An importance is never below zero, but {min_importance} was asked for.")
 
 
 def top_features(importances: DataFrame, max_features: int | None = None, min_importance: float = 0.0) -> DataFrame:
     """Features above the threshold, at most ``max_features``; the single best one if none is above."""
-    if max_features is not None and max_features < 1:
-        raise ValueError("max_features must be positive or None.")
-    if min_importance < 0:
-        raise ValueError("min_importance cannot be negative.")
+    check_choice(max_features, min_importance)
     ranked = importances.orderBy(F.col("importance").desc(), "position")
     above = ranked.filter(F.col("importance") > min_importance)
     kept = above if max_features is None else above.limit(max_features)
     return ranked.limit(1) if kept.isEmpty() else kept
 
 
+def kept_columns(forest: Forest, models: Sequence[int], max_features: int | None, min_importance: float) -> dict[int, list[int]]:
+    """The same choice for many models at once, by column number; its size is that of the models."""
+    check_choice(max_features, min_importance)
+    shares: dict[int, dict[int, float]] = {m: {} for m in models}
+    for r in forest.importances().collect():
+        shares[r["model"]][r["f"]] = r["importance"]
+    out = {}
+    for m in models:
+        ranked = sorted(range(len(forest.features)), key=lambda f: (-shares[m].get(f, 0.0), f))
+        out[m] = sorted([f for f in ranked if shares[m].get(f, 0.0) > min_importance][:max_features] or ranked[:1])
+    return out
+
+
+def named_rows(rows: DataFrame, features: Sequence[str], label: str, held: Column, row: Column | None) -> DataFrame:
+    """What the learner reads of a matrix: one model, the row's number, whether it is held out, label and features."""
+    number = row_number_of(rows) if row is None else row
+    return rows.select(F.lit(0).alias("model"), number.cast("long").alias("row"), held.alias("held"), F.col(label).cast("double").alias("y"), *features)
+
+
 def select_features(
-    rows: DataFrame, features: Sequence[str], label: str = LABEL, max_features: int | None = MAX_FEATURES, min_importance: float = 0.0, params: Mapping[str, Any] | None = None
+    rows: DataFrame, features: Sequence[str], label: str = LABEL, max_features: int | None = MAX_FEATURES, min_importance: float = 0.0, params: Mapping[str, Any] | None = None, row: Column | None = None
 ) -> tuple[list[str], dict[str, float]]:
     """Rank candidates by a model fitted on training rows only; returns the kept names and every importance."""
     check_features(rows, features, label)
-    model = _fit(rows, features, label, params or {})
-    table = importance_table(rows.sparkSession, features, model)
+    growth = growth_of(params)
+    read = named_rows(rows, features, label, F.lit(False), row)
+    edges = fit_edges(read, features, growth.bins)
+    forest = grow(binned(read, features, edges), features, edges, growth, {0: range(len(features))})
+    table = importance_table(forest, features)
     kept = [r["feature"] for r in top_features(table, max_features, min_importance).collect()]
     return kept, {r["feature"]: r["importance"] for r in table.collect()}
 
@@ -175,27 +217,27 @@ def fit_boosted(
     params: Mapping[str, Any] | None = None,
     patience: int | None = PATIENCE,
     keys: Sequence[str] = (),
+    row: Column | None = None,
 ) -> Boosted:
     """Select on the training rows, fit, and stop early on a held-out block when one is given.
 
     ``ts`` names the time by which that block must be unique and strictly
     later in each series of ``keys``; without it the caller vouches for the order.
     """
-    settings = dict(params or {})
-    kept, candidates = select_features(train, features, label, max_features, min_importance, settings)
-    model = _fit(train, kept, label, settings)
-    best = None
+    kept, candidates = select_features(train, features, label, max_features, min_importance, params, row)
+    growth = growth_of(params)
+    read = named_rows(train, kept, label, F.lit(False), row)
+    edges = fit_edges(read, kept, growth.bins)
     if validation is not None:
         check_features(validation, kept, label)
         check_order([c for c in validation.columns if c in kept], [c for c in train.columns if c in kept])
         if ts is not None:
             check_holdout(train, validation, ts, keys)
-        if patience is not None:
-            scored = _assembler(kept).transform(validation).select("_features", F.col(label).alias(model.getLabelCol()))
-            best = best_round(model.evaluateEachIteration(scored, "absolute"), patience)
-            # The same seed repeats the same leading trees, so this is the model cut at its best round.
-            model = _fit(train, kept, label, {**settings, "maxIter": best + 1})
-    return Boosted(kept, model, candidates, best, max_features, min_importance, patience)
+        read = read.unionByName(named_rows(validation, kept, label, F.lit(True), row))
+    stop = patience if validation is not None else None
+    forest = grow(binned(read, kept, edges), kept, edges, growth, {0: range(len(kept))}, stop)
+    best = best_rounds(forest.losses, patience)[0] if stop is not None else None
+    return Boosted(kept, forest, 0, candidates, best, max_features, min_importance, patience)
 
 
 def holdout_metrics(rows: DataFrame, predicted: str, actual: str = OBSERVED) -> dict[str, float]:
@@ -212,6 +254,38 @@ def before_block(train: DataFrame, validation: DataFrame, keys: Sequence[str]) -
     return train.join(first, list(keys), "left").filter(F.col("_first").isNull() | (F.col(VALID) < F.col("_first"))).drop("_first")
 
 
+@dataclass
+class Recipes:
+    """Trial 2k and repeat 2k + 1 of every recipe k, grown together."""
+
+    forest: Forest
+    shares: DataFrame
+    columns: dict[int, list[int]]
+    best: dict[int, int]
+
+    def kept(self) -> DataFrame | None:
+        """(model, last) of trials and repeats alike: a repeat stops where its trial was best."""
+        rows = [(m, best) for trial, best in self.best.items() for m in (trial, trial + 1)]
+        return self.forest.trees.sparkSession.createDataFrame(rows, "model int, last int") if rows else None
+
+
+def grow_recipes(read: DataFrame, models: Sequence[int], growth: Growth, max_features: int | None, patience: int | None, edges: Sequence[Sequence[float]] | None = None) -> Recipes:
+    """Ranks the features of every model, then grows all of them on those they keep.
+
+    ``read`` holds model, row, held, y and the tree features. Cuts are fitted on
+    the learning rows unless given: a backtest gives those of its first cutoff,
+    so that no fold's cuts know later forecasts.
+    """
+    if edges is None:
+        edges = fit_edges(read.where(~F.col("held")), TREE_FEATURES, growth.bins)
+    staged = cut_lineage(binned(read, TREE_FEATURES, edges).select("model", "row", "held", "y", "bins"))
+    every = range(len(TREE_FEATURES))
+    first = grow(staged.where(~F.col("held")), TREE_FEATURES, edges, growth, {m: every for m in models})
+    columns = kept_columns(first, models, max_features, 0.0)
+    forest = grow(staged, TREE_FEATURES, edges, growth, columns, patience)
+    return Recipes(forest, first.importances(), columns, {} if patience is None else best_rounds(forest.losses, patience))
+
+
 def residual_recipe(
     matrix: DataFrame,
     params: Mapping[str, Any] | None = None,
@@ -219,22 +293,23 @@ def residual_recipe(
     patience: int | None = PATIENCE,
     keys: Sequence[str] = (STATION,),
     overlap: str = "raise",
+    row: Column | None = None,
 ) -> tuple[Boosted, dict[str, Any]]:
-    """Hold out each series' latest run, select and stop early on it, then refit on every row.
+    """Hold out each series' latest run, select and stop early on it, and fit the same on every row.
 
     An older run that reaches into the held-out hours is an error; with
     ``overlap="trial"`` its rows there miss the trial fit only, and the report counts them.
 
-    The matrix is written to the shared folder once: selection, fit and refit
-    read that table instead of repeating the joins.
+    The matrix is written to the shared folder once: both fits read that table
+    instead of repeating the joins.
     """
+    if overlap not in ("raise", "trial"):
+        raise ValueError("overlap is 'raise' or 'trial'.")
     staged = cut_lineage(matrix)
     marked = latest_run_block(staged, keys)
     train, validation = marked.filter(~F.col("is_validation")), marked.filter("is_validation")
     if train.isEmpty() or validation.isEmpty():
         raise ValueError("At least two historical runs are required.")
-    if overlap not in ("raise", "trial"):
-        raise ValueError("overlap is 'raise' or 'trial'.")
     left_out = 0
     if overlap == "trial":
         earlier = before_block(train, validation, keys)
@@ -242,12 +317,25 @@ def residual_recipe(
             raise ValueError("No training row lies before the held-out hours.")
         left_out = train.count() - earlier.count()
         train = earlier
-    settings = dict(params or {})
-    trial = fit_boosted(train, TREE_FEATURES, LABEL, validation, VALID, max_features, 0.0, settings, patience, keys)
-    corrected = trial.predict(validation).withColumn("corrected_c", F.col(RAW) + F.col("correction_c"))
-    final_settings = settings if trial.best_iteration is None else {**settings, "maxIter": trial.best_iteration + 1}
-    final = fit_boosted(staged, TREE_FEATURES, LABEL, None, VALID, max_features, 0.0, final_settings, None)
-    final.best_iteration = trial.best_iteration
+    check_features(staged, TREE_FEATURES, LABEL)
+    check_holdout(train, validation, VALID, keys)
+    number = F.lit(0)
+    trial = named_rows(train, TREE_FEATURES, LABEL, F.lit(False), row).unionByName(named_rows(validation, TREE_FEATURES, LABEL, F.lit(True), row))
+    repeat = named_rows(staged, TREE_FEATURES, LABEL, F.lit(False), row)
+    read = trial.withColumn("model", number).unionByName(repeat.withColumn("model", number + 1))
+    growth = growth_of(params)
+    # Each model's cuts come from the rows it learns from; the trial's know nothing of the held-out run.
+    edges = fit_edges(read.where("model = 0 AND NOT held"), TREE_FEATURES, growth.bins)
+    recipes = grow_recipes(read, [0, 1], growth, max_features, patience, edges)
+    best = recipes.best.get(0)
+
+    def fitted(model: int) -> Boosted:
+        names = [TREE_FEATURES[f] for f in recipes.columns[model]]
+        shares = {TREE_FEATURES[r["f"]]: r["importance"] for r in recipes.shares.where(F.col("model") == model).collect()}
+        return Boosted(names, recipes.forest, model, {n: shares.get(n, 0.0) for n in TREE_FEATURES}, best, max_features, 0.0, patience)
+
+    tried, final = fitted(0), fitted(1)
+    corrected = cut_lineage(tried.predict(validation).withColumn("corrected_c", F.col(RAW) + F.col("correction_c")))
     counts = marked.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct(INIT).alias("runs"),
@@ -263,7 +351,7 @@ def residual_recipe(
         "target_definition": f"{OBSERVED} - {RAW}",
         "boosted_validation": holdout_metrics(corrected, "corrected_c"),
         "raw_validation": holdout_metrics(corrected, RAW),
-        "best_iteration": trial.best_iteration,
+        "best_iteration": best,
         "selected_features": final.features,
     }
     return final, report
@@ -275,6 +363,35 @@ def corrected_forecast(fitted: Boosted, panel: DataFrame, cutoff, hours: int = H
     return rows.withColumn("predicted_temperature_c", F.col(RAW) + F.col("correction_c")).withColumnRenamed(VALID, DS)
 
 
+def fold_models(matrix: DataFrame, cutoffs: Sequence[Any], keys: Sequence[str], overlap: str, row: Column | None) -> DataFrame:
+    """Every cutoff's trial rows (model 2k) and repeat rows (model 2k + 1), cutoffs in order.
+
+    ``matrix`` holds the freshest run of each hour. No lead is negative, so an
+    hour before a cutoff was forecast before it, and that run is the freshest
+    at every later cutoff too.
+    """
+    number = row_number_of(matrix) if row is None else row
+    passed = F.size(F.filter(F.array(*[F.lit(c) for c in cutoffs]), lambda c: c <= F.col(VALID)))
+    numbered = matrix.select(*keys, INIT, VALID, number.cast("long").alias("row"), F.col(LABEL).cast("double").alias("y"), *TREE_FEATURES, passed.alias("_from"))
+    # Rows are spread before they are repeated for the cutoffs behind them.
+    later = spread(numbered.where(F.col("y").isNotNull() & (F.col("_from") < len(cutoffs)))).withColumn("_k", F.explode(F.sequence(F.col("_from"), F.lit(len(cutoffs) - 1)))).drop("_from")
+    first = F.max(F.struct(INIT, (-F.unix_micros(VALID)).alias("_less")))
+    latest = later.groupBy("_k", *keys).agg(first.alias("_run"))
+    marked = later.join(latest, ["_k", *keys]).withColumn("held", F.col(INIT) == F.col(f"_run.{INIT}"))
+    reaches = ~F.col("held") & (F.unix_micros(VALID) >= -F.col("_run._less"))
+    if overlap == "raise":
+        if not marked.where(reaches).isEmpty():
+            raise ValueError("Validation rows must come after all training rows.")
+        trials = marked
+    elif overlap == "trial":
+        trials = marked.where(~reaches)
+    else:
+        raise ValueError("overlap is 'raise' or 'trial'.")
+    repeats = later.withColumn("held", F.lit(False)).withColumn("model", (2 * F.col("_k") + 1).cast("int"))
+    names = ["model", "row", "held", "y", *TREE_FEATURES]
+    return trials.withColumn("model", (2 * F.col("_k")).cast("int")).select(*names).unionByName(repeats.select(*names))
+
+
 def boosted_backtest(
     history: DataFrame,
     panel: DataFrame,
@@ -284,32 +401,40 @@ def boosted_backtest(
     params: Mapping[str, Any] | None = None,
     max_features: int = MAX_FEATURES,
     patience: int | None = PATIENCE,
-    parallelism: int = 4,
     step_hours: int = 1,
     tiebreak: Sequence[str] = (),
     name: str = "xgboost",
     overlap: str = "raise",
+    row: Column | None = None,
+    parallelism: int | None = None,
 ) -> DataFrame:
-    """One distributed fit per cutoff, several cutoffs in flight; predictions for every series at that cutoff.
+    """One recipe per cutoff over all series, all of them grown in the same passes.
 
     Training rows are the freshest legitimate run per hour (whole rows). Only
-    the cutoffs, the tree model and metrics live on the driver.
+    the cutoffs and the trees of a few rounds are on the driver. Every fold and hour asked
+    for comes back; ``yhat`` is null where no run covers the hour, or where a
+    cutoff lacks a held-out run and rows before it. ``parallelism`` is of no
+    effect and kept for callers that set it.
     """
     cutoffs = [r[CUTOFF] for r in folds.select(CUTOFF).distinct().orderBy(CUTOFF).collect()]
     if not cutoffs:
         raise ValueError("There are no folds to score.")
-    matrix = cut_lineage(training_matrix(panel, history, None, keys, DS, "y", tiebreak))
-
-    def one(cutoff) -> DataFrame:
-        at = F.lit(cutoff)
-        legal = matrix.filter((F.col(INIT) < at) & (F.col(VALID) < at))
-        deduped = freshest_rows(legal, (*keys, VALID), tiebreak)
-        fitted, _ = residual_recipe(deduped, params, max_features, patience, keys, overlap)
-        rows = corrected_forecast(fitted, panel, at, hours, keys, tiebreak)
-        wanted = future_frame(folds.filter(F.col(CUTOFF) == at).select(*keys, FOLDS, CUTOFF), hours, step_hours)
-        joined = wanted.join(rows.select(*keys, DS, "predicted_temperature_c"), [*keys, DS])
-        return cut_lineage(shape(joined, name, F.col("predicted_temperature_c"), keys))
-
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        parts = list(pool.map(one, cutoffs))
-    return reduce(DataFrame.unionByName, parts)
+    growth = growth_of(params)
+    matrix = cut_lineage(freshest_rows(training_matrix(panel, history, None, keys, DS, "y", tiebreak), (*keys, VALID), tiebreak))
+    read = cut_lineage(fold_models(matrix, cutoffs, keys, overlap, row))
+    tally = read.groupBy("model").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("learned")).collect()
+    usable = [r["model"] for r in tally if r["model"] % 2 == 0 and r["held"] and r["learned"]]
+    wanted = future_frame(folds.select(*keys, FOLDS, CUTOFF), hours, step_hours)
+    if not usable:
+        return shape(wanted, name, F.lit(None).cast("double"), keys)
+    models = sorted([*usable, *[m + 1 for m in usable]])
+    # Cuts that the first of the folds could have made: later forecasts are not looked at.
+    edges = fit_edges(read.where((F.col("model") == min(usable)) & ~F.col("held")), TREE_FEATURES, growth.bins)
+    recipes = grow_recipes(read.where(F.col("model").isin(models)), models, growth, max_features, patience, edges)
+    spark = folds.sparkSession
+    numbers = spark.createDataFrame([(cutoffs[m // 2], m + 1) for m in usable], f"{CUTOFF} {folds.schema[CUTOFF].dataType.simpleString()}, _m int")
+    ahead = forecast_window(panel, folds, hours, keys, tiebreak)
+    ahead = ahead.select(*keys, FOLDS, CUTOFF, F.col(VALID).alias(DS), *[c.alias(n) for n, c in tree_features(ahead).items()])
+    scored = recipes.forest.predict(ahead.join(numbers, CUTOFF), "correction_c", F.col("_m"), recipes.kept())
+    corrected = scored.select(*keys, FOLDS, CUTOFF, DS, (F.col(RAW) + F.col("correction_c")).alias("_yhat"))
+    return shape(wanted.join(corrected, [*keys, FOLDS, CUTOFF, DS], "left"), name, F.col("_yhat"), keys)

@@ -177,7 +177,8 @@ trainable AS (
 
 
 def with_sql(*parts: str, select: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    recursive = "RECURSIVE " if any("UNION ALL (" in p for p in parts) else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + select
 
 
 BASE_SQL = (PANEL_SQL, TARGET_SQL, FOLDS_SQL)

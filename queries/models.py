@@ -20,6 +20,7 @@ from queries.bindings import (
     DAILY,
     FOLDS_SQL,
     FWINDOW_SQL,
+    PANEL_SQL,
     TARGET_SQL,
     TIE,
     at,
@@ -29,8 +30,10 @@ from queries.bindings import (
     panel,
     staged_panel,
     target,
+    freshest_sql,
     with_sql,
 )
+from queries.tree_sql import FEATURES_SQL, cells_sql, draws_sql, every_column_sql, grow_sql, recipe_sql
 
 QUERIES, ORACLE = {}, {}
 KEYS = (STATION,)
@@ -196,40 +199,107 @@ def q_forecast_merge(spark, sf):
     return finish(rows, 6)
 
 
-# A short schedule keeps the tree queries to a handful of rounds.
-TREES = {"maxIter": 6, "maxDepth": 4}
+# The published settings but for the number of rounds, which every level of every round adds a pass to.
+RANKING = {"maxIter": 8}
+RECIPE = {"maxIter": 4}
+BACKTEST = {"maxIter": 3}
+
+
+def row_number():
+    """A station and day's number; one row of a matrix has it."""
+    return (F.unix_date(F.to_date(VALID)) * 8 + F.substring(STATION, 1, 1).cast("int")).cast("long")
+
+
+def matrix_sql(cutoff: str | None = None) -> str:
+    """``matrix``: the freshest run of every observed hour with its features as a list."""
+    legal = f"WHERE init_time_utc < {cutoff} AND valid_time_utc < {cutoff}" if cutoff else ""
+    return f"""matrix AS MATERIALIZED (
+  SELECT (valid_time_utc::DATE - DATE '1970-01-01') * 8 + substr(p.station_id, 1, 1)::INT AS row, p.station_id, init_time_utc, valid_time_utc, t.y - temperature_c AS y, {FEATURES_SQL.replace("gfs_", "")} AS x
+  FROM (SELECT * FROM panel {legal}) p JOIN target t ON t.station_id = p.station_id AND t.ds = valid_time_utc AND t.y IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY p.station_id, valid_time_utc ORDER BY ord DESC) = 1)"""
 
 
 def _matrix(spark, sf):
-    """Pairs with every tree input present, the freshest run per hour."""
-    rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
-    matrix = B.training_matrix(rows, target(spark, sf), at("2000-01-01"), KEYS, DS, Y, TIE)
+    """Pairs with every tree input, null or not, the freshest run per hour."""
+    matrix = B.training_matrix(panel(spark, sf), target(spark, sf), at("2000-01-01"), KEYS, DS, Y, TIE)
     return freshest_rows(matrix, (STATION, VALID), TIE)
 
 
-@query()
+def ranking_sql() -> str:
+    growth = B.growth_of(RANKING)
+    grown = grow_sql("sel", "learning", "every", growth)
+    names = ", ".join(f"'{n}'" for n in X.TREE_FEATURES)
+    return with_sql(
+        PANEL_SQL, TARGET_SQL, matrix_sql("TIMESTAMP '2000-01-01'"), cells_sql("matrix", "matrix", growth.bins),
+        "learning AS MATERIALIZED (SELECT 0 AS model, row, 'learn' AS kind, y FROM matrix)",
+        every_column_sql("learning"), draws_sql(growth, "learning"), *grown.parts,
+        select=f"SELECT [{names}][f + 1] AS feature, round(importance, 6) AS importance FROM {grown.importances} WHERE importance > 0 ORDER BY {grown.importances}.importance DESC, f LIMIT 8",
+    )
+
+
+@query(ranking_sql())
 def q_topk_importance(spark, sf):
     """Boosted-tree feature ranking: the top eight with a positive importance."""
     rows = cut_lineage(_matrix(spark, sf))
-    _, importances = B.select_features(rows, B.TREE_FEATURES, B.LABEL, params=TREES)
+    _, importances = B.select_features(rows, B.TREE_FEATURES, B.LABEL, params=RANKING, row=row_number())
     table = spark.createDataFrame([(i, n, importances[n]) for i, n in enumerate(B.TREE_FEATURES)], "position int, feature string, importance double")
     return finish(B.top_features(table, 8).select("feature", "importance"), 6)
 
 
-@query()
+def residual_sql() -> str:
+    growth, cutoff = B.growth_of(RECIPE), "TIMESTAMP '2000-01-01'"
+    return with_sql(
+        PANEL_SQL, TARGET_SQL, matrix_sql(cutoff),
+        "marked AS (SELECT *, init_time_utc = max(init_time_utc) OVER (PARTITION BY station_id) AS held FROM matrix)",
+        "placed AS (SELECT *, min(CASE WHEN held THEN valid_time_utc END) OVER (PARTITION BY station_id) AS first_held FROM marked)",
+        f"""window_rows AS (SELECT station_id, valid_time_utc, {freshest_sql()} FROM panel
+  WHERE init_time_utc < {cutoff} AND valid_time_utc >= {cutoff} AND valid_time_utc < {cutoff} + INTERVAL 336 HOUR GROUP BY ALL)""",
+        f"ahead AS MATERIALIZED (SELECT -row_number() OVER (ORDER BY station_id, valid_time_utc) AS row, *, {FEATURES_SQL} AS x FROM window_rows)",
+        """recipe_rows AS MATERIALIZED (SELECT 0 AS model, row, CASE WHEN held THEN 'held' ELSE 'learn' END AS kind, y FROM placed WHERE held OR valid_time_utc < first_held
+  UNION ALL SELECT 1, row, 'learn', y FROM placed UNION ALL SELECT 1, row, 'ask', 0.0::DOUBLE FROM ahead)""",
+        "known AS (SELECT row, x FROM matrix UNION ALL SELECT row, x FROM ahead)",
+        "trial_rows AS (SELECT row FROM recipe_rows WHERE model = 0 AND kind = 'learn')",
+        cells_sql("known", "trial_rows", growth.bins),
+        *recipe_sql("recipe_rows", growth, B.MAX_FEATURES),
+        select="""SELECT station_id, valid_time_utc AS ds, init_time_utc, round(gfs_temperature_c + pred, 6) AS predicted_temperature_c, round(gfs_temperature_c, 6) AS raw_gfs_temperature_c
+FROM ahead JOIN answers USING (row)""",
+    )
+
+
+@query(residual_sql())
 def q_gbt_residual(spark, sf):
-    """Residual recipe: hold out the latest run, stop early, refit, correct the forecast of the next window."""
-    fitted, _ = B.residual_recipe(_matrix(spark, sf), TREES, patience=3, keys=KEYS, overlap="trial")
-    rows = panel(spark, sf).na.drop(subset=["dewpoint_c"])
-    out = B.corrected_forecast(fitted, rows, at("2000-01-01"), 336, KEYS, TIE)
+    """Residual recipe: hold out the latest run, stop early, repeat on all rows, correct the forecast of the next window."""
+    fitted, _ = B.residual_recipe(_matrix(spark, sf), RECIPE, keys=KEYS, overlap="trial", row=row_number())
+    out = B.corrected_forecast(fitted, panel(spark, sf), at("2000-01-01"), 336, KEYS, TIE)
     return finish(out.select(STATION, DS, INIT, "predicted_temperature_c", F.col(B.RAW).alias("raw_gfs_temperature_c")), 6)
 
 
-@query()
+def gbt_backtest_sql() -> str:
+    growth = B.growth_of(BACKTEST)
+    return with_sql(
+        *BASE_SQL, FWINDOW_SQL, future_sql(), matrix_sql(),
+        "cutoffs AS MATERIALIZED (SELECT cutoff, row_number() OVER (ORDER BY cutoff) - 1 AS k FROM (SELECT DISTINCT cutoff FROM folds))",
+        "later AS MATERIALIZED (SELECT k, matrix.* FROM matrix JOIN cutoffs ON valid_time_utc < cutoff)",
+        "marked AS (SELECT *, init_time_utc = max(init_time_utc) OVER (PARTITION BY k, station_id) AS held FROM later)",
+        "placed AS (SELECT *, min(CASE WHEN held THEN valid_time_utc END) OVER (PARTITION BY k, station_id) AS first_held FROM marked)",
+        "trials AS MATERIALIZED (SELECT 2 * k AS model, row, CASE WHEN held THEN 'held' ELSE 'learn' END AS kind, y FROM placed WHERE held OR valid_time_utc < first_held)",
+        "usable AS MATERIALIZED (SELECT model FROM trials GROUP BY model HAVING count(*) FILTER (WHERE kind = 'held') > 0 AND count(*) FILTER (WHERE kind = 'learn') > 0)",
+        f"ahead AS MATERIALIZED (SELECT -row_number() OVER (ORDER BY station_id, folds, cutoff, valid_time_utc) AS row, k, fwindow.*, {FEATURES_SQL} AS x FROM fwindow JOIN cutoffs USING (cutoff))",
+        """fold_rows AS MATERIALIZED (SELECT trials.* FROM trials JOIN usable USING (model)
+  UNION ALL SELECT 2 * k + 1, row, 'learn', y FROM later WHERE 2 * k IN (SELECT model FROM usable)
+  UNION ALL SELECT 2 * k + 1, row, 'ask', 0.0::DOUBLE FROM ahead WHERE 2 * k IN (SELECT model FROM usable))""",
+        "known AS (SELECT row, x FROM matrix UNION ALL SELECT row, x FROM ahead)",
+        "first_rows AS (SELECT row FROM fold_rows WHERE kind = 'learn' AND model = (SELECT min(model) FROM usable))",
+        cells_sql("known", "first_rows", growth.bins),
+        *recipe_sql("fold_rows", growth, B.MAX_FEATURES),
+        "corrected AS (SELECT station_id, folds, cutoff, valid_time_utc AS ds, gfs_temperature_c + pred AS yhat FROM ahead JOIN answers USING (row))",
+        select="SELECT station_id, 'xgboost' AS model, folds, cutoff, ds, round(yhat, 6) AS yhat FROM future LEFT JOIN corrected USING (station_id, folds, cutoff, ds)",
+    )
+
+
+@query(gbt_backtest_sql())
 def q_gbt_backtest(spark, sf):
-    """Boosted correction refitted at the seasonal cutoffs."""
+    """Boosted correction learned anew at every rolling and seasonal cutoff; hours no run covers come back without a value."""
     past = history(spark, sf)
-    runs = cut_lineage(panel(spark, sf).na.drop(subset=["dewpoint_c"]))
-    chosen = folds(past).filter(F.col(FOLDS) == "seasonal").select(STATION, FOLDS, CUTOFF)
-    out = B.boosted_backtest(past, runs, chosen, DAILY.hours, KEYS, TREES, patience=3, step_hours=24, tiebreak=TIE, overlap="trial")
+    out = B.boosted_backtest(past, staged_panel(spark, sf), folds(past).select(STATION, FOLDS, CUTOFF), DAILY.hours, KEYS, BACKTEST, step_hours=24, tiebreak=TIE, overlap="trial", row=row_number())
     return finish(out.select(STATION, MODEL, FOLDS, CUTOFF, DS, "yhat"), 6)
