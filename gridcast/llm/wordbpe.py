@@ -59,17 +59,9 @@ def byte_symbols() -> list[str]:
     return [chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)]
 
 
-def unassigned() -> str:
-    """A character class of all code points that Python's tables leave unassigned."""
-    ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return f"[{''.join(ranges)}]"
+def unassigned() -> np.ndarray:
+    """Of every code point whether Python's tables leave it unassigned."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
 
 
 @dataclass
@@ -86,7 +78,7 @@ class Vocabulary:
     pattern: str
     specials: dict[str, int]
     longest: int
-    newer: str
+    newer: np.ndarray
 
 
 def read_vocabulary(path: str) -> Vocabulary:
@@ -145,7 +137,7 @@ class BatchCodec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.split = regex.compile(vocabulary.pattern)
-        self.newer = re.compile(vocabulary.newer)
+        self.oldest = int(vocabulary.newer.argmax())
         longest_first = sorted(vocabulary.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.known: dict[str, tuple[int, bytes, bytes]] = {s: self.shown([i]) for s, i in vocabulary.specials.items()}
@@ -194,9 +186,15 @@ class BatchCodec:
             symbols, owner = symbols[keep], owner[keep]
         return done
 
+    def unknown_letters(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        return bool(codes.max() >= self.oldest and self.v.newer[codes].any())
+
     def words(self, text: str) -> list[str]:
         """Words of a text without special tokens."""
-        if self.newer.search(text):
+        if self.unknown_letters(text):
             if self.reader is None:
                 self.reader = Tokenizer.from_str(self.v.source)
             text = self.reader.normalizer.normalize_str(text)
