@@ -226,7 +226,7 @@ def merged_forecasts(history: DataFrame, panel: DataFrame, folds: DataFrame, hou
     """Calendar, corrected (with bounds) and raw forecasts side by side on ``ds``."""
     by = [*keys, FOLDS, CUTOFF, DS]
     calendar = calendar_regression(history, folds, hours, keys, step_hours, on_short=on_short).select(*by, F.col("yhat").alias("linear_c"))
-    corrected = forecast_correction(history, panel, folds, hours, keys, minimum=minimum, tiebreak=tiebreak, on_short=on_short).select(
+    corrected = forecast_correction(history, panel, folds, hours, keys, minimum=minimum, tiebreak=tiebreak, on_short=on_short, step_hours=step_hours).select(
         *by, F.col("yhat").alias("linear_gfs_c"), F.col("yhat_lower").alias("linear_gfs_lower_c"), F.col("yhat_upper").alias("linear_gfs_upper_c")
     )
     raw = raw_forecast(panel, folds, hours, keys, tiebreak).select(*by, F.col("yhat").alias("raw_gfs_c"))

@@ -1,8 +1,10 @@
 """Least squares for every series and fold from additive cross products.
 
 Cross products of ``[1, features, label]`` add up, so they are aggregated per
-segment once. A series then has one small row per segment; its running total
-is solved at every cutoff. The history is read once, whatever the fold count.
+segment once. A running total over a series' segments, kept per product and so
+spread over the cluster, gives every cutoff's products; each fold's row is
+then solved by itself, in SQL functions over one array. The history is read once,
+whatever the fold count, and no group of rows is gathered.
 """
 
 from __future__ import annotations
@@ -11,13 +13,16 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions.vocabulary import CUTOFF, FOLDS
 from gridcast.operators.folds import ORDINAL, SEGMENT, number_folds
+from gridcast.session import spread
 
 # Beyond this many features the sum expressions outgrow compiled code.
 WIDE = 24
+# A column that the ones before it explain but for this share of its spread gets no coefficient.
+EXPLAINED = 1e-10
 
 
 def _upper(size: int) -> list[tuple[int, int]]:
@@ -82,7 +87,78 @@ def solve(products: np.ndarray, size: int, penalty: np.ndarray | None = None) ->
     return n, float(mean[-1] - mean[:-1] @ beta), beta, float(max(rss, 0.0))
 
 
-Penalty = Callable[[np.ndarray, int, pd.Series], np.ndarray | None]
+#: From the residual variance without a penalty and the label's root mean square to one weight a feature.
+Penalty = Callable[[Column, Column], Column]
+
+
+def fold_products(products: DataFrame, slots: DataFrame, keys: Sequence[str], width: int, carried: Sequence[str]) -> DataFrame:
+    """Every fold's products: running totals over segments, one window partition a series and product."""
+    named = [*keys, FOLDS, SEGMENT]
+    cells = products.select(*named, F.lit(False).alias("_slot"), F.posexplode("products").alias("_p", "_v"))
+    asked = spread(slots).select(*named, F.lit(True).alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_p"), F.lit(0.0).alias("_v"), *carried)
+    upto = Window.partitionBy(*keys, FOLDS, "_p").orderBy(SEGMENT, "_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = cells.unionByName(asked, allowMissingColumns=True).withColumn("_t", F.sum("_v").over(upto)).where("_slot")
+    # One fold's row holds as many numbers as the regression has products.
+    packed = totals.groupBy(*keys, FOLDS, *carried).agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_c"))
+    return packed.withColumn("_tri", F.transform("_c", lambda c: c["_t"])).drop("_c")
+
+
+def eliminated(matrix: str, size: int) -> str:
+    """Gauss-Jordan elimination of all but the last column of a symmetric matrix, row by row in one array.
+
+    The last column then holds the coefficients and its corner the residual
+    sum of squares. A pivot that earlier ones explain is crossed out.
+    """
+    pivot, here = f"get(a, p * {size + 1})", "get(a, c)"
+    i, j = f"(c div {size})", f"(c % {size})"
+    row, column = f"get(a, p * {size} + {j})", f"get(a, cast({i} as int) * {size} + p)"
+    crossed = f"CASE WHEN {i} = p OR {j} = p THEN 0D ELSE {here} END"
+    cell = f"CASE WHEN {pivot} <= {EXPLAINED!r}D THEN {crossed} WHEN {i} = p THEN {row} / {pivot} ELSE {here} - {column} * {row} / {pivot} END"
+    return f"aggregate(sequence(0, {size - 2}), {matrix}, (a, p) -> transform(sequence(0, {size * size - 1}), c -> {cell}))"
+
+
+def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) -> DataFrame:
+    """Adds n_rows, intercept, coefficients and rss from ``_tri``, the upper triangle of the products.
+
+    Columns are centred and scaled by their spread first; one without any has no coefficient.
+    """
+    m, k = size - 1, size - 2
+    i, j = f"cast(c div {m} as int)", f"(c % {m})"
+
+    def at(r: str, q: str) -> str:
+        low, high = f"least({r}, {q})", f"greatest({r}, {q})"
+        return f"get(_tri, cast({low} * {size} - {low} * ({low} - 1) / 2 + {high} - {low} as int))"
+
+    cells = f"sequence(0, {m * m - 1})"
+    out = rows.withColumn("_n", F.expr("get(_tri, 0)"))
+    out = out.withColumn("_centred", F.expr(f"transform({cells}, c -> {at(f'({i} + 1)', f'({j} + 1)')} - {at('0', f'({i} + 1)')} * {at('0', f'({j} + 1)')} / _n)"))
+    scale = f"sqrt(greatest(get(_centred, i * {m + 1}), 0D))"
+    alive = f"{scale} > 1e-9D * sqrt(greatest({at('(i + 1)', '(i + 1)')}, 1e-300D))"
+    out = out.withColumn("_scale", F.expr(f"transform(sequence(0, {m - 1}), i -> CASE WHEN i = {k} THEN CASE WHEN {scale} > 0 THEN {scale} ELSE 1D END WHEN {alive} THEN {scale} ELSE 0D END)"))
+    unit = f"CASE WHEN get(_scale, {i}) = 0 OR get(_scale, {j}) = 0 THEN 0D ELSE get(_centred, c) / (get(_scale, {i}) * get(_scale, {j})) END"
+    out = out.withColumn("_unit", F.expr(f"transform({cells}, c -> {unit})"))
+    plain = out.withColumn("_done", F.expr(eliminated("_unit", m)))
+    corner = f"greatest(get(_done, {m * m - 1}), 0D) * get(_scale, {k}) * get(_scale, {k})"
+    lost = "0D"
+    if penalty is not None:
+        sigma2 = F.greatest(F.expr(corner) / F.greatest("_n", F.lit(1.0)), F.lit(1e-12))
+        height = F.greatest(F.sqrt(F.expr(f"get(_tri, {size * (size + 1) // 2 - 1})") / F.col("_n")), F.lit(1e-9))
+        weighed = plain.withColumn("_weights", penalty(sigma2, height))
+        extra = f"CASE WHEN {i} = {j} AND {i} < {k} AND get(_scale, {i}) > 0 THEN get(_weights, {i}) / (get(_scale, {i}) * get(_scale, {i})) ELSE 0D END"
+        stiff = weighed.withColumn("_stiff", F.expr(f"transform({cells}, c -> get(_unit, c) + {extra})"))
+        plain = stiff.withColumn("_done", F.expr(eliminated("_stiff", m)))
+        # The corner counts the penalty as a residual.
+        lost = "aggregate(zip_with(coefficients, _weights, (b, w) -> b * b * w), 0D, (t, v) -> t + v)"
+    beta = f"transform(sequence(0, {k - 1}), i -> CASE WHEN get(_scale, i) = 0 THEN 0D ELSE get(_done, i * {m} + {m - 1}) * get(_scale, {k}) / get(_scale, i) END)"
+    fitted = plain.withColumn("coefficients", F.expr(beta if k else "cast(array() as array<double>)"))
+    explained = f"aggregate(transform(coefficients, (b, i) -> b * {at('0', '(i + 1)')} / _n), 0D, (t, v) -> t + v)"
+    return fitted.withColumns(
+        {
+            "n_rows": F.col("_n").cast("long"),
+            "intercept": F.expr(f"{at('0', str(m))} / _n - {explained}"),
+            "rss": F.expr(f"greatest({corner} - {lost}, 0D)"),
+        }
+    )
 
 
 def solve_folds(
@@ -97,42 +173,26 @@ def solve_folds(
 ) -> DataFrame:
     """One fitted row per fold: rows used, intercept, coefficients, residual sum of squares.
 
-    The group handed to Python is one series' segments (as many as it has
-    folds), never its history.
+    A fold with fewer than ``minimum`` rows is an error, or with ``on_short``
+    'drop' left out, or with 'null' kept with its count and no fit.
     """
-    if on_short not in ("error", "drop"):
-        raise ValueError("on_short must be 'error' or 'drop'.")
+    if on_short not in ("error", "drop", "null"):
+        raise ValueError("on_short is one of 'error', 'drop' and 'null'.")
     size = len(features) + 2
-    width = size * (size + 1) // 2
-    slots = number_folds(folds, keys).select(*keys, FOLDS, CUTOFF, ORDINAL, (F.col(ORDINAL) - 1).alias(SEGMENT))
+    slots = number_folds(folds, keys).select(*keys, FOLDS, CUTOFF, (F.col(ORDINAL) - 1).alias(SEGMENT))
     if extra:
         slots = slots.join(folds.select(*keys, FOLDS, CUTOFF, *extra), [*keys, FOLDS, CUTOFF])
-    rows = products.select(*keys, FOLDS, SEGMENT, "products").unionByName(slots, allowMissingColumns=True)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    group = [*keys, FOLDS]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_slot=pdf[CUTOFF].notna()).sort_values([SEGMENT, "_slot"], kind="stable")
-        total, out = np.zeros(width), []
-        for _, row in pdf.iterrows():
-            if not row["_slot"]:
-                total = total + np.asarray(row["products"], dtype="float64")
-                continue
-            count = int(total[0])
-            if count < minimum:
-                if on_short == "drop":
-                    continue
-                raise ValueError(f"Only {count} training pair(s) before {row[CUTOFF]}; at least {minimum} are needed.")
-            weights = penalty(total, size, row) if penalty else None
-            n, intercept, beta, rss = solve(total, size, weights)
-            out.append([row[k] for k in group] + [row[CUTOFF], int(n), intercept, beta.tolist(), rss])
-        return pd.DataFrame(out, columns=[*group, CUTOFF, "n_rows", "intercept", "coefficients", "rss"])
-
-    schema = ", ".join(
-        [f"`{k}` {types[k]}" for k in group]
-        + [f"`{CUTOFF}` timestamp", "n_rows long", "intercept double", "coefficients array<double>", "rss double"]
-    )
-    return rows.groupBy(*group).applyInPandas(run, schema)
+    totals = fold_products(products, slots, keys, size * (size + 1) // 2, [CUTOFF, *extra])
+    found = F.expr("cast(get(_tri, 0) as long)")
+    short = found < minimum
+    if on_short == "error":
+        said = F.concat(F.lit("Only "), found, F.lit(" training pair(s) before "), CUTOFF, F.lit(f"; at least {minimum} are needed."))
+        totals = totals.where(F.when(short, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+    elif on_short == "drop":
+        totals = totals.where(~short)
+    fits = with_solution(totals, size, penalty)
+    fitted = [F.when(~short, F.col(c)).alias(c) for c in ("intercept", "coefficients", "rss")]
+    return fits.select(*keys, FOLDS, CUTOFF, "n_rows", *fitted)
 
 
 def predict(rows: DataFrame, fits: DataFrame, keys: Sequence[str], features: Mapping[str, Column], out: str = "yhat") -> DataFrame:

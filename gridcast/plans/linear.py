@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridcast.functions import features as X
@@ -27,7 +26,7 @@ from gridcast.operators.covariates import attach_available, forecast_window, tra
 from gridcast.operators.folds import SEGMENT, assign_segments, fold_totals, future_frame
 from gridcast.operators.intervals import in_window
 from gridcast.plans.baselines import shape
-from gridcast.plans.least_squares import cross_products, predict, residual_sd, solve, solve_folds
+from gridcast.plans.least_squares import cross_products, predict, residual_sd, solve_folds
 
 # Two-sided normal quantiles: 95 per cent as published, 80 per cent interval width.
 Z95 = 1.96
@@ -111,6 +110,30 @@ def calendar_regression(
     return shape(rows.withColumn("_yhat", yhat), name, F.col("_yhat"), keys, F.col("_yhat") - spread, F.col("_yhat") + spread)
 
 
+def whole_window(rows: DataFrame, folds: DataFrame, hours: int, step_hours: int, keys: Sequence[str]) -> DataFrame:
+    """All hours of all folds, with what ``rows`` hold of them."""
+    wanted = future_frame(folds.select(*keys, FOLDS, CUTOFF), hours, step_hours)
+    return wanted.join(rows, [*keys, FOLDS, CUTOFF, DS], "left")
+
+
+def incomplete_hours(predictions: DataFrame, fits: DataFrame, window: DataFrame, keys: Sequence[str], minimum: int, needed: Sequence[str] = (PREFIX + "temperature_c",)) -> DataFrame:
+    """The hours without a prediction and why: 'short history' of the fold, 'no forecast' for the hour, or a 'missing measure' in it.
+
+    A short fold is named before anything that its hours lack.
+    """
+    by = [*keys, FOLDS, CUTOFF]
+    there = F.lit(True)
+    for c in needed:
+        there = there & F.col(c).isNotNull()
+    covered = window.select(*by, F.col(VALID).alias(DS), there.alias("_measured"))
+    open_hours = predictions.where(F.col("yhat").isNull()).select(*by, DS)
+    told = open_hours.join(fits.select(*by, "n_rows"), by, "left").join(covered, [*by, DS], "left")
+    reason = (
+        F.when(F.coalesce("n_rows", F.lit(0)) < minimum, "short history").when(F.col("_measured").isNull(), "no forecast").when(~F.col("_measured"), "missing measure")
+    )
+    return told.select(*by, DS, F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), reason.alias("reason"))
+
+
 # --- forecast correction ----------------------------------------------------------
 
 
@@ -147,12 +170,19 @@ def forecast_correction(
     tiebreak: Sequence[str] = (),
     name: str = "linear_gfs",
     on_short: str = "error",
+    step_hours: int = 1,
 ) -> DataFrame:
-    """Freshest legitimate forecast corrected by the fold's regression."""
+    """Freshest legitimate forecast corrected by the fold's regression.
+
+    With ``on_short`` 'null' every fold and hour comes back, without a value
+    where the fold is short or no run covers the hour.
+    """
     fits = correction_fit(history, panel, folds, keys, daily, minimum, on_short)
     terms = X.correction_features(daily=daily)
     window = forecast_window(panel, folds, hours, keys, tiebreak).na.drop(subset=[PREFIX + "temperature_c"])
     rows = predict(window, fits, keys, terms, "_yhat").withColumn(DS, F.col(VALID))
+    if on_short == "null":
+        rows = whole_window(rows, folds, hours, step_hours, keys)
     spread = F.lit(Z95) * residual_sd(len(terms) + 1)
     return shape(rows, name, F.col("_yhat"), keys, F.col("_yhat") - spread, F.col("_yhat") + spread)
 
@@ -187,21 +217,17 @@ def trend_features(knots: int = KNOTS) -> dict[str, Column]:
 
 def _ridge(names: Sequence[str], knots: int):
     """Penalty of one fold: priors on the scale of the label, knots past its first four fifths shut off."""
-    kinds = np.array([0 if n == "trend" else int(n.split("_")[1]) if n.startswith("knot_") else -1 for n in names])
-
-    def weights(total: np.ndarray, size: int, row: pd.Series) -> np.ndarray:
-        n, _, _, rss = solve(total, size)
-        sigma2 = max(rss / max(n, 1.0), 1e-12)
-        height = max(np.sqrt(total[-1] / n), 1e-9)
-        years = max(float(row["_years"]), 1e-6)
-        spread = np.full(len(kinds), SEASON_PRIOR * height)
-        spread[kinds == 0] = TREND_PRIOR * height / years
+    kinds = [0 if n == "trend" else int(n.split("_")[1]) if n.startswith("knot_") else -1 for n in names]
+    years = F.greatest(F.col("_years"), F.lit(1e-6))
+
+    def weights(sigma2: Column, height: Column) -> Column:
+        season = sigma2 / F.pow(F.lit(SEASON_PRIOR) * height, 2)
+        trend = sigma2 / F.pow(F.lit(TREND_PRIOR) * height / years, 2)
         # A Laplace prior of scale b has variance 2 b**2.
-        spread[kinds > 0] = np.sqrt(2.0) * KNOT_PRIOR * height / years
-        late = (kinds > 0) & (kinds / max(knots, 1) * float(row["_span"]) > years)
-        out = sigma2 / spread**2
-        out[late] = 1e12 * sigma2 / height**2
-        return out
+        knot = sigma2 / F.pow(F.lit(math.sqrt(2.0) * KNOT_PRIOR) * height / years, 2)
+        off = F.lit(1e12) * sigma2 / F.pow(height, 2)
+        late = [F.lit(k / max(knots, 1)) * F.col("_span") > F.col("_years") for k in kinds]
+        return F.array(*[trend if k == 0 else season if k < 0 else F.when(after, off).otherwise(knot) for k, after in zip(kinds, late)])
 
     return weights
 
@@ -279,6 +305,8 @@ def additive(
     if seasonality:
         wanted = _with_span(wanted, history, folds, keys)
     rows = predict(wanted, fits, keys, terms, "_yhat")
+    if on_short == "null":
+        rows = whole_window(rows, folds, hours, step_hours, keys)
     spread = F.lit(Z80) * F.sqrt(F.col("rss") / F.col("n_rows"))
     return shape(rows, name, F.col("_yhat"), keys, F.col("_yhat") - spread, F.col("_yhat") + spread)
 

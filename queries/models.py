@@ -10,9 +10,9 @@ from gridcast.plans import boosted as B
 from gridcast.plans.baselines import climatology, persistence, raw_forecast
 from gridcast.plans.jobs import merged_forecasts
 from gridcast.plans.least_squares import coefficient_table, cross_products
-from gridcast.plans.linear import additive, additive_terms, additive_fit, calendar_regression, correction_fit, forecast_correction, simple_correction
+from gridcast.plans.linear import additive, additive_terms, additive_fit, calendar_regression, correction_fit, forecast_correction, incomplete_hours, simple_correction
 from gridcast.plans.linear import ALL_REGRESSORS
-from gridcast.operators.covariates import freshest_rows
+from gridcast.operators.covariates import forecast_window, freshest_rows
 from gridcast.session import cut_lineage
 from queries.bindings import (
     ATTACHED_SQL,
@@ -33,10 +33,12 @@ from queries.bindings import (
     freshest_sql,
     with_sql,
 )
+from queries.solve_sql import all_regressors_sql, calendar_sql, correction_sql
 from queries.tree_sql import FEATURES_SQL, cells_sql, draws_sql, every_column_sql, grow_sql, recipe_sql
 
 QUERIES, ORACLE = {}, {}
 KEYS = (STATION,)
+_CORRECTION_TERMS = ", ".join(f"'{n}'" for n in ("gfs_temperature_c", "lead_days", "gfs_x_lead_days", "daily_sin_1", "daily_cos_1", "daily_sin_2", "daily_cos_2", "annual_sin_1", "annual_cos_1"))
 
 
 def query(sql: str | None = None):
@@ -145,34 +147,35 @@ def q_anomaly_decay(spark, sf):
     return finish(rows, 7)
 
 
-@query()
+@query(with_sql(TARGET_SQL, FOLDS_SQL, future_sql(), calendar_sql(), select="SELECT station_id, 'linear' AS model, folds, cutoff, ds, round(yhat, 6) AS yhat, round(yhat - spread, 6) AS yhat_lower, round(yhat + spread, 6) AS yhat_upper FROM calendar"))
 def q_calendar_regression(spark, sf):
     """Full calendar regression (trend, daily and annual terms, recent anomaly) at every fold."""
     past = history(spark, sf)
-    return finish(calendar_regression(past, folds(past), DAILY.hours, KEYS, 24), 6)
+    return finish(calendar_regression(past, folds(past), DAILY.hours, KEYS, 24, on_short="null"), 6)
 
 
-@query()
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, future_sql(), correction_sql(), select="SELECT station_id, 'linear_gfs' AS model, folds, cutoff, ds, round(yhat, 6) AS yhat, round(yhat - spread, 6) AS yhat_lower, round(yhat + spread, 6) AS yhat_upper FROM corrected"))
 def q_forecast_correction(spark, sf):
-    """Forecast, lead and calendar regression at every fold, applied to the freshest forecast."""
+    """Forecast, lead and calendar regression applied to the freshest forecast, at every fold and day."""
     past = history(spark, sf)
-    rows = forecast_correction(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, tiebreak=TIE, on_short="drop")
+    rows = forecast_correction(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, tiebreak=TIE, on_short="null", step_hours=24)
     return finish(rows, 6)
 
 
-@query()
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, future_sql(), correction_sql(), f"terms AS (SELECT station_id, folds, cutoff, unnest([{_CORRECTION_TERMS}]) AS feature, unnest(b) AS coefficient FROM cor_fits WHERE b IS NOT NULL)",
+                select="SELECT station_id, folds, cutoff, feature, round(coefficient, 6) AS coefficient, 'linear_gfs' AS model FROM terms"))
 def q_correction_coefficients(spark, sf):
     """Fitted terms of the forecast correction per fold."""
     past = history(spark, sf)
-    fits = correction_fit(past, panel(spark, sf), folds(past), KEYS, on_short="drop")
+    fits = correction_fit(past, panel(spark, sf), folds(past), KEYS, on_short="null")
     return finish(coefficient_table(fits, KEYS, list(X.correction_features()), "linear_gfs"), 6)
 
 
-@query()
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, ATTACHED_SQL, future_sql(), all_regressors_sql(ALL_REGRESSORS), select="SELECT station_id, 'prophet_gfs_all' AS model, folds, cutoff, ds, round(yhat, 6) AS yhat, round(yhat - spread, 6) AS yhat_lower, round(yhat + spread, 6) AS yhat_upper FROM covariate_all"))
 def q_covariate_all(spark, sf):
-    """Correction on all six forecast measures."""
+    """Correction on all six forecast measures, at every fold and day."""
     past = history(spark, sf)
-    rows = additive(past, folds(past), DAILY.hours, KEYS, staged_panel(spark, sf), ALL_REGRESSORS, False, 24, TIE, "prophet_gfs_all", "drop")
+    rows = additive(past, folds(past), DAILY.hours, KEYS, staged_panel(spark, sf), ALL_REGRESSORS, False, 24, TIE, "prophet_gfs_all", "null")
     return finish(rows, 6)
 
 
@@ -191,14 +194,31 @@ def q_structural_terms(spark, sf):
     return finish(coefficient_table(fits, KEYS, list(additive_terms(True, (), 24)), "prophet"), 6)
 
 
-@query()
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, future_sql(), calendar_sql(), correction_sql(), select="""
+SELECT c.station_id, c.folds, c.cutoff, c.ds, round(c.yhat, 6) AS linear_c, round(r.yhat, 6) AS linear_gfs_c, round(r.yhat - r.spread, 6) AS linear_gfs_lower_c,
+       round(r.yhat + r.spread, 6) AS linear_gfs_upper_c, round(w.gfs_temperature_c, 6) AS raw_gfs_c
+FROM calendar c LEFT JOIN corrected r USING (station_id, folds, cutoff, ds) LEFT JOIN fwindow w ON w.station_id = c.station_id AND w.folds = c.folds AND w.cutoff = c.cutoff AND w.valid_time_utc = c.ds"""))
 def q_forecast_merge(spark, sf):
     """Calendar, corrected and raw forecasts side by side."""
     past = history(spark, sf)
-    rows = merged_forecasts(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, 24, TIE, on_short="drop")
+    rows = merged_forecasts(past, staged_panel(spark, sf), folds(past), DAILY.hours, KEYS, 24, TIE, on_short="null")
     return finish(rows, 6)
 
 
+@query(with_sql(*BASE_SQL, FWINDOW_SQL, future_sql(), correction_sql(), select="""
+SELECT c.station_id, c.folds, c.cutoff, c.ds, coalesce(f.n, 0)::BIGINT AS n_rows,
+       CASE WHEN coalesce(f.n, 0) < 50 THEN 'short history' WHEN w.valid_time_utc IS NULL THEN 'no forecast' WHEN w.gfs_temperature_c IS NULL THEN 'missing measure' END AS reason
+FROM corrected c LEFT JOIN cor_fits f USING (station_id, folds, cutoff)
+LEFT JOIN fwindow w ON w.station_id = c.station_id AND w.folds = c.folds AND w.cutoff = c.cutoff AND w.valid_time_utc = c.ds WHERE c.yhat IS NULL"""))
+def q_incomplete_folds(spark, sf):
+    """Fold days the forecast correction has no value for, and why."""
+    past, runs = history(spark, sf), staged_panel(spark, sf)
+    asked = folds(past)
+    rows = forecast_correction(past, runs, asked, DAILY.hours, KEYS, tiebreak=TIE, on_short="null", step_hours=24)
+    fits = correction_fit(past, runs, asked, KEYS, on_short="null")
+    return finish(incomplete_hours(rows, fits, forecast_window(runs, asked, DAILY.hours, KEYS, TIE), KEYS, 50))
+
+
 # The published settings but for the number of rounds, which every level of every round adds a pass to.
 RANKING = {"maxIter": 8}
 RECIPE = {"maxIter": 4}

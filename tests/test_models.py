@@ -409,3 +409,37 @@ def test_season_flags_are_exclusive(spark):
     assert flags.filter(total != 1).count() == 0
     assert flags.filter("month(ds) = 12 AND NOT is_winter").count() == 0
     assert FOLDS == "folds"
+
+
+def test_fold_solver_equals_least_squares(spark):
+    from gridcast.plans.least_squares import with_solution
+
+    rng = np.random.default_rng(7)
+    rows, expected = [], []
+    for g in range(4):
+        x = rng.normal(size=(60, 5)) * [1, 100, 1e-3, 1, 1] + [0, 5, 0, 0, 0]
+        x[:, 3] = 2 * x[:, 0] - x[:, 2] if g % 2 else x[:, 3]
+        x[:, 4] = 7.0 if g > 1 else x[:, 4]
+        y = x @ [1.0, 0.02, 300.0, 0.5, 0.0] + 3 + 0.1 * rng.normal(size=60)
+        z = np.column_stack([np.ones(60), x, y])
+        rows.append((g, (z.T @ z)[np.triu_indices(7)].tolist()))
+        design = z[:, :-1]
+        fitted = design @ np.linalg.lstsq(design, y, rcond=1e-12)[0]
+        expected.append((x, fitted, float(((y - fitted) ** 2).sum())))
+    got = with_solution(spark.createDataFrame(rows, "g int, _tri array<double>"), 7).toPandas().set_index("g")
+    for g, (x, fitted, rss) in enumerate(expected):
+        np.testing.assert_allclose(got.loc[g, "intercept"] + x @ np.array(got.loc[g, "coefficients"]), fitted, atol=1e-6)
+        assert got.loc[g, "n_rows"] == 60 and got.loc[g, "rss"] == pytest.approx(rss, rel=1e-6)
+    weights = F.array(*[F.lit(w) for w in (2.0, 0.5, 1e-4, 3.0, 1.0)])
+    stiff = with_solution(spark.createDataFrame(rows, "g int, _tri array<double>"), 7, lambda sigma2, height: weights).toPandas().set_index("g")
+    for g in (0, 2):
+        tri = np.zeros((7, 7))
+        tri[np.triu_indices(7)] = rows[g][1]
+        full = np.triu(tri) + np.triu(tri, 1).T
+        centred = full[1:, 1:] - np.outer(full[0, 1:], full[0, 1:]) / full[0, 0]
+        used = [0, 1, 2, 3] if g == 2 else [0, 1, 2, 3, 4]
+        w = np.array([2.0, 0.5, 1e-4, 3.0, 1.0])[used]
+        beta = np.linalg.solve(centred[np.ix_(used, used)] + np.diag(w), centred[used, -1])
+        np.testing.assert_allclose(np.array(stiff.loc[g, "coefficients"])[used], beta, rtol=1e-6)
+        rss = centred[-1, -1] - 2 * beta @ centred[used, -1] + beta @ centred[np.ix_(used, used)] @ beta
+        assert stiff.loc[g, "rss"] == pytest.approx(rss, rel=1e-6)
