@@ -100,7 +100,8 @@ def fold_products(products: DataFrame, slots: DataFrame, keys: Sequence[str], wi
     totals = cells.unionByName(asked, allowMissingColumns=True).withColumn("_t", F.sum("_v").over(upto)).where("_slot")
     # One fold's row holds as many numbers as the regression has products.
     packed = totals.groupBy(*keys, FOLDS, *carried).agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_c"))
-    return packed.withColumn("_tri", F.transform("_c", lambda c: c["_t"])).drop("_c")
+    # A few small rows would all land in one task, which then solves all folds.
+    return spread(packed, *keys, FOLDS, *carried).withColumn("_tri", F.transform("_c", lambda c: c["_t"])).drop("_c")
 
 
 def eliminated(matrix: str, size: int) -> str:
@@ -109,12 +110,13 @@ def eliminated(matrix: str, size: int) -> str:
     The last column then holds the coefficients and its corner the residual
     sum of squares. A pivot that earlier ones explain is crossed out.
     """
-    pivot, here = f"get(a, p * {size + 1})", "get(a, c)"
-    i, j = f"(c div {size})", f"(c % {size})"
-    row, column = f"get(a, p * {size} + {j})", f"get(a, cast({i} as int) * {size} + p)"
-    crossed = f"CASE WHEN {i} = p OR {j} = p THEN 0D ELSE {here} END"
-    cell = f"CASE WHEN {pivot} <= {EXPLAINED!r}D THEN {crossed} WHEN {i} = p THEN {row} / {pivot} ELSE {here} - {column} * {row} / {pivot} END"
-    return f"aggregate(sequence(0, {size - 2}), {matrix}, (a, p) -> transform(sequence(0, {size * size - 1}), c -> {cell}))"
+    rows = f"transform(sequence(0, {size - 1}), i -> slice({matrix}, i * {size} + 1, {size}))"
+    pivot = "get(get(a, p), p)"
+    crossed = "transform(a, (r, i) -> CASE WHEN i = p THEN transform(r, x -> 0D) ELSE transform(r, (x, j) -> CASE WHEN j = p THEN 0D ELSE x END) END)"
+    # The factor of a row is bound once, by a list of one.
+    cleared = f"get(transform(array(get(r, p) / {pivot}), f -> zip_with(r, get(a, p), (x, y) -> x - f * y)), 0)"
+    step = f"transform(a, (r, i) -> CASE WHEN i = p THEN transform(r, x -> x / get(r, p)) ELSE {cleared} END)"
+    return f"flatten(aggregate(sequence(0, {size - 2}), {rows}, (a, p) -> CASE WHEN {pivot} <= {EXPLAINED!r}D THEN {crossed} ELSE {step} END))"
 
 
 def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) -> DataFrame:
