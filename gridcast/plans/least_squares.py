@@ -110,7 +110,7 @@ def eliminated(matrix: str, size: int) -> str:
     The last column then holds the coefficients and its corner the residual
     sum of squares. A pivot that earlier ones explain is crossed out.
     """
-    rows = f"transform(sequence(0, {size - 1}), i -> slice({matrix}, i * {size} + 1, {size}))"
+    rows = let("m", matrix, f"transform(sequence(0, {size - 1}), i -> slice(m, i * {size} + 1, {size}))")
     pivot = "get(get(a, p), p)"
     crossed = "transform(a, (r, i) -> CASE WHEN i = p THEN transform(r, x -> 0D) ELSE transform(r, (x, j) -> CASE WHEN j = p THEN 0D ELSE x END) END)"
     # The factor of a row is bound once, by a list of one.
@@ -119,6 +119,11 @@ def eliminated(matrix: str, size: int) -> str:
     return f"flatten(aggregate(sequence(0, {size - 2}), {rows}, (a, p) -> CASE WHEN {pivot} <= {EXPLAINED!r}D THEN {crossed} ELSE {step} END))"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once: inside a lambda a merged projection would repeat it for every item."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) -> DataFrame:
     """Adds n_rows, intercept, coefficients and rss from ``_tri``, the upper triangle of the products.
 
@@ -129,16 +134,17 @@ def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) ->
 
     def at(r: str, q: str) -> str:
         low, high = f"least({r}, {q})", f"greatest({r}, {q})"
-        return f"get(_tri, cast({low} * {size} - {low} * ({low} - 1) / 2 + {high} - {low} as int))"
+        return f"get(tri, cast({low} * {size} - {low} * ({low} - 1) / 2 + {high} - {low} as int))"
 
     cells = f"sequence(0, {m * m - 1})"
     out = rows.withColumn("_n", F.expr("get(_tri, 0)"))
-    out = out.withColumn("_centred", F.expr(f"transform({cells}, c -> {at(f'({i} + 1)', f'({j} + 1)')} - {at('0', f'({i} + 1)')} * {at('0', f'({j} + 1)')} / _n)"))
-    scale = f"sqrt(greatest(get(_centred, i * {m + 1}), 0D))"
+    out = out.withColumn("_centred", F.expr(let("tri", "_tri", f"transform({cells}, c -> {at(f'({i} + 1)', f'({j} + 1)')} - {at('0', f'({i} + 1)')} * {at('0', f'({j} + 1)')} / get(tri, 0))")))
+    scale = f"sqrt(greatest(get(centred, i * {m + 1}), 0D))"
     alive = f"{scale} > 1e-9D * sqrt(greatest({at('(i + 1)', '(i + 1)')}, 1e-300D))"
-    out = out.withColumn("_scale", F.expr(f"transform(sequence(0, {m - 1}), i -> CASE WHEN i = {k} THEN CASE WHEN {scale} > 0 THEN {scale} ELSE 1D END WHEN {alive} THEN {scale} ELSE 0D END)"))
-    unit = f"CASE WHEN get(_scale, {i}) = 0 OR get(_scale, {j}) = 0 THEN 0D ELSE get(_centred, c) / (get(_scale, {i}) * get(_scale, {j})) END"
-    out = out.withColumn("_unit", F.expr(f"transform({cells}, c -> {unit})"))
+    scales = f"transform(sequence(0, {m - 1}), i -> CASE WHEN i = {k} THEN CASE WHEN {scale} > 0 THEN {scale} ELSE 1D END WHEN {alive} THEN {scale} ELSE 0D END)"
+    out = out.withColumn("_scale", F.expr(let("tri", "_tri", let("centred", "_centred", scales))))
+    unit = f"CASE WHEN get(d, {i}) = 0 OR get(d, {j}) = 0 THEN 0D ELSE get(centred, c) / (get(d, {i}) * get(d, {j})) END"
+    out = out.withColumn("_unit", F.expr(let("centred", "_centred", let("d", "_scale", f"transform({cells}, c -> {unit})"))))
     plain = out.withColumn("_done", F.expr(eliminated("_unit", m)))
     corner = f"greatest(get(_done, {m * m - 1}), 0D) * get(_scale, {k}) * get(_scale, {k})"
     lost = "0D"
@@ -146,18 +152,18 @@ def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) ->
         sigma2 = F.greatest(F.expr(corner) / F.greatest("_n", F.lit(1.0)), F.lit(1e-12))
         height = F.greatest(F.sqrt(F.expr(f"get(_tri, {size * (size + 1) // 2 - 1})") / F.col("_n")), F.lit(1e-9))
         weighed = plain.withColumn("_weights", penalty(sigma2, height))
-        extra = f"CASE WHEN {i} = {j} AND {i} < {k} AND get(_scale, {i}) > 0 THEN get(_weights, {i}) / (get(_scale, {i}) * get(_scale, {i})) ELSE 0D END"
-        stiff = weighed.withColumn("_stiff", F.expr(f"transform({cells}, c -> get(_unit, c) + {extra})"))
-        plain = stiff.withColumn("_done", F.expr(eliminated("_stiff", m)))
+        extra = f"CASE WHEN {i} = {j} AND {i} < {k} AND get(d, {i}) > 0 THEN get(w, {i}) / (get(d, {i}) * get(d, {i})) ELSE 0D END"
+        stiffened = let("d", "_scale", let("w", "_weights", let("unit", "_unit", f"transform({cells}, c -> get(unit, c) + {extra})")))
+        plain = weighed.withColumn("_stiff", F.expr(stiffened)).withColumn("_done", F.expr(eliminated("_stiff", m)))
         # The corner counts the penalty as a residual.
         lost = "aggregate(zip_with(coefficients, _weights, (b, w) -> b * b * w), 0D, (t, v) -> t + v)"
-    beta = f"transform(sequence(0, {k - 1}), i -> CASE WHEN get(_scale, i) = 0 THEN 0D ELSE get(_done, i * {m} + {m - 1}) * get(_scale, {k}) / get(_scale, i) END)"
-    fitted = plain.withColumn("coefficients", F.expr(beta if k else "cast(array() as array<double>)"))
-    explained = f"aggregate(transform(coefficients, (b, i) -> b * {at('0', '(i + 1)')} / _n), 0D, (t, v) -> t + v)"
+    beta = f"transform(sequence(0, {k - 1}), i -> CASE WHEN get(d, i) = 0 THEN 0D ELSE get(done, i * {m} + {m - 1}) * get(d, {k}) / get(d, i) END)"
+    fitted = plain.withColumn("coefficients", F.expr(let("d", "_scale", let("done", "_done", beta)) if k else "cast(array() as array<double>)"))
+    explained = let("tri", "_tri", f"aggregate(transform(coefficients, (b, i) -> b * {at('0', '(i + 1)')} / get(tri, 0)), 0D, (t, v) -> t + v)")
     return fitted.withColumns(
         {
             "n_rows": F.col("_n").cast("long"),
-            "intercept": F.expr(f"{at('0', str(m))} / _n - {explained}"),
+            "intercept": F.expr(f"get(_tri, {m}) / _n - {explained}"),
             "rss": F.expr(f"greatest({corner} - {lost}, 0D)"),
         }
     )
