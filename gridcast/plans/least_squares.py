@@ -138,7 +138,7 @@ def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) ->
 
     cells = f"sequence(0, {m * m - 1})"
     out = rows.withColumn("_n", F.expr("get(_tri, 0)"))
-    out = out.withColumn("_centred", F.expr(let("tri", "_tri", f"transform({cells}, c -> {at(f'({i} + 1)', f'({j} + 1)')} - {at('0', f'({i} + 1)')} * {at('0', f'({j} + 1)')} / get(tri, 0))")))
+    out = out.withColumn("_centred", F.expr(let("tri", "_tri", f"transform({cells}, c -> {at(f'({i} + 1)', f'({j} + 1)')} - {at('0', f'({i} + 1)')} * {at('0', f'({j} + 1)')} / nullif(get(tri, 0), 0D))")))
     scale = f"sqrt(greatest(get(centred, i * {m + 1}), 0D))"
     alive = f"{scale} > 1e-9D * sqrt(greatest({at('(i + 1)', '(i + 1)')}, 1e-300D))"
     scales = f"transform(sequence(0, {m - 1}), i -> CASE WHEN i = {k} THEN CASE WHEN {scale} > 0 THEN {scale} ELSE 1D END WHEN {alive} THEN {scale} ELSE 0D END)"
@@ -150,7 +150,7 @@ def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) ->
     lost = "0D"
     if penalty is not None:
         sigma2 = F.greatest(F.expr(corner) / F.greatest("_n", F.lit(1.0)), F.lit(1e-12))
-        height = F.greatest(F.sqrt(F.expr(f"get(_tri, {size * (size + 1) // 2 - 1})") / F.col("_n")), F.lit(1e-9))
+        height = F.greatest(F.sqrt(F.expr(f"get(_tri, {size * (size + 1) // 2 - 1}) / nullif(_n, 0D)")), F.lit(1e-9))
         weighed = plain.withColumn("_weights", penalty(sigma2, height))
         extra = f"CASE WHEN {i} = {j} AND {i} < {k} AND get(d, {i}) > 0 THEN get(w, {i}) / (get(d, {i}) * get(d, {i})) ELSE 0D END"
         stiffened = let("d", "_scale", let("w", "_weights", let("unit", "_unit", f"transform({cells}, c -> get(unit, c) + {extra})")))
@@ -159,11 +159,11 @@ def with_solution(rows: DataFrame, size: int, penalty: Penalty | None = None) ->
         lost = "aggregate(zip_with(coefficients, _weights, (b, w) -> b * b * w), 0D, (t, v) -> t + v)"
     beta = f"transform(sequence(0, {k - 1}), i -> CASE WHEN get(d, i) = 0 THEN 0D ELSE get(done, i * {m} + {m - 1}) * get(d, {k}) / get(d, i) END)"
     fitted = plain.withColumn("coefficients", F.expr(let("d", "_scale", let("done", "_done", beta)) if k else "cast(array() as array<double>)"))
-    explained = let("tri", "_tri", f"aggregate(transform(coefficients, (b, i) -> b * {at('0', '(i + 1)')} / get(tri, 0)), 0D, (t, v) -> t + v)")
+    explained = let("tri", "_tri", f"aggregate(transform(coefficients, (b, i) -> b * {at('0', '(i + 1)')} / nullif(get(tri, 0), 0D)), 0D, (t, v) -> t + v)")
     return fitted.withColumns(
         {
             "n_rows": F.col("_n").cast("long"),
-            "intercept": F.expr(f"get(_tri, {m}) / _n - {explained}"),
+            "intercept": F.expr(f"get(_tri, {m}) / nullif(_n, 0D) - {explained}"),
             "rss": F.expr(f"greatest({corner} - {lost}, 0D)"),
         }
     )

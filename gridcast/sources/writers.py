@@ -47,7 +47,7 @@ def land_source(rows: DataFrame, name: str, start, end) -> DataFrame:
     """Contract of every landed source: required columns, the window, exact duplicates removed, source tagged."""
     missing = sorted({STATION, TS} - set(rows.columns))
     if missing:
-        raise ValueError(f"{name} omitted required columns: {missing}.")
+        raise ValueError(f"Rows of {name} cannot land: {missing} omitted.")
     inside = rows.filter((F.col(TS) >= start) & (F.col(TS) < end))
     return tag_source(inside.distinct(), name)
 

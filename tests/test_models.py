@@ -443,3 +443,24 @@ def test_fold_solver_equals_least_squares(spark):
         np.testing.assert_allclose(np.array(stiff.loc[g, "coefficients"])[used], beta, rtol=1e-6)
         rss = centred[-1, -1] - 2 * beta @ centred[used, -1] + beta @ centred[np.ix_(used, used)] @ beta
         assert stiff.loc[g, "rss"] == pytest.approx(rss, rel=1e-6)
+
+
+def test_whole_windows_say_what_is_missing(spark, biased):
+    from gridcast.operators.covariates import forecast_window
+    from gridcast.plans.linear import correction_fit, incomplete_hours
+
+    truth = to_spark(spark, series("2024-01-01", 24 * 75))
+    folds = folds_of(spark, "2024-01-02T00:00:00", "2024-02-20T00:00:00", "2024-03-14T00:00:00")
+    rows = forecast_correction(truth, biased, folds, 48, on_short="null")
+    assert rows.count() == 3 * 48
+    fits = correction_fit(truth, biased, folds, on_short="null")
+    found = incomplete_hours(rows, fits, forecast_window(biased, folds, 48), ("station_id",), 50)
+    empty = rows.where("yhat IS NULL").count()
+    told = found.toPandas()
+    assert len(told) == empty and told.reason.notna().all()
+    first = told[told.cutoff == pd.Timestamp("2024-01-02")]
+    assert len(first) == 48 and set(first.reason) == {"short history"} and first.n_rows.max() < 50
+    later = told[told.cutoff > pd.Timestamp("2024-01-02")]
+    assert set(later.reason) <= {"no forecast"}
+    kept = forecast_correction(truth, biased, folds, 48, on_short="drop")
+    assert kept.count() == 3 * 48 - empty
