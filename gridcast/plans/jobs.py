@@ -141,7 +141,7 @@ def backtest(spark: SparkSession, target_path: str, out_dir: str, cutoff, models
     panel = readers.parquet_table(spark, panel_path, "clean_forecast_runs") if panel_path else None
     folds = cut_lineage(number_folds(fold_sets(history, F.lit(cutoff), setup, step_days, panel), setup.keys))
     if folds.isEmpty():
-        raise ValueError("Nothing to score: the history has no cutoff with a year behind it and a whole window ahead.")
+        raise ValueError("No backtest fold has a year of history behind it and a whole window ahead.")
     staged = M.with_truth(run_models(models, history, folds, panel, setup), history, setup.keys)
     writers.write_table(staged, paths["predictions"], overwrite, (MODEL, FOLDS), (CUTOFF, DS))
     stored = spark.read.parquet(paths["predictions"]).withColumns({MODEL: F.col(MODEL).cast("string"), FOLDS: F.col(FOLDS).cast("string")})
