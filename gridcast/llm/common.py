@@ -58,11 +58,12 @@ def row_hash() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("text").isNull())
 
 
-def thinned(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+def thinned(df: DataFrame, wanted: DataFrame, column: str, held: bool = True) -> DataFrame:
     """Rows of ``df`` whose hash ``column`` is in ``wanted``, and some more: one bit a hash, in a table of fixed size.
 
-    The table is broadcast; it has at most ``FILTER_BITS`` bits (8 MB in rows of
-    64), whatever the data. It only spares rows that a join would drop a shuffle.
+    With ``held`` false, the other rows: none of them is in ``wanted``. The table is broadcast; it has at
+    most ``FILTER_BITS`` bits (8 MB in rows of 64), whatever the data. It only spares rows a shuffle;
+    beyond some ten times its size in hashes it spares none, and results stay as they are.
     """
     slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
     bits = (
@@ -70,8 +71,9 @@ def thinned(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
         .groupBy(F.floor(F.col("slot") / 64).alias("_word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("_bits"))
     )
-    held = df.withColumn("_slot", slot).join(F.broadcast(bits), F.floor(F.col("_slot") / 64) == F.col("_word"))
-    return held.where("shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1 = 1").drop("_slot", "_word", "_bits")
+    known = df.withColumn("_slot", slot).join(F.broadcast(bits), F.floor(F.col("_slot") / 64) == F.col("_word"), "inner" if held else "left")
+    found = F.expr("coalesce(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1, 0) = 1")
+    return known.where(found if held else ~found).drop("_slot", "_word", "_bits")
 
 
 def streamed_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -45,3 +45,11 @@ def test_a_passage_from_two_sources_and_repeated_rows(spark):
         x for x in found if x[0] in (None, 4, 1, 2, 5, 6)
     } == {(None, 0, len(b), 2), (4, 0, len(a) + len(b) + 1, 3)}
     assert sum(x[2] for x in found if x[0] == 3) in (len(a) + len(b), len(a) + len(b) + 1)
+
+
+def test_op6_counts_beside_columns_of_that_name(spark):
+    from gridcast.llm import lines
+
+    docs = spark.createDataFrame([(1, "one two three four five", 7), (2, "one two three four five\nand more of other words", 8)], "doc_id long, text string, n_lines int")
+    left = {r["doc_id"]: (r["text"], r["n_lines"], r["n_lines_"], r["n_dropped"]) for r in lines.drop_lines(docs, counted=True).collect()}
+    assert left == {1: ("one two three four five", 7, 1, 0), 2: ("and more of other words", 8, 2, 1)}
