@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +29,16 @@ def stage(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver forget the shuffles of tables that are staged by now.
+
+    Spark deletes shuffle files when the driver's garbage collector finds that nobody can
+    ask for them, by default every half hour; jobs of many large shuffles would hold all of them until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-case runs of ASCII digits, ASCII letters and bytes above 127."""
     return text.translate(WORD_BYTES).split() if text else []
