@@ -5,7 +5,7 @@ are too short for a fuzzy comparison; they stay, or with ``short`` are compared
 node, named by a 64-bit digest. Similar lines have a word edit distance of at most
 a fifth of the longer one's words (similarity 0.8). An edit breaks at most two of a line's pairs of
 neighbouring words, so two similar lines share all but twice that many. All lines
-order their pairs alike, those of rare words first (by counts on a sample; any order
+order their pairs alike, those of rare words first (by counts over all documents; any order
 is right, this one meets few strangers). Of two lines that share so many pairs, the first few in that order
 (two a possible edit, and one) hold a common one: these are the line's blocks, and
 every similar pair meets in one of them. Those that meet are told apart by the parities of their
@@ -25,10 +25,13 @@ columns are kept by ``drop_lines``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,15 +42,25 @@ from gridcast.llm.edits import bounded
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-#: Documents of which one is sampled for the counts of words, and the slots they are counted in.
-SAMPLED, SLOT_BITS = 16, 20
+#: Slots that words are counted in, and those of a piece of the counts.
+SLOT_BITS, PIECE_BITS = 20, 14
 #: Bits of a block's name; strangers that share a name are told apart as any others in a block.
-BLOCK_BITS = 40
+BLOCK_BITS, BLOCK_BYTES = 40, 5
+#: Bits beside a block's name for a line's number of words.
+WORD_BITS = 64 - BLOCK_BITS
+#: Lines whose pairs are sorted at a time, and bits of a pair's hash there; the level has what is left.
+LINE_BITS, PAIR_BITS = 13, 42
+#: Shares that blocks are dealt with in.
+ROUNDS = 4
+NAMED = [f"blocks_{r}" for r in range(ROUNDS)]
+LINES = ", ".join(["key long, words int, high long, low long", *[f"{c} binary" for c in NAMED], "doc_id long, row long, line int"])
+#: Kinds of rows that blocks give.
+PAIR, LED, CROWDED = 0, 1, 2
+MET = "kind int, a long, b long, words int, high long, low long"
 #: Nodes from which on a block counts as crowded.
 CROWD = 24
 #: Odd factors that mix hashes.
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-LINES = "key long, words int, high long, low long, blocks array<long>, doc_id long, row long, line int"
 
 
 def edits_allowed(words):
@@ -55,25 +68,39 @@ def edits_allowed(words):
     return np.floor((1 - SIMILARITY) * np.asarray(words) + 1e-9).astype(np.int64)
 
 
+def hashes_of(words: Sequence[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
+
+
 def word_levels(docs: DataFrame) -> np.ndarray:
-    """A level for each slot of word hashes, eight to the doubling of its words in sampled documents."""
+    """A level for each slot of word hashes, eight to the doubling of its words in all documents."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        digest = xxhash.xxh3_64_intdigest
         for batch in parts(batches):
-            hashes = np.array([digest(w) for text in byte_texts(batch, "text") for w in words_of(text)], dtype=np.uint64)
-            counts += np.bincount((hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
-        slots = np.flatnonzero(counts)
-        for i in range(0, len(slots), 1 << 16):
-            some = slots[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names=["slot", "n"])
+            found: Counter[bytes] = Counter()
+            for text in byte_texts(batch, "text"):
+                found.update(words_of(text))
+            slots = (hashes_of(list(found)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            np.add.at(counts, slots, np.fromiter(found.values(), np.int64, len(found)))
+        pieces = counts.reshape(-1, 1 << PIECE_BITS)
+        used = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=["piece", "counts"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
+                totals[piece] = totals.get(piece, 0) + np.frombuffer(counts, dtype=np.int64)
+        levels = [np.minimum(8 * np.log2(1.0 + n), 255).astype(np.uint8).tobytes() for n in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(levels, pa.binary())], names=["piece", "counts"])
 
-    sampled = docs.select(F.col("text").cast("string").alias("text"), row_hash().alias("row")).where(F.pmod("row", F.lit(SAMPLED)) == 0)
-    counted = sampled.select("text").mapInArrow(per_task, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    levels = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    levels[counted.column("slot").to_numpy()] = np.minimum(8 * np.log2(1.0 + counted.column("n").to_numpy()), 255)
-    return levels
+    schema = "piece int, counts binary"
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(per_task, schema).repartition("piece").mapInArrow(summed, schema).toArrow()
+    levels = np.zeros((1 << (SLOT_BITS - PIECE_BITS), 1 << PIECE_BITS), dtype=np.uint8)
+    for piece, found in zip(counted.column("piece").to_pylist(), counted.column("counts").to_pylist()):
+        levels[piece] = np.frombuffer(found, dtype=np.uint8)
+    return levels.ravel()
 
 
 def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -95,35 +122,60 @@ def blocks_of(hashes: np.ndarray, sizes: np.ndarray, levels: np.ndarray) -> tupl
     """
     taken = np.minimum(np.maximum(2 * edits_allowed(sizes) + 1, 2 * edits_allowed(sizes + 1)), sizes - 1)
     taken[sizes < LEAST_WORDS] = 0
-    inner = np.ones(len(hashes), dtype=bool)
-    inner[np.cumsum(sizes) - 1] = False
-    at = np.flatnonzero(inner)
-    pairs = hashes[at] * MIX + hashes[at + 1]
-    pairs = (pairs ^ (pairs >> np.uint64(32))) * MIX
-    level = levels[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int16)
-    line = np.repeat(np.arange(len(sizes)), sizes - 1)
-    # Lines stay in their order; so ``line`` holds for the sorted pairs as well.
-    pairs = pairs[np.lexsort((pairs, level[at] + level[at + 1], line))]
-    index = np.arange(len(pairs))
-    new = np.ones(len(pairs), dtype=bool)
-    new[1:] = (pairs[1:] != pairs[:-1]) | (line[1:] != line[:-1])
-    # A pair that a line repeats is another one each time.
-    again = index - np.maximum.accumulate(np.where(new, index, 0))
-    place = index - (np.cumsum(sizes - 1) - (sizes - 1))[line]
-    blocks = (pairs + again.astype(np.uint64) * STEP)[place < taken[line]]
-    return (blocks >> np.uint64(64 - BLOCK_BITS)).view(np.int64), taken
+    ends = np.cumsum(sizes)
+    level = levels[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+    found = [np.zeros(0, dtype=np.uint64)]
+    for i in range(0, len(sizes), 1 << LINE_BITS):
+        some = slice(i, i + (1 << LINE_BITS))
+        words = slice(int(ends[i] - sizes[i]), int(ends[some][-1]))
+        inner = np.ones(words.stop - words.start, dtype=bool)
+        inner[ends[some] - 1 - words.start] = False
+        at = np.flatnonzero(inner) + words.start
+        pairs = hashes[at] * MIX + hashes[at + 1]
+        pairs = (pairs ^ (pairs >> np.uint64(32))) * MIX
+        each = sizes[some] - 1
+        line = np.repeat(np.arange(len(each), dtype=np.uint64), each)
+        # Line, level and hash in one number, so that one sort puts every line's pairs in their order.
+        value = line << np.uint64(64 - LINE_BITS) | (level[at] + level[at + 1]) << np.uint64(PAIR_BITS) | pairs >> np.uint64(64 - PAIR_BITS)
+        value.sort()
+        index = np.arange(len(value))
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = value[1:] != value[:-1]
+        # A pair that a line repeats is another one each time.
+        again = index - np.maximum.accumulate(np.where(new, index, 0))
+        held = index - np.repeat(np.cumsum(each) - each, each) < np.repeat(taken[some], each)
+        names = ((value[held] & np.uint64((1 << (64 - LINE_BITS)) - 1)) + again[held].astype(np.uint64) * STEP) * MIX
+        found.append(names >> np.uint64(64 - BLOCK_BITS))
+    return np.concatenate(found), taken
+
+
+def packed(blocks: np.ndarray) -> np.ndarray:
+    """The bytes of the blocks' names, ``BLOCK_BYTES`` each."""
+    return np.ascontiguousarray(blocks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BLOCK_BYTES]).ravel()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // BLOCK_BYTES, 8), dtype=np.uint8)
+    wide[:, :BLOCK_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, BLOCK_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary array whose items take so many of the bytes each."""
+    offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(key, words, high, low, blocks, doc_id, row, line) of every line that is long enough, with ``short`` of every line with a word."""
+    """(key, words, high, low, doc_id, row, line) and the blocks by shares of every line that is long enough, with ``short`` of every line with a word."""
     least = 1 if short else LEAST_WORDS
     levels = word_levels(docs)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in parts(batches):
+        for batch in parts(batches, 256):
             keys: list[int] = []
-            hashes: list[int] = []
+            words: list[bytes] = []
             sizes: list[int] = []
             numbers: list[int] = []
             counts: list[int] = []
@@ -133,20 +185,22 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
                     found = words_of(line)
                     if len(found) >= least:
                         keys.append(digest(b" ".join(found)))
-                        hashes += map(digest, found)
+                        words += found
                         sizes.append(len(found))
                         numbers.append(number)
                 counts.append(len(keys) - before)
             rows = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
-            hashed, sized = np.array(hashes, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+            hashed, sized = hashes_of(words), np.array(sizes, dtype=np.int64)
             bits = sketches(hashed, sized)
             blocks, taken = blocks_of(hashed, sized, levels)
+            share, line = blocks % np.uint64(ROUNDS), np.repeat(np.arange(len(taken)), taken)
+            shares = [binaries(packed(blocks[share == r]), np.bincount(line[share == r], minlength=len(taken)) * BLOCK_BYTES) for r in range(ROUNDS)]
             arrays = [
                 pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64()),
                 pa.array(sized, pa.int32()),
                 pa.array(np.ascontiguousarray(bits[:, 0]), pa.int64()),
                 pa.array(np.ascontiguousarray(bits[:, 1]), pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(taken)), pa.int32()), pa.array(blocks, pa.int64())),
+                *shares,
                 batch.column("doc_id").take(rows),
                 batch.column("row").take(rows),
                 pa.array(numbers, pa.int32()),
@@ -157,23 +211,107 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
     return read.mapInArrow(per_batch, LINES)
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the words of rows (block and words, key, high, low) let them be similar, as ``near`` tells it."""
+    words, others = ((x[:, 0] & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64) for x in (a, b))
+    apart = np.bitwise_count(a[:, 2] ^ b[:, 2]).astype(np.int64) + np.bitwise_count(a[:, 3] ^ b[:, 3])
+    longer = np.abs(words - others)
+    most = edits_allowed(np.maximum(words, others))
+    return (longer <= most) & (apart <= 2 * most - longer) & (a[:, 1] != b[:, 1])
+
+
+def met_rows(kind: int, a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(a)
+    more = [pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.int64())]
+    if rows is not None:
+        words = (rows[:, 0] & np.uint64((1 << WORD_BITS) - 1)).astype(np.int32)
+        more = [pa.array(words), *(pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in (2, 3))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *more], names=[x.split()[0] for x in MET.split(", ")])
+
+
+def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What all rows of some blocks give: near pairs of small blocks, near pairs of a crowd's smallest node, and crowds."""
+    blocks = rows[:, 0] >> np.uint64(WORD_BITS)
+    order = np.argsort(blocks)
+    blocks = blocks[order]
+    same = blocks[1:] == blocks[:-1]
+    shared = np.append(False, same) | np.append(same, False)
+    rows, blocks = rows[order[shared]], blocks[shared]
+    if not len(rows):
+        return
+    starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    counts = np.diff(np.append(starts, len(blocks)))
+    crowded = np.repeat(counts >= CROWD, counts)
+    small, names = rows[~crowded], blocks[~crowded]
+    for apart in range(1, CROWD - 1):
+        at = np.flatnonzero(names[apart:] == names[:-apart])
+        if not len(at):
+            break
+        for i in range(0, len(at), 1 << 18):
+            some = at[i : i + (1 << 18)]
+            left, right = small[some], small[some + apart]
+            close = near_pairs(left, right)
+            a, b = (np.ascontiguousarray(x[close, 1]).view(np.int64) for x in (left, right))
+            if len(a):
+                yield met_rows(PAIR, np.minimum(a, b), np.maximum(a, b))
+    if not crowded.any():
+        return
+    rows, blocks = rows[crowded], blocks[crowded]
+    order = np.lexsort((np.ascontiguousarray(rows[:, 1]).view(np.int64), blocks))
+    rows, blocks = rows[order], blocks[order]
+    counts = counts[counts >= CROWD]
+    leaders = np.repeat(np.cumsum(counts) - counts, counts)
+    for i in range(0, len(rows), 1 << 16):
+        some = slice(i, i + (1 << 16))
+        led = rows[leaders[some]]
+        close = near_pairs(led, rows[some])
+        keys, firsts = (np.ascontiguousarray(x[:, 1]).view(np.int64) for x in (rows[some], led))
+        yield met_rows(LED, firsts[close], keys[close])
+        yield met_rows(CROWDED, keys, blocks[some].astype(np.int64), rows[some])
+
+
 def meetings(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(block, key, words, high, low, n, leader): nodes in blocks that others are in, their number and the smallest of them.
+    """(kind, a, b, words, high, low): what nodes give that are in one block.
 
-    Lines that repeat are brought together first, so that a block counts distinct lines and a line that
-    occurs once is not shuffled for it. Most blocks hold one line; these are told by counting the blocks
-    alone. What is left travels as block and key, and gets its sketch when strangers are gone.
+    ``PAIR``: a and b are near and in a block of few nodes; ``LED``: a is the smallest node of a crowded
+    block and b is near it; ``CROWDED``: node a is in the crowded block b. Lines that repeat are brought
+    together first, so that a block counts distinct lines and a line that occurs once is not shuffled for it.
+    Blocks are dealt with in ``ROUNDS`` shares by their names, so that only a share of them is on
+    disk at a time; they travel as packed numbers with the sketches, many to a row.
     """
+    spark = lines.sparkSession
     repeated = nodes.where("n > 1").select("key")
-    many = stage(thinned(lines.select("key", "blocks"), repeated, "key").groupBy("key").agg(F.first("blocks").alias("blocks")))
-    once = thinned(lines.select("key", "blocks"), repeated, "key", held=False).unionByName(many)
-    # A line may hold a block's name twice, by chance.
-    placed = once.select("key", F.explode(F.array_distinct("blocks")).alias("block"))
-    shared = stage(placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
-    release(lines.sparkSession)
-    held = stage(thinned(placed, shared, "block"))
-    crowds = held.groupBy("block").agg(F.count("*").alias("n"), F.min("key").alias("leader")).where("n > 1")
-    return stage(held.join(crowds, "block").join(nodes.select("key", "words", "high", "low"), "key"))
+    columns = ["key", "words", "high", "low", *NAMED]
+    many = stage(thinned(lines.select(*columns), repeated, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in columns[1:]]))
+    once = thinned(lines.select(*columns), repeated, "key", held=False).unionByName(many)
+    pieces = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pc.binary_length(batch.column("blocks")).to_numpy() // BLOCK_BYTES
+            names = unpacked(b"".join(batch.column("blocks").to_pylist()))
+            line = np.repeat(np.arange(len(counts)), counts)
+            piece = (names // np.uint64(ROUNDS) % np.uint64(pieces)).astype(np.uint32)
+            order = np.argsort(piece, kind="stable")
+            line, names, piece = line[order], names[order], piece[order]
+            rows = np.empty((len(names), 4), dtype=np.uint64)
+            rows[:, 0] = names << np.uint64(WORD_BITS) | batch.column("words").to_numpy().astype(np.uint64)[line]
+            for i, c in enumerate(("key", "high", "low"), 1):
+                rows[:, i] = batch.column(c).to_numpy().view(np.uint64)[line]
+            starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(piece) else np.zeros(0, dtype=np.int64)
+            counts = np.diff(np.append(starts, len(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array(piece[starts].astype(np.int32)), binaries(rows.ravel().view(np.uint8), counts * 32)], names=["piece", "data"])
+
+    def per_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [b"".join(batch.column("data").to_pylist()) for batch in batches]
+        yield from meet(np.frombuffer(b"".join(data), dtype=np.uint64).reshape(-1, 4))
+
+    found = []
+    for name in NAMED:
+        share = once.select("key", "words", "high", "low", F.col(name).alias("blocks")).where(F.length("blocks") > 0)
+        found.append(stage(share.mapInArrow(per_task, "piece int, data binary").repartition("piece").mapInArrow(per_share, MET)))
+        release(spark)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def near() -> Column:
@@ -188,19 +326,33 @@ def as_other(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"o_{c}") for c in columns])
 
 
-def leader_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): in blocks of many nodes, the smallest node with every node near it."""
-    led = met.where((F.col("n") >= CROWD) & (F.col("key") != F.col("leader"))).select("key", "words", "high", "low", F.col("leader").alias("o_key")).distinct()
-    return led.join(as_other(nodes, "key", "words", "high", "low"), "o_key").where(near()).select(F.col("o_key").alias("a"), F.col("key").alias("b"))
+def smallest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs, each node's with the smallest other one below it."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def leader_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): in blocks of many nodes, the smallest node with every node near it; in others, each node's smallest near one."""
+    led, pairs = (met.where(F.col("kind") == kind).select("a", "b") for kind in (LED, PAIR))
+    return led.unionByName(smallest(pairs)).distinct()
+
+
+def ungrouped(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes have not the same ``root`` yet."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): nodes that are in one block and near each other, unless they have the same ``root`` already."""
-    placed = met.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    pairs = ungrouped(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), roots)
+    crowds = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), F.col("b").alias("block"), "words", "high", "low")
+    placed = crowds.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     other = as_other(placed, "key", "words", "high", "low", "root", "block")
     apart = (F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root"))
     found = placed.join(other, (F.col("block") == F.col("o_block")) & apart & near())
-    return found.select(F.col("key").alias("a"), F.col("o_key").alias("b")).distinct()
+    return pairs.unionByName(found.select(F.col("key").alias("a"), F.col("o_key").alias("b"))).distinct()
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -240,25 +392,32 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(per_batch, "a long, b long")
 
 
-def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar enough."""
-    pairs = stage(pairs)
-    release(docs.sparkSession)
-    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = nodes.join(named, "key").select("key", F.col("first.r").alias("row"), F.col("first.l").alias("line"))
+def met_texts(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """(key, words) of all nodes that meet another one."""
+    pairs = met.where(F.col("kind") == PAIR)
+    named = pairs.select(F.col("b").alias("key")).unionByName(met.where(F.col("kind") != LED).select(F.col("a").alias("key"))).distinct()
+    wanted = stage(nodes.join(named, "key").select("key", F.col("first.r").alias("row"), F.col("first.l").alias("line")))
     texts = stage(line_texts(docs, wanted))
     release(docs.sparkSession)
+    return texts
+
+
+def edges_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar enough."""
     left = texts.select(F.col("key").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("key").alias("b"), F.col("words").alias("right"))
-    return stage(verified(pairs.join(left, "a").join(right, "b")))
+    found = stage(verified(pairs.join(left, "a").join(right, "b")))
+    release(texts.sparkSession)
+    return found
 
 
 def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, row, line, kept_doc_id, kept_line): lines to drop, and the occurrence that stays instead.
 
-    In crowded blocks every node is first linked to the smallest one, so that a
-    large group of like lines costs a link a line; then all remaining pairs of
-    a block that aren't grouped yet are compared. The groups are those of all pairs.
+    In crowded blocks every node is first linked to the smallest one, in others to its smallest near one,
+    so that a large group of like lines costs a link a line; of the near pairs that aren't
+    grouped by then each node's smallest is compared, and at last all that are left. The
+    groups are those of all pairs.
     """
     lines = stage(line_table(docs, short))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("r"), F.col("line").alias("l"))
@@ -268,12 +427,14 @@ def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
         )
     )
     met = meetings(lines, nodes)
+    texts = met_texts(docs, nodes, met)
+    edges = edges_of(texts, leader_pairs(met))
+    rest = stage(candidates(met, components(edges).withColumnRenamed("node", "key")))
     release(docs.sparkSession)
-    led = edges_of(docs, nodes, leader_pairs(met, nodes))
-    grouped = components(led).withColumnRenamed("node", "key")
-    release(docs.sparkSession)
-    found = edges_of(docs, nodes, candidates(met, grouped))
-    roots = components(led.unionByName(found)).withColumnRenamed("node", "key")
+    edges = edges.unionByName(edges_of(texts, smallest(rest)))
+    rest = ungrouped(rest, components(edges).withColumnRenamed("node", "key"))
+    edges = edges.unionByName(edges_of(texts, rest))
+    roots = components(edges).withColumnRenamed("node", "key")
     release(docs.sparkSession)
     grouped = nodes.select("key", "n", "first").join(roots, "key", "left").where("n > 1 or root is not null")
     grouped = grouped.withColumn("root", F.coalesce("root", "key"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from gridcast.llm import licenses, lines
 from gridcast.llm.edits import bounded
@@ -88,3 +90,13 @@ def test_op10_reads_every_tag_of_a_line():
     phrases = licenses.automaton([*licenses.BASE, *licenses.NOTICES, licenses.TAG])
     _, _, _, _, _, labels, tags, permissive, _ = licenses.scan_text(tag + b"MIT */ a(); /* " + tag + b"GPL-2.0 OR BSD */ // " + tag + b"AGPL-3.0\nno", phrases)
     assert (labels, tags, permissive) == ("agpl-3.0,bsd,gpl-2.0,mit", 3, False)
+
+
+def test_op6_counts_every_document(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = np.zeros(1 << lines.SLOT_BITS, dtype=np.int64)
+    for word in " ".join(texts).encode().split():
+        counts[int(lines.hashes_of([word])[0]) >> (64 - lines.SLOT_BITS)] += 1
+    assert (lines.word_levels(docs) == np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)).all()
