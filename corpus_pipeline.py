@@ -28,8 +28,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays.
 
-    Near copies share shingles of five words at a similarity of 0.8 or more. Fingerprints
-    of 64 bits miss most of these pairs, so the sets themselves are compared.
+    Near copies have SimHash fingerprints that differ in four bits at most, or share shingles
+    of five words at a similarity of 0.8 or more. Fingerprints miss most of the latter pairs, so the
+    sets that they have not grouped are compared as well.
     """
     return shingles.keep_first(docs, words=5)
 

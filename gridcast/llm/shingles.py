@@ -9,6 +9,9 @@ far up the common hash stands in each: what comes before the first common hash i
 What is left is verified on the sets themselves. In crowded blocks every node is first
 linked to the smallest one. Nothing is capped.
 
+Before that, texts are linked whose SimHash fingerprints (as ``simhash`` makes and finds them) differ in
+few bits; sets that these links have grouped are not compared any more. Groups are those of both kinds of links.
+
 Edge cases: null text is an empty text; texts without words are one group; a null doc_id, repeated
 rows, an empty table and other columns are treated as by ``simhash.keep_first``.
 """
@@ -23,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridcast.llm import simhash
 from gridcast.llm.common import byte_texts, components, parts, row_hash, stage, thinned
 from gridcast.llm.simhash import SEED, keep_leaders
 
@@ -133,13 +137,31 @@ def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
     return stage(joined.mapInArrow(per_batch, "a long, b long"))
 
 
+def fingerprint_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): sets of texts whose fingerprints are in one group, each with the smallest one of its group."""
+    prints = stage(simhash.fingerprints(docs).select("doc_id", "row", "print"))
+    marks = prints.select("row", "print").distinct().join(simhash.grouped(prints).select("print", "root"), "print").select("row", "root")
+    placed = marks.join(found.select("row", "print").distinct(), "row").select("root", "print").distinct()
+    first = placed.groupBy("root").agg(F.min("print").alias("a"))
+    return stage(placed.join(first, "root").where("a != print").select("a", F.col("print").alias("b")))
+
+
+def ungrouped(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets have not the same ``root`` yet."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("print").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def labelled(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, row, print, component_id) for every row of ``docs``."""
     found = stage(sets(docs, words))
     nodes = stage(found.groupBy("print").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
     met = meetings(found)
-    led = edges_of(docs, nodes, leader_pairs(met), words)
-    edges = led.unionByName(edges_of(docs, nodes, candidates(met, components(led).withColumnRenamed("node", "print")), words))
+    edges = fingerprint_links(docs, found)
+    led = ungrouped(leader_pairs(met), components(edges).withColumnRenamed("node", "print"))
+    edges = edges.unionByName(edges_of(docs, nodes, led, words))
+    edges = edges.unionByName(edges_of(docs, nodes, candidates(met, components(edges).withColumnRenamed("node", "print")), words))
     roots = components(edges).withColumnRenamed("node", "print")
     rooted = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

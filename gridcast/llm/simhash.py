@@ -145,12 +145,17 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def grouped(found: DataFrame, bits: int = BITS) -> DataFrame:
+    """(print, first, root) of every fingerprint: its smallest doc_id and the smallest fingerprint it can reach."""
+    distinct = stage(found.groupBy("print").agg(F.min("doc_id").alias("first")))
+    roots = components(links(distinct, bits)).withColumnRenamed("node", "print")
+    return distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def labelled(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     """(doc_id, row, print, component_id) for every row of ``docs``."""
     found = stage(fingerprints(docs, words))
-    distinct = stage(found.groupBy("print").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, bits)).withColumnRenamed("node", "print")
-    rooted = distinct.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = grouped(found, bits)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("print", "component_id")
     return found.join(named, "print").select("doc_id", "row", "print", "component_id")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from gridcast.llm import licenses, lines
+from gridcast.llm import licenses, lines, simhash
 from gridcast.llm.edits import bounded
 
 
@@ -78,6 +78,15 @@ def test_pipeline_drops_every_near_copy_at_a_similarity_of_four_fifths(spark):
     assert sorted(kept) == [i for i in range(len(sets)) if top(i) == i]
 
 
+def test_pipeline_drops_what_simhash_links(spark):
+    rng = random.Random(8)
+    phrase = [f"p{i}" for i in range(7)] * 50
+    texts = [" ".join([*(phrase if i < 2 else []), *(f"w{rng.randrange(5000)}" for _ in range(12))]) for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [0, 2]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2]
+
+
 def test_pipeline_drops_exact_repeats_of_short_lines(spark):
     texts = ["Read more\n\n漢字漢字漢字漢字\none two three four", "read  MORE!\n\nread less", "漢字漢字漢字漢字\none two three for\none two three four", "---\n---"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
