@@ -231,6 +231,8 @@ def met_rows(kind: int, a: np.ndarray, b: np.ndarray, rows: np.ndarray | None =
 
 def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What all rows of some blocks give: near pairs of small blocks, near pairs of a crowd's smallest node, and crowds."""
+    if not len(rows):
+        return
     blocks = rows[:, 0] >> np.uint64(WORD_BITS)
     order = np.argsort(blocks)
     blocks = blocks[order]
