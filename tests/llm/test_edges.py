@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 import pytest
 
-from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, neighbours, simhash, toxicity
+from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, neighbours, shingles, simhash, toxicity
 
 DOCS = "doc_id long, text string, score double, _row string"
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
@@ -116,3 +116,10 @@ def test_embeddings(spark):
     alone = {i: (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10)}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), **alone}
     assert neighbours.near_duplicates(vectors.where("vec_id = 77")).count() == 0
+
+
+def test_shingles(docs, none):
+    kept = shingles.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in simhash.keep_first(docs).collect())
+    assert shingles.keep_first(none).count() == 0
