@@ -9,7 +9,8 @@ order their pairs alike, those of rare words first (by counts over all documents
 is right, this one meets few strangers). Of two lines that share so many pairs, the first few in that order
 (two a possible edit, and one) hold a common one: these are the line's blocks, and
 every similar pair meets in one of them. Those that meet are told apart by the parities of their
-words in 128 slots: an edit changes two at most. What is left is verified by word edit
+words in 128 slots: an edit changes two at most. Between lines of ``LONG`` words and more, which
+fill so few slots evenly, 512 slots decide as well. What is left is verified by word edit
 distance, links are reduced to connected groups, and of
 every group the first occurrence in the order of doc_id, row and line stays. Nothing is capped.
 
@@ -26,7 +27,6 @@ columns are kept by ``drop_lines``.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import byte_texts, components, parts, release, row_hash, stage, thinned, unused, words_of
+from gridcast.llm.common import WORD_BYTES, byte_texts, components, parts, release, row_hash, stage, thinned, unused, words_of
 from gridcast.llm.edits import bounded
 
 SIMILARITY = 0.8
@@ -53,7 +53,12 @@ LINE_BITS, PAIR_BITS = 13, 42
 #: Shares that blocks are dealt with in.
 ROUNDS = 4
 NAMED = [f"blocks_{r}" for r in range(ROUNDS)]
-LINES = ", ".join(["key long, words int, high long, low long", *[f"{c} binary" for c in NAMED], "doc_id long, row long, line int"])
+#: Words from which on a line has the wide sketch, and its columns.
+LONG = 96
+WIDE = [f"wide_{i}" for i in range(8)]
+LINES = ", ".join(["key long, words int, high long, low long", *[f"{c} binary" for c in NAMED], *[f"{c} long" for c in WIDE], "doc_id long, row long, line int"])
+#: ``WORD_BYTES`` that leaves line ends as they are, and as a table of words' bytes only.
+LINE_BYTES = WORD_BYTES[:10] + b"\n" + WORD_BYTES[11:]
 #: Kinds of rows that blocks give.
 PAIR, LED, CROWDED = 0, 1, 2
 MET = "kind int, a long, b long, words int, high long, low long"
@@ -61,6 +66,10 @@ MET = "kind int, a long, b long, words int, high long, low long"
 CROWD = 24
 #: Odd factors that mix hashes.
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The bytes of a number that a word of so many bytes fills.
+FILLED = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 64
 
 
 def edits_allowed(words):
@@ -68,8 +77,60 @@ def edits_allowed(words):
     return np.floor((1 - SIMILARITY) * np.asarray(words) + 1e-9).astype(np.int64)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    x = (x ^ (x >> np.uint64(29))) * STEP
+    return x ^ (x >> np.uint64(32))
+
+
+def hashes_at(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64 bits for each of the words that lie in ``data``, which ends with eight bytes of no word."""
+    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    found = mixed(eights[starts] & FILLED[np.minimum(lengths, 8)] ^ lengths.astype(np.uint64) * STEP)
+    longer = np.flatnonzero(lengths > 8)
+    for i in range(8, LONG_WORD, 8):
+        longer = longer[lengths[longer] > i]
+        if not len(longer):
+            return found
+        more = eights[starts[longer] + i] & FILLED[np.minimum(lengths[longer] - i, 8)]
+        found[longer] = mixed(found[longer] * MIX ^ more)
+    for i in longer[lengths[longer] > LONG_WORD]:
+        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return found
+
+
 def hashes_of(words: Sequence[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return hashes_at(b"".join(words) + bytes(8), np.cumsum(lengths) - lengths, lengths)
+
+
+def hashed_lines(texts: Sequence[bytes | None], least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of at least so many words: hashes of their words one after another, words a line, text and number of the line in it."""
+    data = b" " + b"\n".join([t or b"" for t in texts]).translate(LINE_BYTES) + b" " * 8
+    bytes_ = np.frombuffer(data, dtype=np.uint8)
+    inside = bytes_ > 32
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, lengths = turns[::2], turns[1::2] - turns[::2]
+    ends = np.append(np.searchsorted(starts, np.flatnonzero(bytes_ == 10)), len(starts))
+    sizes = np.diff(ends, prepend=0)
+    every = np.fromiter((t.count(b"\n") + 1 if t else 1 for t in texts), np.int64, len(texts))
+    text = np.repeat(np.arange(len(texts)), every)
+    number = np.arange(len(sizes)) - np.repeat(np.cumsum(every) - every, every)
+    kept = sizes >= max(least, 1)
+    if not kept.all():
+        of_kept = np.repeat(kept, sizes)
+        starts, lengths = starts[of_kept], lengths[of_kept]
+    at = np.flatnonzero(kept)
+    return hashes_at(data, starts, lengths), sizes[at], text[at], number[at]
+
+
+def digests(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits a line, from its words in their order."""
+    if not len(sizes):
+        return np.zeros(0, dtype=np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    place = (np.arange(len(hashes)) - np.repeat(firsts, sizes)).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed(hashes + place * MIX), firsts) + sizes.astype(np.uint64)).view(np.int64)
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
@@ -78,11 +139,8 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in parts(batches):
-            found: Counter[bytes] = Counter()
-            for text in byte_texts(batch, "text"):
-                found.update(words_of(text))
-            slots = (hashes_of(list(found)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            np.add.at(counts, slots, np.fromiter(found.values(), np.int64, len(found)))
+            hashes = hashed_lines(byte_texts(batch, "text"))[0]
+            counts += np.bincount((hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts))
         pieces = counts.reshape(-1, 1 << PIECE_BITS)
         used = np.flatnonzero(pieces.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=["piece", "counts"])
@@ -113,6 +171,19 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduceat(np.where(half == i, bit, np.uint64(0)), starts) for i in range(2)], axis=1).view(np.int64)
 
 
+def wide_sketches(hashes: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+    """The same in 512 bits (eight longs) for lines of ``LONG`` words and more, nulls for others."""
+    long = sizes >= LONG
+    hashes = hashes[np.repeat(long, sizes)]
+    found = np.zeros((len(WIDE), len(sizes)), dtype=np.uint64)
+    if len(hashes):
+        starts = np.cumsum(sizes[long]) - sizes[long]
+        bit, eighth = np.uint64(1) << (hashes & np.uint64(63)), hashes >> np.uint64(6) & np.uint64(7)
+        for i in range(len(WIDE)):
+            found[i, long] = np.bitwise_xor.reduceat(np.where(eighth == np.uint64(i), bit, np.uint64(0)), starts)
+    return [pa.array(x.view(np.int64), pa.int64(), mask=~long) for x in found]
+
+
 def blocks_of(hashes: np.ndarray, sizes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The blocks of all lines one after another, and how many each line has.
 
@@ -172,38 +243,23 @@ def line_table(docs: DataFrame, short: bool = False) -> DataFrame:
     levels = word_levels(docs)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in parts(batches, 256):
-            keys: list[int] = []
-            words: list[bytes] = []
-            sizes: list[int] = []
-            numbers: list[int] = []
-            counts: list[int] = []
-            for text in byte_texts(batch, "text"):
-                before = len(keys)
-                for number, line in enumerate(text.split(b"\n") if text else ()):
-                    found = words_of(line)
-                    if len(found) >= least:
-                        keys.append(digest(b" ".join(found)))
-                        words += found
-                        sizes.append(len(found))
-                        numbers.append(number)
-                counts.append(len(keys) - before)
-            rows = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
-            hashed, sized = hashes_of(words), np.array(sizes, dtype=np.int64)
+            hashed, sized, text, number = hashed_lines(byte_texts(batch, "text"), least)
+            rows = pa.array(text, pa.int64())
             bits = sketches(hashed, sized)
             blocks, taken = blocks_of(hashed, sized, levels)
             share, line = blocks % np.uint64(ROUNDS), np.repeat(np.arange(len(taken)), taken)
             shares = [binaries(packed(blocks[share == r]), np.bincount(line[share == r], minlength=len(taken)) * BLOCK_BYTES) for r in range(ROUNDS)]
             arrays = [
-                pa.array(np.array(keys, dtype=np.uint64).view(np.int64), pa.int64()),
+                pa.array(digests(hashed, sized), pa.int64()),
                 pa.array(sized, pa.int32()),
                 pa.array(np.ascontiguousarray(bits[:, 0]), pa.int64()),
                 pa.array(np.ascontiguousarray(bits[:, 1]), pa.int64()),
                 *shares,
+                *wide_sketches(hashed, sized),
                 batch.column("doc_id").take(rows),
                 batch.column("row").take(rows),
-                pa.array(numbers, pa.int32()),
+                pa.array(number, pa.int32()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in LINES.split(", ")])
 
@@ -238,7 +294,13 @@ def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     blocks = blocks[order]
     same = blocks[1:] == blocks[:-1]
     shared = np.append(False, same) | np.append(same, False)
-    rows, blocks = rows[order[shared]], blocks[shared]
+    rows = rows[order[shared]]
+    # A line that several tasks hold counts once.
+    rows = rows[np.lexsort((np.ascontiguousarray(rows[:, 1]).view(np.int64), rows[:, 0]))]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+    rows = rows[new]
+    blocks = rows[:, 0] >> np.uint64(WORD_BITS)
     if not len(rows):
         return
     starts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
@@ -272,24 +334,26 @@ def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield met_rows(CROWDED, keys, blocks[some].astype(np.int64), rows[some])
 
 
-def meetings(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, a, b, words, high, low): what nodes give that are in one block.
+def meetings(lines: DataFrame) -> DataFrame:
+    """(kind, a, b, words, high, low): what lines give that are in one block.
 
     ``PAIR``: a and b are near and in a block of few nodes; ``LED``: a is the smallest node of a crowded
-    block and b is near it; ``CROWDED``: node a is in the crowded block b. Lines that repeat are brought
-    together first, so that a block counts distinct lines and a line that occurs once is not shuffled for it.
+    block and b is near it; ``CROWDED``: node a is in the crowded block b. A task sends a line that
+    it holds several times once, and what several tasks send counts once, so that a block counts distinct
+    lines and a hot line is at most as many rows as there are tasks.
     Blocks are dealt with in ``ROUNDS`` shares by their names, so that only a share of them is on
     disk at a time; they travel as packed numbers with the sketches, many to a row.
     """
     spark = lines.sparkSession
-    repeated = nodes.where("n > 1").select("key")
-    columns = ["key", "words", "high", "low", *NAMED]
-    many = stage(thinned(lines.select(*columns), repeated, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in columns[1:]]))
-    once = thinned(lines.select(*columns), repeated, "key", held=False).unionByName(many)
     pieces = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            keys, at = np.unique(batch.column("key").to_numpy(), return_index=True)
+            at = at[np.fromiter((k not in seen for k in keys.tolist()), bool, len(keys))]
+            seen.update(keys.tolist())
+            batch = batch.take(pa.array(np.sort(at)))
             counts = pc.binary_length(batch.column("blocks")).to_numpy() // BLOCK_BYTES
             names = unpacked(b"".join(batch.column("blocks").to_pylist()))
             line = np.repeat(np.arange(len(counts)), counts)
@@ -310,51 +374,96 @@ def meetings(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
     found = []
     for name in NAMED:
-        share = once.select("key", "words", "high", "low", F.col(name).alias("blocks")).where(F.length("blocks") > 0)
+        share = lines.select("key", "words", "high", "low", F.col(name).alias("blocks")).where(F.length("blocks") > 0)
         found.append(stage(share.mapInArrow(per_task, "piece int, data binary").repartition("piece").mapInArrow(per_share, MET)))
         release(spark)
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def near() -> Column:
-    """Whether the words of the node and the other one (o_) let them be similar: a replaced word changes two parities, one more word one."""
-    apart = F.bit_count(F.col("high").bitwiseXOR(F.col("o_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("o_low")))
-    longer = F.abs(F.col("words") - F.col("o_words"))
-    most = F.floor(F.greatest("words", "o_words") * (1 - SIMILARITY) + 1e-9)
-    return (longer <= most) & (apart <= 2 * most - longer)
-
-
 def as_other(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"o_{c}") for c in columns])
 
 
-def smallest(pairs: DataFrame) -> DataFrame:
-    """(a, b): of the pairs, each node's with the smallest other one below it."""
-    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+def wide_table(lines: DataFrame) -> DataFrame:
+    """(key, words and the wide sketch) of every line that has it."""
+    long = lines.where(F.col("words") >= LONG).select("key", "words", *WIDE)
+    return long.groupBy("key").agg(*[F.first(c).alias(c) for c in ("words", *WIDE)])
+
+
+def wide_apart(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """The pairs (kind, a, b) that wide sketches, where both have one, let be similar."""
+    both = pairs.join(wide.withColumnRenamed("key", "a"), "a", "left")
+    other = as_other(wide, "key", "words", *WIDE).withColumnRenamed("o_key", "b")
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in WIDE])
+    most = F.floor(F.greatest("words", "o_words") * (1 - SIMILARITY) + 1e-9)
+    close = apart <= 2 * most - F.abs(F.col("words") - F.col("o_words"))
+    return both.join(other, "b", "left").where(F.coalesce(close, F.lit(True))).select(*pairs.columns)
 
 
-def leader_pairs(met: DataFrame) -> DataFrame:
+def leader_pairs(near_ones: DataFrame) -> DataFrame:
     """(a, b): in blocks of many nodes, the smallest node with every node near it; in others, each node's smallest near one."""
-    led, pairs = (met.where(F.col("kind") == kind).select("a", "b") for kind in (LED, PAIR))
-    return led.unionByName(smallest(pairs)).distinct()
+    led, pairs = (near_ones.where(F.col("kind") == kind).select("a", "b") for kind in (LED, PAIR))
+    return led.unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
 
 
-def ungrouped(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes have not the same ``root`` yet."""
+def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs with the ``root`` of either node; a node without one is its own."""
     for side in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    return pairs.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
+
+
+def joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(key, root) after the edges ``more`` between nodes of different roots; only the roots are linked anew."""
+    tops = components(rooted(more, roots), "a_root", "b_root").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(tops, "root", "full").select(F.coalesce("key", "root").alias("key"), F.coalesce("top", "root").alias("root"))
 
 
-def candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
+def candidates(met: DataFrame, near_ones: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): nodes that are in one block and near each other, unless they have the same ``root`` already."""
-    pairs = ungrouped(met.where(F.col("kind") == PAIR).select("a", "b").distinct(), roots)
+    pairs = rooted(near_ones.where(F.col("kind") == PAIR).select("a", "b"), roots).where("a_root != b_root").select("a", "b")
     crowds = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), F.col("b").alias("block"), "words", "high", "low")
-    placed = crowds.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    other = as_other(placed, "key", "words", "high", "low", "root", "block")
-    apart = (F.col("key") < F.col("o_key")) & (F.col("root") != F.col("o_root"))
-    found = placed.join(other, (F.col("block") == F.col("o_block")) & apart & near())
-    return pairs.unionByName(found.select(F.col("key").alias("a"), F.col("o_key").alias("b"))).distinct()
+    known = wide.drop("words").join(roots, "key", "full")
+    placed = crowds.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    found = placed.repartition("block").mapInArrow(crowd_pairs, "a long, b long")
+    return pairs.unionByName(found).distinct()
+
+
+def crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): near nodes of a crowded block whose roots differ; all rows of a block come together.
+
+    Nodes of a block are in the order of their words, so that each meets only those that may be as long.
+    """
+    held = list(batches)
+    if not sum(batch.num_rows for batch in held):
+        return
+    rows = pa.Table.from_batches(held)
+    rows = rows.take(pa.array(np.lexsort((rows.column("words").to_numpy(), rows.column("block").to_numpy()))))
+    block, key, words, root = (rows.column(c).to_numpy().astype(np.int64) for c in ("block", "key", "words", "root"))
+    # Unsigned, as bits of a signed number are counted in its absolute value.
+    high, low = (rows.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
+    wide = np.stack([rows.column(c).fill_null(0).to_numpy().view(np.uint64) for c in WIDE], axis=1)
+    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    for start, end in zip(starts, np.append(starts[1:], len(block))):
+        if (root[start:end] == root[start]).all():
+            continue
+        step = max(1, (1 << 18) // (end - start))
+        for i in range(start, end, step):
+            last = min(i + step, end)
+            # The longest line that may be similar to the last one here.
+            until = start + np.searchsorted(words[start:end], int(words[last - 1] / SIMILARITY + 1e-9) + 1, "right")
+            a, b = np.arange(i, last)[:, None], np.arange(i, until)[None, :]
+            most = edits_allowed(words[i:until])[None, :]
+            longer = words[b] - words[a]
+            apart = np.bitwise_count(high[a] ^ high[b]).astype(np.int64) + np.bitwise_count(low[a] ^ low[b])
+            left, right = np.nonzero((a < b) & (longer <= most) & (apart <= 2 * most - longer) & (root[a] != root[b]))
+            left, right = left + i, right + i
+            # Of two lines of which one is too short for the wide sketch, the other sketch decides alone.
+            apart = np.bitwise_count(wide[left] ^ wide[right]).sum(axis=1, dtype=np.int64)
+            close = (words[left] < LONG) | (apart <= 2 * edits_allowed(words[right]) - (words[right] - words[left]))
+            a, b = key[left[close]], key[right[close]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -394,18 +503,18 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(per_batch, "a long, b long")
 
 
-def met_texts(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """(key, words) of all nodes that meet another one."""
-    pairs = met.where(F.col("kind") == PAIR)
-    named = pairs.select(F.col("b").alias("key")).unionByName(met.where(F.col("kind") != LED).select(F.col("a").alias("key"))).distinct()
-    wanted = stage(nodes.join(named, "key").select("key", F.col("first.r").alias("row"), F.col("first.l").alias("line")))
+def met_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, words) of all nodes of the pairs."""
+    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = stage(thinned(nodes, named, "key").join(named, "key").select("key", F.col("first.r").alias("row"), F.col("first.l").alias("line")))
     texts = stage(line_texts(docs, wanted))
     release(docs.sparkSession)
     return texts
 
 
-def edges_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts are similar enough."""
+    texts = met_texts(docs, nodes, pairs)
     left = texts.select(F.col("key").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("key").alias("b"), F.col("words").alias("right"))
     found = stage(verified(pairs.join(left, "a").join(right, "b")))
@@ -417,33 +526,26 @@ def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, row, line, kept_doc_id, kept_line): lines to drop, and the occurrence that stays instead.
 
     In crowded blocks every node is first linked to the smallest one, in others to its smallest near one,
-    so that a large group of like lines costs a link a line; of the near pairs that aren't
-    grouped by then each node's smallest is compared, and at last all that are left. The
-    groups are those of all pairs.
+    so that a large group of like lines costs a link a line; of the near pairs all that aren't
+    grouped by then are compared. The groups are those of all pairs.
     """
     lines = stage(line_table(docs, short))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("r"), F.col("line").alias("l"))
-    nodes = stage(
-        lines.groupBy("key").agg(
-            F.count("*").alias("n"), F.max("words").alias("words"), F.max("high").alias("high"), F.max("low").alias("low"), F.min(place).alias("first")
-        )
-    )
-    met = meetings(lines, nodes)
-    texts = met_texts(docs, nodes, met)
-    edges = edges_of(texts, leader_pairs(met))
-    rest = stage(candidates(met, components(edges).withColumnRenamed("node", "key")))
+    nodes = stage(lines.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    met, wide = meetings(lines), stage(wide_table(lines))
+    near_ones = stage(wide_apart(met.where(F.col("kind") != CROWDED).select("kind", "a", "b").distinct(), wide))
+    release(docs.sparkSession)
+    roots = components(edges_of(docs, nodes, leader_pairs(near_ones))).withColumnRenamed("node", "key")
+    rest = stage(candidates(met, near_ones, wide, roots))
     release(docs.sparkSession)
-    edges = edges.unionByName(edges_of(texts, smallest(rest)))
-    rest = ungrouped(rest, components(edges).withColumnRenamed("node", "key"))
-    edges = edges.unionByName(edges_of(texts, rest))
-    roots = components(edges).withColumnRenamed("node", "key")
+    roots = joined_roots(roots, edges_of(docs, nodes, rest))
     release(docs.sparkSession)
     grouped = nodes.select("key", "n", "first").join(roots, "key", "left").where("n > 1 or root is not null")
     grouped = grouped.withColumn("root", F.coalesce("root", "key"))
     kept = grouped.groupBy("root").agg(F.min("first").alias("kept"))
-    decided = grouped.join(kept, "root").select("key", "kept")
+    decided = stage(grouped.join(kept, "root").select("key", "kept"))
     return (
-        lines.select("key", "doc_id", "row", "line")
+        thinned(lines.select("key", "doc_id", "row", "line"), decided, "key")
         .join(decided, "key")
         .where((F.col("row") != F.col("kept.r")) | (F.col("line") != F.col("kept.l")))
         .select("doc_id", "row", "line", F.col("kept.id").alias("kept_doc_id"), F.col("kept.l").alias("kept_line"))
@@ -458,10 +560,14 @@ def drop_lines(docs: DataFrame, counted: bool = False, short: bool = False) -> D
     With ``short`` exact repeats of lines under ``LEAST_WORDS`` words go as well.
     """
     row, gone_lines = unused(docs, "_row"), unused(docs, "_drops")
-    drops = dropped_lines(docs, short).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_lines))
+    drops = stage(dropped_lines(docs, short).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_lines)))
+    release(docs.sparkSession)
     columns = docs.columns
     totals_named = [unused(docs, "n_lines"), unused(docs, "n_dropped")]
-    joined = docs.withColumn(row, row_hash()).join(drops.hint("shuffle_hash"), row, "left").select(*[F.col(f"`{c}`") for c in columns], gone_lines)
+    named, asked = docs.withColumn(row, row_hash()), drops.select(row)
+    # Only documents that lose lines travel to them.
+    joined = thinned(named, asked, row).join(drops.hint("shuffle_hash"), row, "left").unionByName(thinned(named, asked, row, held=False), allowMissingColumns=True)
+    joined = joined.select(*[F.col(f"`{c}`") for c in columns], gone_lines)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

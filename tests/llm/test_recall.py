@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from gridcast.llm import licenses, lines, simhash
@@ -109,3 +110,46 @@ def test_op6_counts_every_document(spark):
     for word in " ".join(texts).encode().split():
         counts[int(lines.hashes_of([word])[0]) >> (64 - lines.SLOT_BITS)] += 1
     assert (lines.word_levels(docs) == np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)).all()
+
+
+def test_op6_tells_long_strangers_of_a_crowd_apart_without_their_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    rare = ["rare", "couple"]
+    every = [[f"w{rng.randrange(3000)}" for _ in range(180)] + rare for _ in range(60)]
+    every += [edited(rng, every[0], 30), edited(rng, every[1], 10)]
+    compared = []
+
+    def counted(pairs, real=lines.verified):
+        compared.append(pairs.count())
+        return real(pairs)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(every)], "doc_id long, text string")
+    found = {r["doc_id"]: r["kept_doc_id"] for r in lines.dropped_lines(docs).collect()}
+    assert found == {60: 0, 61: 1}
+    assert sum(compared) <= 10
+
+
+def test_op6_compares_all_near_nodes_of_a_crowd_whose_roots_differ():
+    rng = random.Random(12)
+    every = []
+    for size in (8, 30, 95, 96, 120, 240):
+        base = [f"w{rng.randrange(900)}" for _ in range(size)]
+        every += [base, *(edited(rng, base, rng.randrange(size // 4 + 1)) for _ in range(20))]
+    words = [w.encode() for line in every for w in line]
+    sizes = np.array([len(x) for x in every])
+    hashed = lines.hashes_of(words)
+    keys, bits, wide = lines.digests(hashed, sizes), lines.sketches(hashed, sizes), lines.wide_sketches(hashed, sizes)
+    roots = np.where(np.arange(len(every)) % 3 == 0, keys[0], keys)
+    columns = {"key": keys, "block": np.arange(len(every)) % 2, "words": sizes, "high": bits[:, 0], "low": bits[:, 1], "root": roots}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), *wide], names=[*columns, *lines.WIDE])
+    found = {p for b in lines.crowd_pairs(iter([batch.slice(0, 50), batch.slice(50)])) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    expected = set()
+    for i in range(len(every)):
+        for j in range(i):
+            most = int(lines.edits_allowed(max(sizes[i], sizes[j])))
+            if i % 2 == j % 2 and roots[i] != roots[j] and bounded(every[i], every[j], most) is not None:
+                expected.add((min(keys[i], keys[j]), max(keys[i], keys[j])))
+    assert expected and expected <= found
+    base = {k: i // 21 for i, k in enumerate(keys.tolist())}
+    assert all(base[a] == base[b] for a, b in found)
