@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import WORD_BYTES, byte_texts, components, parts, release, row_hash, stage, thinned, unused, words_of
+from gridcast.llm.common import WORD_BYTES, byte_texts, components, group_bounds, parts, release, row_hash, stage, thinned, unused, words_of
 from gridcast.llm.edits import bounded
 
 SIMILARITY = 0.8
@@ -419,51 +419,85 @@ def joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
     return roots.join(tops, "root", "full").select(F.coalesce("key", "root").alias("key"), F.coalesce("top", "root").alias("root"))
 
 
-def candidates(met: DataFrame, near_ones: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): nodes that are in one block and near each other, unless they have the same ``root`` already."""
-    pairs = rooted(near_ones.where(F.col("kind") == PAIR).select("a", "b"), roots).where("a_root != b_root").select("a", "b")
+def crowded_nodes(met: DataFrame, wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """The nodes of crowded blocks that are near one of the same block with another ``root``, with all that tells so."""
     crowds = met.where(F.col("kind") == CROWDED).select(F.col("a").alias("key"), F.col("b").alias("block"), "words", "high", "low")
     known = wide.drop("words").join(roots, "key", "full")
-    placed = crowds.join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    found = placed.repartition("block").mapInArrow(crowd_pairs, "a long, b long")
-    return pairs.unionByName(found).distinct()
+    placed = crowds.join(known, "key", "left").select("block", "key", "words", "high", "low", F.coalesce("root", "key").alias("root"), *WIDE)
+
+    def per_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, found in crowd_pairs(batches):
+            yield from block.take(pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *(x for pair in found for x in pair)])))).to_batches()
+
+    return placed.repartition("block").mapInArrow(per_share, placed.schema)
 
 
-def crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): near nodes of a crowded block whose roots differ; all rows of a block come together.
+def crowd_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Of every crowded block its rows, their roots and the places of near ones whose roots differ; all rows of a block come together.
 
     Nodes of a block are in the order of their words, so that each meets only those that may be as long.
     """
     held = list(batches)
     if not sum(batch.num_rows for batch in held):
         return
-    rows = pa.Table.from_batches(held)
-    rows = rows.take(pa.array(np.lexsort((rows.column("words").to_numpy(), rows.column("block").to_numpy()))))
-    block, key, words, root = (rows.column(c).to_numpy().astype(np.int64) for c in ("block", "key", "words", "root"))
+    table = pa.Table.from_batches(held)
+    table = table.take(pa.array(np.lexsort((table.column("words").to_numpy(), table.column("block").to_numpy()))))
+    bounds = group_bounds(table, ["block"])
+    every_root = table.column("root").to_numpy()
+    for start, end in zip(bounds[:-1], bounds[1:]):
+        root = every_root[start:end]
+        if (root != root[0]).any():
+            rows = table.slice(start, end - start)
+            yield rows, root, near_places(rows, root)
+
+
+def near_places(rows: pa.Table, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the near rows of a block whose roots differ, a part at a time."""
+    words = rows.column("words").to_numpy().astype(np.int64)
     # Unsigned, as bits of a signed number are counted in its absolute value.
     high, low = (rows.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
     wide = np.stack([rows.column(c).fill_null(0).to_numpy().view(np.uint64) for c in WIDE], axis=1)
-    starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    for start, end in zip(starts, np.append(starts[1:], len(block))):
-        if (root[start:end] == root[start]).all():
-            continue
-        step = max(1, (1 << 18) // (end - start))
-        for i in range(start, end, step):
-            last = min(i + step, end)
-            # The longest line that may be similar to the last one here.
-            until = start + np.searchsorted(words[start:end], int(words[last - 1] / SIMILARITY + 1e-9) + 1, "right")
-            a, b = np.arange(i, last)[:, None], np.arange(i, until)[None, :]
-            most = edits_allowed(words[i:until])[None, :]
-            longer = words[b] - words[a]
-            apart = np.bitwise_count(high[a] ^ high[b]).astype(np.int64) + np.bitwise_count(low[a] ^ low[b])
-            left, right = np.nonzero((a < b) & (longer <= most) & (apart <= 2 * most - longer) & (root[a] != root[b]))
-            left, right = left + i, right + i
-            # Of two lines of which one is too short for the wide sketch, the other sketch decides alone.
-            apart = np.bitwise_count(wide[left] ^ wide[right]).sum(axis=1, dtype=np.int64)
-            close = (words[left] < LONG) | (apart <= 2 * edits_allowed(words[right]) - (words[right] - words[left]))
-            a, b = key[left[close]], key[right[close]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    step = max(1, (1 << 18) // len(words))
+    for i in range(0, len(words), step):
+        last = min(i + step, len(words))
+        # The longest line that may be similar to the last one here.
+        until = int(np.searchsorted(words, int(words[last - 1] / SIMILARITY + 1e-9) + 1, "right"))
+        a, b = np.arange(i, last)[:, None], np.arange(i, until)[None, :]
+        most = edits_allowed(words[i:until])[None, :]
+        longer = words[b] - words[a]
+        apart = np.bitwise_count(high[a] ^ high[b]).astype(np.int64) + np.bitwise_count(low[a] ^ low[b])
+        left, right = np.nonzero((a < b) & (longer <= most) & (apart <= 2 * most - longer) & (root[a] != root[b]))
+        left, right = left + i, right + i
+        # Of two lines of which one is too short for the wide sketch, the other sketch decides alone.
+        apart = np.bitwise_count(wide[left] ^ wide[right]).sum(axis=1, dtype=np.int64)
+        close = (words[left] < LONG) | (apart <= 2 * edits_allowed(words[right]) - (words[right] - words[left]))
+        yield left[close], right[close]
+
+
+def crowd_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): similar nodes that link all those of a crowded block that are similar; rows hold their ``text`` and all their ``blocks``.
+
+    A pair is compared in the first of its blocks alone, and not if it is linked there by then, so a block gives fewer edges than it has rows.
+    """
+    for rows, root, found in crowd_pairs(batches):
+        keys, texts, block = rows.column("key").to_pylist(), rows.column("text").to_pylist(), rows.column("block")[0].as_py()
+        blocks = list(map(set, rows.column("blocks").to_pylist()))
+        top: dict[int, int] = {}
+
+        def of(node: int) -> int:
+            while node in top:
+                node = top[node]
+            return node
+
+        edges = []
+        for left, right in found:
+            for i, j in zip(left.tolist(), right.tolist()):
+                one, other = of(int(root[i])), of(int(root[j]))
+                if one != other and min(blocks[i] & blocks[j]) == block and similar(texts[i], texts[j]):
+                    top[max(one, other)] = min(one, other)
+                    edges.append((keys[i], keys[j]))
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["a", "b"])
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -486,35 +520,40 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.mapInArrow(per_batch, "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
 
 
+def similar(left: bytes, right: bytes) -> bool:
+    a, b = left.split(b" "), right.split(b" ")
+    most = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    # Every word that only one side has costs an edit.
+    have, other = set(a), set(b)
+    return max(len(have - other), len(other - have)) <= most and bounded(a, b, most) is not None
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, left, right) whose words are similar enough."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                a, b = left.split(b" "), right.split(b" ")
-                most = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
-                # Every word that only one side has costs an edit.
-                have, other = set(a), set(b)
-                keep.append(max(len(have - other), len(other - have)) <= most and bounded(a, b, most) is not None)
+            keep = list(map(similar, batch.column("left").to_pylist(), batch.column("right").to_pylist()))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "left", "right").mapInArrow(per_batch, "a long, b long")
 
 
-def met_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, words) of all nodes of the pairs."""
-    named = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+def met_texts(docs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, words) of the nodes ``named`` (key)."""
+    named = named.distinct()
     wanted = stage(thinned(nodes, named, "key").join(named, "key").select("key", F.col("first.r").alias("row"), F.col("first.l").alias("line")))
     texts = stage(line_texts(docs, wanted))
     release(docs.sparkSession)
     return texts
 
 
-def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+
+
+def edges_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts are similar enough."""
-    texts = met_texts(docs, nodes, pairs)
     left = texts.select(F.col("key").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("key").alias("b"), F.col("words").alias("right"))
     found = stage(verified(pairs.join(left, "a").join(right, "b")))
@@ -527,7 +566,8 @@ def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
 
     In crowded blocks every node is first linked to the smallest one, in others to its smallest near one,
     so that a large group of like lines costs a link a line; of the near pairs all that aren't
-    grouped by then are compared. The groups are those of all pairs.
+    grouped by then are compared, those of a crowded block one after another as long as they aren't linked.
+    The groups are those of all pairs.
     """
     lines = stage(line_table(docs, short))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col("row").alias("r"), F.col("line").alias("l"))
@@ -535,10 +575,18 @@ def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     met, wide = meetings(lines), stage(wide_table(lines))
     near_ones = stage(wide_apart(met.where(F.col("kind") != CROWDED).select("kind", "a", "b").distinct(), wide))
     release(docs.sparkSession)
-    roots = components(edges_of(docs, nodes, leader_pairs(near_ones))).withColumnRenamed("node", "key")
-    rest = stage(candidates(met, near_ones, wide, roots))
+    leaders = leader_pairs(near_ones)
+    roots = components(edges_of(met_texts(docs, nodes, nodes_of(leaders)), leaders)).withColumnRenamed("node", "key")
+    pairs = rooted(near_ones.where(F.col("kind") == PAIR).select("a", "b"), roots)
+    pairs = stage(pairs.where("a_root != b_root").select("a", "b").distinct())
+    crowded = stage(crowded_nodes(met, wide, roots))
     release(docs.sparkSession)
-    roots = joined_roots(roots, edges_of(docs, nodes, rest))
+    texts = met_texts(docs, nodes, nodes_of(pairs).unionByName(crowded.select("key")))
+    rest = ["words", "high", "low", "root", *WIDE]
+    crowded = crowded.groupBy("key").agg(F.collect_list("block").alias("blocks"), *[F.first(c).alias(c) for c in rest])
+    crowded = crowded.join(texts.select("key", F.col("words").alias("text")), "key").withColumn("block", F.explode("blocks"))
+    linked = stage(crowded.repartition("block").mapInArrow(crowd_edges, "a long, b long"))
+    roots = joined_roots(roots, edges_of(texts, pairs).unionByName(linked))
     release(docs.sparkSession)
     grouped = nodes.select("key", "n", "first").join(roots, "key", "left").where("n > 1 or root is not null")
     grouped = grouped.withColumn("root", F.coalesce("root", "key"))

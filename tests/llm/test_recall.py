@@ -132,18 +132,24 @@ def test_op6_tells_long_strangers_of_a_crowd_apart_without_their_texts(spark, mo
 
 def test_op6_compares_all_near_nodes_of_a_crowd_whose_roots_differ():
     rng = random.Random(12)
-    every = []
+    bases = {}
     for size in (8, 30, 95, 96, 120, 240):
         base = [f"w{rng.randrange(900)}" for _ in range(size)]
-        every += [base, *(edited(rng, base, rng.randrange(size // 4 + 1)) for _ in range(20))]
+        bases.update(dict.fromkeys([tuple(base), *(tuple(edited(rng, base, rng.randrange(size // 4 + 1))) for _ in range(20))], size))
+    every = list(bases)
     words = [w.encode() for line in every for w in line]
     sizes = np.array([len(x) for x in every])
     hashed = lines.hashes_of(words)
     keys, bits, wide = lines.digests(hashed, sizes), lines.sketches(hashed, sizes), lines.wide_sketches(hashed, sizes)
     roots = np.where(np.arange(len(every)) % 3 == 0, keys[0], keys)
-    columns = {"key": keys, "block": np.arange(len(every)) % 2, "words": sizes, "high": bits[:, 0], "low": bits[:, 1], "root": roots}
+    texts = [" ".join(x).encode() for x in every]
+    columns = {"key": keys, "text": texts, "block": np.arange(len(every)) % 2, "blocks": [[i % 2] for i in range(len(every))], "words": sizes, "high": bits[:, 0], "low": bits[:, 1], "root": roots}
     batch = pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), *wide], names=[*columns, *lines.WIDE])
-    found = {p for b in lines.crowd_pairs(iter([batch.slice(0, 50), batch.slice(50)])) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+    parts = [batch.slice(0, 50), batch.slice(50)]
+    found, edges = set(), [p for b in lines.crowd_edges(iter(parts)) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    for rows, _, places in lines.crowd_pairs(iter(parts)):
+        key = rows.column("key").to_numpy()
+        found |= {(min(key[i], key[j]), max(key[i], key[j])) for left, right in places for i, j in zip(left, right)}
     expected = set()
     for i in range(len(every)):
         for j in range(i):
@@ -151,5 +157,17 @@ def test_op6_compares_all_near_nodes_of_a_crowd_whose_roots_differ():
             if i % 2 == j % 2 and roots[i] != roots[j] and bounded(every[i], every[j], most) is not None:
                 expected.add((min(keys[i], keys[j]), max(keys[i], keys[j])))
     assert expected and expected <= found
-    base = {k: i // 21 for i, k in enumerate(keys.tolist())}
+    base = dict(zip(keys.tolist(), bases.values()))
     assert all(base[a] == base[b] for a, b in found)
+    # Edges link what all similar pairs link, and are fewer than rows.
+    known = {frozenset(p) for p in expected}
+    assert all(frozenset(p) in known for p in edges) and len(edges) < len(every)
+
+    def groups(pairs):
+        top = dict(zip(keys.tolist(), roots.tolist()))
+        for a, b in pairs:
+            low, high = sorted((top[a], top[b]))
+            top = {k: low if r == high else r for k, r in top.items()}
+        return top
+
+    assert groups(edges) == groups(expected)
