@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
 from collections.abc import Iterable, Iterator
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.session import cut_lineage
+from gridcast.session import cut_lineage, shared_dir
 
 #: Lower-cases A-Z and turns every other ASCII byte that is no digit and no letter into a space.
 WORD_BYTES = bytes(
@@ -24,9 +26,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, so that a lost executor costs no recomputation."""
-    return cut_lineage(df)
+#: Folders that were staged inside the innermost ``scratch``.
+_staged: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_staged", default=None)
+
+
+def stage(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    Inside ``scratch`` the folder goes at its end, unless ``lasting``.
+    """
+    path, folders = shared_dir(df.sparkSession, "stage"), _staged.get()
+    if folders is not None and not lasting:
+        folders.append(path)
+    return cut_lineage(df, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was staged in it; what it computes has to be staged as ``lasting`` before."""
+    folders: list[str] = []
+    token = _staged.set(folders)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.common import WORD_BYTES, byte_texts, components, group_bounds, parts, release, row_hash, stage, thinned, unused, words_of
+from gridcast.llm.common import WORD_BYTES, byte_texts, components, group_bounds, parts, release, row_hash, scratch, stage, thinned, unused, words_of
 from gridcast.llm.edits import bounded
 
 SIMILARITY = 0.8
@@ -608,8 +608,8 @@ def drop_lines(docs: DataFrame, counted: bool = False, short: bool = False) -> D
     With ``short`` exact repeats of lines under ``LEAST_WORDS`` words go as well.
     """
     row, gone_lines = unused(docs, "_row"), unused(docs, "_drops")
-    drops = stage(dropped_lines(docs, short).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_lines)))
-    release(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        drops = stage(dropped_lines(docs, short).groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_lines)), lasting=True)
     columns = docs.columns
     totals_named = [unused(docs, "n_lines"), unused(docs, "n_dropped")]
     named, asked = docs.withColumn(row, row_hash()), drops.select(row)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.llm import simhash
-from gridcast.llm.common import byte_texts, components, parts, row_hash, stage, thinned
+from gridcast.llm.common import byte_texts, components, parts, release, row_hash, scratch, stage, thinned
 from gridcast.llm.simhash import SEED, keep_leaders
 
 SIMILARITY = 0.8
@@ -86,6 +86,7 @@ def meetings(found: DataFrame) -> DataFrame:
     placed = found.select("print", "size", F.posexplode("blocks").alias("place", "block"))
     shared = stage(placed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
     held = stage(thinned(placed, shared, "block").distinct())
+    release(found.sparkSession)
     crowds = held.groupBy("block").agg(F.count("*").alias("n"), F.min("print").alias("leader")).where("n > 1")
     return stage(held.join(crowds, "block"))
 
@@ -126,6 +127,7 @@ def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = stage(pairs)
+    release(docs.sparkSession)
     named = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
     wanted = stage(nodes.join(named, "print").select("print", "row"))
     read = docs.select(F.col("text").cast("string").alias("text"), row_hash().alias("row"))
@@ -171,4 +173,6 @@ def labelled(docs: DataFrame, words: int) -> DataFrame:
 
 def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that lead their component, as ``simhash.keep_first`` chooses them; all columns kept."""
-    return keep_leaders(docs, labelled(docs, words))
+    with scratch(docs.sparkSession):
+        found = stage(labelled(docs, words), lasting=True)
+    return keep_leaders(docs, found)

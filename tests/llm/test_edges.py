@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 import pytest
 
-from gridcast.llm import bpe, chat, chunks, contamination, extraction, licenses, lines, neighbours, shingles, simhash, toxicity
+from gridcast.llm import bpe, chat, chunks, common, contamination, extraction, licenses, lines, neighbours, shingles, simhash, toxicity
 
 DOCS = "doc_id long, text string, score double, _row string"
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
@@ -123,3 +125,10 @@ def test_shingles(docs, none):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in simhash.keep_first(docs).collect())
     assert shingles.keep_first(none).count() == 0
+
+
+def test_line_dedup_leaves_only_the_lines_to_drop_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _, purpose: f"{tmp_path}/{purpose}-{uuid.uuid4().hex}")
+    docs = spark.createDataFrame([(i, f"one two three four five six\nseven {i}") for i in range(4)], "doc_id long, text string")
+    assert sorted(lines.drop_lines(docs).collect())[3] == (3, "seven 3")
+    assert len(list(tmp_path.iterdir())) == 1
