@@ -139,8 +139,9 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "print", "home"])
 
     placed = prints.select("print").mapInArrow(per_batch, "anchor long, print long, home boolean")
-    homes = placed.where("home").select("anchor", F.col("print").alias("a"))
-    others = placed.select("anchor", F.col("print").alias("b"))
+    # Anchors look as small to Spark as the fingerprints they came from (some 90 rows each); the hint keeps them from being broadcast.
+    homes = placed.where("home").select("anchor", F.col("print").alias("a")).hint("merge")
+    others = placed.select("anchor", F.col("print").alias("b")).hint("merge")
     met = homes.join(others, "anchor").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).where("a < b")
     return met.select("a", "b").distinct()
 

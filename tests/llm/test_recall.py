@@ -171,3 +171,8 @@ def test_op6_compares_all_near_nodes_of_a_crowd_whose_roots_differ():
         return top
 
     assert groups(edges) == groups(expected)
+
+
+def test_op5_never_broadcasts_generated_anchors(spark):
+    prints = spark.createDataFrame([(i * 7919,) for i in range(50)], "print long")
+    assert "BroadcastHashJoin" not in simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
