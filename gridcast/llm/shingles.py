@@ -6,7 +6,10 @@ Similar sets share at least ``SIMILARITY`` of the larger one, so of two of them
 fifth of the hashes (and one) hold a common one: these are the set's blocks, and every
 similar pair meets in one. Those that meet are told apart by their sizes and by how
 far up the common hash stands in each: what comes before the first common hash is in one set only.
-What is left is verified on the sets themselves. In crowded blocks every node is first
+Then by their sketches, the parities of a set's hashes in about one and a half slots a hash: a hash that
+only one set has changes one parity, so sets whose sketches differ in more than similar sets may have apart
+are not similar. What is left is verified on the sets themselves, a share of the pairs at a time, so that the texts
+that travel to pairs are never many times those of the nodes. In crowded blocks every node is first
 linked to the smallest one. Nothing is capped.
 
 Before that, texts are linked whose SimHash fingerprints (as ``simhash`` makes and finds them) differ in
@@ -18,10 +21,12 @@ rows, an empty table and other columns are treated as by ``simhash.keep_first``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +38,9 @@ from gridcast.llm.simhash import SEED, keep_leaders
 SIMILARITY = 0.8
 #: Nodes from which on a block counts as crowded.
 CROWD = 24
-SETS = "doc_id long, row long, print long, size int, blocks array<long>"
+#: Slots of the smallest sketch; others have a power of two.
+SLOTS = 64
+SETS = "doc_id long, row long, print long, size int, blocks array<long>, sketch binary"
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -56,17 +63,41 @@ def taken(size: int) -> int:
     return size - int(np.ceil(SIMILARITY * size - 1e-9)) + 1 if size else 0
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls on each slot."""
+    slots = SLOTS
+    while slots < 1.5 * len(hashes):
+        slots *= 2
+    odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def odd_slots(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """In how many slots the sketches of each pair differ; the longer one is folded to the slots of the other."""
+    sizes = np.stack([pc.binary_length(x).to_numpy() for x in (left, right)], axis=1)
+    found = np.zeros(len(sizes), dtype=np.int64)
+    for pair in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == pair).all(axis=1))
+        a, b = (np.frombuffer(b"".join(x.take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1) for x in (left, right))
+        while a.shape[1] != b.shape[1]:
+            half = max(a.shape[1], b.shape[1]) // 2
+            a, b = (x[:, :half] ^ x[:, half:] if x.shape[1] > half else x for x in (a, b))
+        found[at] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return found
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, print, size, blocks), one row a row of ``docs``; print names the set."""
+    """(doc_id, row, print, size, blocks, sketch), one row a row of ``docs``; print names the set."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            prints, sizes, blocks = [], [], []
+            prints, sizes, blocks, sketches = [], [], [], []
             for text in byte_texts(batch, "text"):
                 found = shingles(text, words)
                 prints.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sizes.append(len(found))
                 blocks.append(found[: taken(len(found))].view(np.int64))
+                sketches.append(sketch(found))
             offsets = np.append(0, np.cumsum([len(b) for b in blocks]))
             arrays = [
                 batch.column("doc_id"),
@@ -74,6 +105,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                 pa.array(np.array(prints, dtype=np.uint64).view(np.int64), pa.int64()),
                 pa.array(sizes, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*blocks, np.zeros(0, np.int64)]), pa.int64())),
+                pa.array(sketches, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SETS.split(", ")])
 
@@ -113,6 +145,22 @@ def candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
     return found.select(F.col("print").alias("a"), F.col("o_print").alias("b")).distinct()
 
 
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches let their sets be similar."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = odd_slots(batch.column("a_sketch"), batch.column("b_sketch"))
+            most = (batch.column("a_size").to_numpy() + batch.column("b_size").to_numpy()) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most, pa.bool_()))
+
+    # Written numbers that repeat take a tenth of what they take in memory; the hint keeps pairs from being broadcast.
+    for side in ("a", "b"):
+        named = nodes.select(F.col("print").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch"))
+        pairs = pairs.hint("merge").join(named, side)
+    return pairs.mapInArrow(per_batch, "a long, b long")
+
+
 def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
 
@@ -126,7 +174,7 @@ def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
                     keep.append(common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stage(pairs)
+    pairs = stage(likely(stage(pairs), nodes))
     release(docs.sparkSession)
     named = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
     wanted = stage(nodes.join(named, "print").select("print", "row"))
@@ -135,15 +183,23 @@ def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
     texts = stage(thinned(read, wanted, "row").join(wanted.hint("shuffle_hash"), "row").groupBy("print").agg(F.first("text").alias("text")))
     left = texts.select(F.col("print").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("print").alias("b"), F.col("text").alias("right"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return stage(joined.mapInArrow(per_batch, "a long, b long"))
+    # A share ships about as many texts as there are nodes.
+    shares = max(1, -(-pairs.count() // max(texts.count(), 1)))
+    found = []
+    for share in range(shares):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(shares)) == share).hint("merge")
+        joined = some.join(left, "a").hint("merge").join(right, "b").select("a", "b", "left", "right")
+        found.append(stage(joined.mapInArrow(per_batch, "a long, b long")))
+        release(docs.sparkSession)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def fingerprint_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): sets of texts whose fingerprints are in one group, each with the smallest one of its group."""
     prints = stage(simhash.fingerprints(docs).select("doc_id", "row", "print"))
-    marks = prints.select("row", "print").distinct().join(simhash.grouped(prints).select("print", "root"), "print").select("row", "root")
-    placed = marks.join(found.select("row", "print").distinct(), "row").select("root", "print").distinct()
+    # Numbers of all rows: their files are small enough to be broadcast long after they are too many for it.
+    marks = prints.select("row", "print").distinct().hint("merge").join(simhash.grouped(prints).select("print", "root"), "print").select("row", "root")
+    placed = stage(marks.hint("merge").join(found.select("row", "print").distinct(), "row").select("root", "print").distinct())
     first = placed.groupBy("root").agg(F.min("print").alias("a"))
     return stage(placed.join(first, "root").where("a != print").select("a", F.col("print").alias("b")))
 
@@ -158,7 +214,7 @@ def ungrouped(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, row, print, component_id) for every row of ``docs``."""
     found = stage(sets(docs, words))
-    nodes = stage(found.groupBy("print").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")))
+    nodes = stage(found.groupBy("print").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("size", "sketch")]))
     met = meetings(found)
     edges = fingerprint_links(docs, found)
     led = ungrouped(leader_pairs(met), components(edges).withColumnRenamed("node", "print"))

@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridcast.llm import licenses, lines, simhash
+from gridcast.llm import licenses, lines, shingles, simhash
 from gridcast.llm.edits import bounded
 
 
@@ -176,3 +177,32 @@ def test_op6_compares_all_near_nodes_of_a_crowd_whose_roots_differ():
 def test_op5_never_broadcasts_generated_anchors(spark):
     prints = spark.createDataFrame([(i * 7919,) for i in range(50)], "print long")
     assert "BroadcastHashJoin" not in simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sketches_tell_at_most_what_sets_have_apart():
+    rng = np.random.default_rng(3)
+    every = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 40, 300, 345, 2000)]
+    every += [np.unique(np.concatenate([x[: len(x) * 9 // 10], every[1]])) for x in every]
+    pairs = [(a, b) for a in every for b in every]
+    found = shingles.odd_slots(*(pa.array([shingles.sketch(p[i]) for p in pairs], pa.binary()) for i in (0, 1)))
+    apart = np.array([len(np.setxor1d(a, b)) for a, b in pairs])
+    assert (found <= apart).all() and (found % 2 == apart % 2).all()
+    assert (found[[a is b for a, b in pairs]] == 0).all()
+
+
+def test_pipeline_compares_no_strangers_that_share_a_passage(spark):
+    rng = random.Random(13)
+    passages = [[f"p{i}x{j}" for j in range(9)] for i in range(12)]
+    texts = [[*(f"w{rng.randrange(9000)}" for _ in range(150)), *(w for p in passages for w in p), *(f"w{rng.randrange(9000)}" for _ in range(150))] for _ in range(20)]
+    texts.append(edited(rng, texts[0], 3))
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = shingles.sets(docs, 5).cache()
+    nodes = found.select("print", "row", "size", "sketch")
+    pairs = shingles.candidates(shingles.meetings(found), spark.createDataFrame([], "print long, root long"))
+    alike = {frozenset(r["print"] for r in found.where("doc_id in (0, 20)").collect())}
+    assert pairs.count() > 100
+    assert {frozenset(r) for r in shingles.likely(pairs, nodes).collect()} == alike
+    # More pairs than nodes are verified in shares.
+    everything = found.select(F.col("print").alias("a")).join(found.select(F.col("print").alias("b"))).where("a < b")
+    verified = shingles.edges_of(docs, nodes.withColumn("sketch", F.lit(bytes(8))), everything, 5)
+    assert {frozenset(r) for r in verified.collect()} == alike
