@@ -556,7 +556,8 @@ def edges_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts are similar enough."""
     left = texts.select(F.col("key").alias("a"), F.col("words").alias("left"))
     right = texts.select(F.col("key").alias("b"), F.col("words").alias("right"))
-    found = stage(verified(pairs.join(left, "a").join(right, "b")))
+    # Pairs repeat few numbers, so their files look small beside what they take in memory: no broadcast.
+    found = stage(verified(pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")))
     release(texts.sparkSession)
     return found
 

@@ -179,6 +179,17 @@ def test_op5_never_broadcasts_generated_anchors(spark):
     assert "BroadcastHashJoin" not in simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pipeline_never_broadcasts_pairs(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    nodes = spark.createDataFrame([(1, 1, b"12345678")], "print long, size int, sketch binary")
+    texts = spark.createDataFrame([(1, b"one two")], "key long, words binary")
+    seen = []
+    monkeypatch.setattr(lines, "stage", lambda df: seen.append(df) or df)
+    lines.edges_of(texts, pairs)
+    for made in (shingles.likely(pairs, nodes), *seen):
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sketches_tell_at_most_what_sets_have_apart():
     rng = np.random.default_rng(3)
     every = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 40, 300, 345, 2000)]
