@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,32 @@ def test_sketched_edges_are_exact_quantiles(spark):
     assert T.Growth.of({"maxIter": 3, "subsamplingRate": 1.0}).rounds == 3
     with pytest.raises(ValueError, match="Unknown"):
         T.Growth.of({"nope": 1})
+
+
+def test_trees_grown_in_tasks_are_those_grown_in_passes(spark):
+    rng = random.Random(21)
+    rows = [(m, i, m == 2 and i % 5 == 0, rng.gauss(0, 3), *[None if rng.random() < 0.1 else rng.randrange(9) / 4 + (i % 7) * f for f in range(3)]) for m in (0, 2, 3) for i in range(300)]
+    table = spark.createDataFrame(rows, "model int, row long, held boolean, y double, a double, b double, c double")
+    growth = T.Growth(rounds=7, rate=0.3, depth=3, bins=16, chunk=3)
+    edges = T.fit_edges(table, ["a", "b", "c"], growth.bins)
+    binned = T.binned(table, ["a", "b", "c"], edges)
+    allowed = {0: [0, 1, 2], 2: [0, 2], 3: [1]}
+    passes, tasks = (f(binned, ["a", "b", "c"], edges, growth, allowed, 50) for f in (T.grow, T.grow_in_tasks))
+    for x in ("trees", "bases", "losses"):
+        assert sorted(getattr(tasks, x).collect()) == sorted(getattr(passes, x).collect())
+    ended = T.grow_in_tasks(binned, ["a", "b", "c"], edges, growth, allowed, 50, {3: 2})
+    assert {r["model"]: r["count"] for r in ended.trees.groupBy("model").count().collect()} == {0: 7, 2: 7, 3: 2}
+
+
+def test_backtest_query_has_the_published_rounds_and_patience():
+    from gridcast.plans import boosted
+    from queries import models, tree_sql
+
+    assert boosted.growth_of(models.BACKTEST) == T.Growth() and T.Growth().rounds == 500
+    assert f"step < {500 * 4})" in models.gbt_backtest_sql() and f"r - lowest >= {boosted.PATIENCE}" in models.gbt_backtest_sql()
+    rng = random.Random(22)
+    rows = [(m, r, rng.randrange(20) / 4) for m in range(0, 40, 2) for r in range(rng.randrange(1, 30))]
+    for patience in (None, 2, 5):
+        parts = [f"losses(model, r, loss) AS (VALUES {', '.join(map(str, rows))})", *tree_sql.best_sql("losses", patience)]
+        got = dict(duckdb.sql("WITH " + ", ".join(parts) + " SELECT model, r FROM best").fetchall())
+        assert got == {m + 1: boosted.best_round([x[2] for x in rows if x[0] == m], patience) for m in range(0, 40, 2)}
