@@ -8,8 +8,8 @@ similar pair meets in one. Those that meet are told apart by their sizes and by
 far up the common hash stands in each: what comes before the first common hash is in one set only.
 Then by their sketches, the parities of a set's hashes in about one and a half slots a hash: a hash that
 only one set has changes one parity, so sets whose sketches differ in more than similar sets may have apart
-are not similar. What is left is verified on the sets themselves, a share of the pairs at a time, so that the texts
-that travel to pairs are never many times those of the nodes. In crowded blocks every node is first
+are not similar. What is left is verified on the sets themselves. Both go by shares of the pairs, so that the sketches and texts
+that travel at a time are never many times those of the nodes. In crowded blocks every node is first
 linked to the smallest one. Nothing is capped.
 
 Before that, texts are linked whose SimHash fingerprints (as ``simhash`` makes and finds them) differ in
@@ -22,7 +22,7 @@ rows, an empty table and other columns are treated as by ``simhash.keep_first``.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from gridcast.llm.simhash import SEED, keep_leaders
 SIMILARITY = 0.8
 #: Nodes from which on a block counts as crowded.
 CROWD = 24
+#: Pairs a node whose sketches travel at a time.
+PAIRS_A_NODE = 8
 #: Slots of the smallest sketch; others have a power of two.
 SLOTS = 64
 SETS = "doc_id long, row long, print long, size int, blocks array<long>, sketch binary"
@@ -161,6 +163,16 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.mapInArrow(per_batch, "a long, b long")
 
 
+def in_shares(pairs: DataFrame, most: int, function: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``function`` gives for all pairs, staged for about ``most`` of them at a time, so that only a share's shuffles are on disk."""
+    shares = max(1, -(-pairs.count() // max(most, 1)))
+    found = []
+    for share in range(shares):
+        found.append(stage(function(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(shares)) == share))))
+        release(pairs.sparkSession)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
 
@@ -174,8 +186,9 @@ def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
                     keep.append(common >= SIMILARITY * (len(a) + len(b) - common) - 1e-9)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stage(likely(stage(pairs), nodes))
+    pairs = stage(pairs)
     release(docs.sparkSession)
+    pairs = in_shares(pairs, PAIRS_A_NODE * nodes.count(), lambda some: likely(some, nodes))
     named = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
     wanted = stage(nodes.join(named, "print").select("print", "row"))
     read = docs.select(F.col("text").cast("string").alias("text"), row_hash().alias("row"))
@@ -183,15 +196,13 @@ def edges_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) ->
     texts = stage(thinned(read, wanted, "row").join(wanted.hint("shuffle_hash"), "row").groupBy("print").agg(F.first("text").alias("text")))
     left = texts.select(F.col("print").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("print").alias("b"), F.col("text").alias("right"))
+
+    def compared(some: DataFrame) -> DataFrame:
+        joined = some.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "left", "right")
+        return joined.mapInArrow(per_batch, "a long, b long")
+
     # A share ships about as many texts as there are nodes.
-    shares = max(1, -(-pairs.count() // max(texts.count(), 1)))
-    found = []
-    for share in range(shares):
-        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(shares)) == share).hint("merge")
-        joined = some.join(left, "a").hint("merge").join(right, "b").select("a", "b", "left", "right")
-        found.append(stage(joined.mapInArrow(per_batch, "a long, b long")))
-        release(docs.sparkSession)
-    return functools.reduce(DataFrame.unionByName, found)
+    return in_shares(pairs, texts.count(), compared)
 
 
 def fingerprint_links(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def test_sketches_tell_at_most_what_sets_have_apart():
     assert (found[[a is b for a, b in pairs]] == 0).all()
 
 
-def test_pipeline_compares_no_strangers_that_share_a_passage(spark):
+def test_pipeline_compares_no_strangers_that_share_a_passage(spark, monkeypatch):
     rng = random.Random(13)
     passages = [[f"p{i}x{j}" for j in range(9)] for i in range(12)]
     texts = [[*(f"w{rng.randrange(9000)}" for _ in range(150)), *(w for p in passages for w in p), *(f"w{rng.randrange(9000)}" for _ in range(150))] for _ in range(20)]
@@ -213,7 +213,8 @@ def test_pipeline_compares_no_strangers_that_share_a_passage(spark):
     alike = {frozenset(r["print"] for r in found.where("doc_id in (0, 20)").collect())}
     assert pairs.count() > 100
     assert {frozenset(r) for r in shingles.likely(pairs, nodes).collect()} == alike
-    # More pairs than nodes are verified in shares.
+    # More pairs than nodes are told apart and verified in shares.
+    monkeypatch.setattr(shingles, "PAIRS_A_NODE", 2)
     everything = found.select(F.col("print").alias("a")).join(found.select(F.col("print").alias("b"))).where("a < b")
     verified = shingles.edges_of(docs, nodes.withColumn("sketch", F.lit(bytes(8))), everything, 5)
     assert {frozenset(r) for r in verified.collect()} == alike
