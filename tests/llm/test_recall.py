@@ -175,14 +175,15 @@ def test_op6_compares_all_near_nodes_of_a_crowd_whose_roots_differ():
 
 
 def test_op5_never_broadcasts_generated_anchors(spark):
-    prints = spark.createDataFrame([(i * 7919,) for i in range(50)], "print long")
+    # A range, whose size Spark knows to be small.
+    prints = spark.range(50).selectExpr("id * 7919 AS print")
     assert "BroadcastHashJoin" not in simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pipeline_never_broadcasts_pairs(spark, monkeypatch):
-    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
-    nodes = spark.createDataFrame([(1, 1, b"12345678")], "print long, size int, sketch binary")
-    texts = spark.createDataFrame([(1, b"one two")], "key long, words binary")
+    pairs = spark.range(9).selectExpr("id AS a", "id + 1 AS b")
+    nodes = spark.range(9).selectExpr("id AS print", "1 AS size", "CAST('12345678' AS BINARY) AS sketch")
+    texts = spark.range(9).selectExpr("id AS key", "CAST('one two' AS BINARY) AS words")
     seen = []
     monkeypatch.setattr(lines, "stage", lambda df: seen.append(df) or df)
     lines.edges_of(texts, pairs)
